@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberstack.llm import fair_mix, host_reputation, packing, substring_dedup
+from emberstack.llm import fair_mix, host_reputation, ngram_join, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,16 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_host_reputation": op5_host_reputation,
     "op7_fair_mix": op7_fair_mix,
+    "op8_ngram_join": op8_ngram_join,
 }
 
 SQL: dict[str, str] = {}
@@ -130,3 +135,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gi) AS BIGINT) AS n_
   sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gi, i)), ' ')) AS kept_sha256
 FROM one
 """
+
+SQL["op8_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, s, s + 3), ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS t(s) WHERE len(ws) > 0),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes x ON a.doc_id = x.doc_id JOIN sizes y ON b.doc_id = y.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, c FROM reach JOIN links ON a = id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(c) FROM reach WHERE id = w.doc_id) AS component_id
+FROM w LEFT JOIN sizes ON w.doc_id = sizes.doc_id
+"""
