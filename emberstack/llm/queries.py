@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberstack.llm import fair_mix, host_reputation, ngram_join, packing, substring_dedup
+from emberstack.llm import fair_mix, host_reputation, language_id, ngram_join, packing, prefix_forest, private_data, quality, spot_signatures, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), **public_tokenizer()))
 
 
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,16 @@ def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,12 +61,32 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document (its source in the place of a host) and each page."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    units = docs.select("doc_id", none.cast("long").alias("page_id"), "text", F.col("source").alias("host"), none.cast("string").alias("declared"))
+    html = F.col("html")
+    units = units.unionByName(pages.select(none.cast("long").alias("doc_id"), "page_id", language_id.visible_text(html).alias("text"), host_reputation.host_of(F.col("url")).alias("host"), language_id.markup_language(html).alias("declared")))
+    return language_id.identify(units, language_id.train(docs), ["doc_id", "page_id"])
+
+
+def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_spot_signatures": op2_spot_signatures,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_host_reputation": op5_host_reputation,
+    "op4_private_data": op4_private_data,
+    "op6_quality": op6_quality,
     "op7_fair_mix": op7_fair_mix,
     "op8_ngram_join": op8_ngram_join,
+    "op9_language_id": op9_language_id,
+    "op10_prefix_forest": op10_prefix_forest,
 }
 
 SQL: dict[str, str] = {}
