@@ -14,11 +14,12 @@ splits; no group is gathered in one task.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberstack.llm.hashing import Words, slices
@@ -67,18 +68,27 @@ class _Windows:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs ``(h, n)`` of fingerprints and how often each was seen."""
+    """Sorted immutable runs ``(h, n)``: fingerprints and how often each was seen.
 
-    def __init__(self, most_runs: int = 2):
-        self.runs: list[DataFrame] = []
-        self.most_runs = most_runs
+    A run is a table in the warehouse, bucketed and sorted by hash, so that merge joins of runs and their compaction need no
+    shuffle. It holds counts, pre-aggregated before they were shuffled, so a hash that is everywhere is one row.
+    """
+
+    def __init__(self, spark: SparkSession, most_runs: int = 1):
+        self.spark, self.most_runs, self.runs = spark, most_runs, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _run(self, counted: DataFrame) -> DataFrame:
+        name = f"run_{uuid.uuid4().hex}"
+        counted.write.bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name, format="parquet")
+        return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Count ``batch(h)`` into a new run; gives the hashes ``(h)`` of the batch that repeat in it or in history."""
-        run = saved(batch.groupBy("h").agg(F.count("*").alias("n")).sortWithinPartitions("h"))
+        run = self._run(batch.groupBy("h").agg(F.count("*").alias("n")))
         repeated = run.where("n > 1").select("h")
         for old in self.runs:
-            repeated = repeated.unionByName(run.select("h").join(old.select("h"), "h"))
+            repeated = repeated.unionByName(run.select("h").join(old.select("h").hint("merge"), "h"))
         self.runs.append(run)
         if len(self.runs) > self.most_runs:
             self.compact()
@@ -88,8 +98,9 @@ class FingerprintIndex:
         """Merge all runs into one, adding counts."""
         whole = self.runs[0]
         for run in self.runs[1:]:
-            whole = whole.unionByName(run)
-        self.runs = [saved(whole.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"))]
+            other = run.select(F.col("h").alias("o_h"), F.col("n").alias("o_n"))
+            whole = whole.join(other.hint("merge"), F.col("h") == F.col("o_h"), "full").select(F.coalesce("h", "o_h").alias("h"), (F.coalesce("n", F.lit(0)) + F.coalesce("o_n", F.lit(0))).alias("n"))
+        self.runs = [self._run(whole)]
 
 
 def fingerprints(rows: DataFrame, words: int, gram: int) -> DataFrame:
@@ -116,20 +127,32 @@ def _positions(lists: pa.Array, first: np.ndarray) -> np.ndarray:
     return flat + np.repeat(first[: len(sizes)], sizes)
 
 
-def _lists(starts: np.ndarray, docs: np.ndarray, n_docs: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(docs[starts], np.arange(n_docs + 1)).astype(np.int32)), pa.array(values, kind))
+def _window_hashes(rows: DataFrame, words: int, gram: int) -> DataFrame:
+    """``rows(id, text, marks)`` to ``(h, c, id, start)``: 96 bits of hash of every window around a mark, and its first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            win = _Windows(batch.column("text"), words, gram)
+            w = win.w
+            at = win.around(_positions(batch.column("marks"), w.first))
+            doc = w.doc[at]
+            check = (w.grams(words, check=True)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w.grams(words)[at].view(np.int64)), pa.array(check), batch.column("id").take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))], ["h", "c", "id", "start"])
+
+    return rows.select("id", "text", "marks").mapInArrow(run, "h long, c int, id long, start int")
 
 
-def remove_repeats(docs: DataFrame, words: int = 35, gram: int = 12, batches: int = 3, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 35, gram: int = 12, batches: int = 2, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])``, one row for each row of ``docs(doc_id, text)``.
 
     Null texts have no words; texts of fewer than ``words`` words keep all. Rows that repeat a doc_id, null ids too, are
     documents of their own, so two equal rows of ``words`` words or more lose all. Other columns are ignored. The corpus
     is ingested in ``batches`` batches by hash, and judged against all of it. ``kept`` is the remaining text.
     """
+    none = F.array().cast("array<int>")
     rows = docs.select("doc_id", "text").withColumn("rk", F.xxhash64("doc_id", "text"))
     found = saved(fingerprints(rows, words, gram))
-    index, repeated = FingerprintIndex(), []
+    index, repeated = FingerprintIndex(docs.sparkSession), []
     for k in range(batches):
         repeated.append(index.add(found.where(F.pmod(F.xxhash64("rk"), F.lit(batches)) == k).select("h")))
     again = repeated[0]
@@ -137,29 +160,39 @@ def remove_repeats(docs: DataFrame, words: int = 35, gram: int = 12, batches: in
         again = again.unionByName(more)
     # An equal key of two texts only adds windows to verify.
     marks = found.join(again.distinct(), "h", "left_semi").groupBy("rk").agg(F.collect_list("pos").alias("marks"))
-    marked = rows.join(marks.withColumnRenamed("rk", "m_rk"), F.col("rk") == F.col("m_rk"), "left").select("doc_id", "text", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"))
+    # Of equal texts one speaks for all: its windows count twice, and all of the texts lose every word that a window covers.
+    texts = rows.select("rk", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2"))
+    equal = texts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1 and h2 is not null")
+    equal = texts.join(equal, ["h1", "h2"]).groupBy("rk").agg(F.max("h2").alias("e_h2"), F.max(F.col("rk") == F.col("lead")).alias("leads"))
+    known = marks.join(equal, "rk", "full").withColumnRenamed("rk", "m_rk")
+    marked = rows.join(known, F.col("rk") == F.col("m_rk"), "left")
+    copy = F.coalesce(F.col("e_h2") == F.crc32(F.col("text").cast("binary")), F.lit(False))
+    state = F.when(copy, F.when(F.col("leads"), "lead").otherwise("copy")).when(F.col("marks").isNotNull(), "open").otherwise("clean")
+    marked = marked.select("doc_id", "text", F.coalesce("marks", none).alias("marks"), state.alias("state"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def verify(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches_):
-            win = _Windows(batch.column("text"), words, gram)
-            w = win.w
-            at = win.around(_positions(batch.column("marks"), w.first))
-            long_, check = w.grams(words)[at], w.grams(words, check=True)[at]
-            open_ = np.bincount(w.doc[at], minlength=w.n_docs) > 0
-            texts = batch.column("text").to_pylist()
-            sha = [None if o else _kept((t or "").encode().split()) for t, o in zip(texts, open_)]
-            texts = [t if o or with_text else None for t, o in zip(texts, open_)]
-            lists = [_lists(at, w.doc, w.n_docs, v, k) for v, k in ((long_.view(np.int64), pa.int64()), ((check >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()), ((at - w.first[w.doc[at]]).astype(np.int32), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.counts), pa.array(sha, pa.string()), pa.array(texts, pa.string()), *lists], ["doc_id", "n_words", "sha", "text", "hashes", "checks", "starts"])
-
-    judged = marked.mapInArrow(verify, f"doc_id {kind}, n_words long, sha string, text string, hashes array<long>, checks array<int>, starts array<int>")
+            n, removed, sha, kept, left = [], [], [], [], []
+            for text, state_ in zip(batch.column("text").to_pylist(), batch.column("state").to_pylist()):
+                own = (text or "").encode().split()
+                gone = len(own) if state_ in ("lead", "copy") and len(own) >= words else 0
+                done = state_ != "open"
+                n.append(len(own))
+                removed.append(gone)
+                sha.append(_kept([] if gone else own) if done else None)
+                kept.append(b" ".join([] if gone else own).decode() if done and with_text else None)
+                left.append(text if state_ in ("open", "lead") else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(left, pa.string()), batch.column("marks")], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text", "marks"])
+
+    judged = marked.mapInArrow(settle, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, text string, marks array<int>")
     judged = saved(judged.withColumn("id", F.monotonically_increasing_id()))
-    windows = judged.where("sha is null").select("id", F.inline(F.arrays_zip("hashes", "checks", "starts")))
-    shared = windows.groupBy("hashes", "checks").agg(F.count("*").alias("n")).where("n > 1").select("hashes", "checks")
-    cover = windows.join(shared, ["hashes", "checks"], "left_semi").groupBy("id").agg(F.collect_list("starts").alias("cover"))
-    open_docs = judged.where("sha is null").select("id", "doc_id", "n_words", "text")
-    open_docs = open_docs.join(cover.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select("doc_id", "n_words", "text", F.coalesce("cover", F.array().cast("array<int>")).alias("cover"))
+    open_docs = judged.where("kept_sha256 is null")
+    once = _window_hashes(open_docs, words, gram).groupBy("h", "c").agg(F.count("*").alias("n"))
+    twice = _window_hashes(judged.where("kept_sha256 is not null and text is not null"), words, gram).groupBy("h", "c").agg((2 * F.count("*")).alias("n"))
+    shared = once.unionByName(twice).groupBy("h", "c").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c")
+    cover = _window_hashes(open_docs, words, gram).join(shared, ["h", "c"], "left_semi").groupBy("id").agg(F.collect_list("start").alias("cover"))
+    open_docs = open_docs.select("id", "doc_id", "n_words", "text").join(cover.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select("doc_id", "n_words", "text", F.coalesce("cover", none).alias("cover"))
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches_):
@@ -177,6 +210,6 @@ def remove_repeats(docs: DataFrame, words: int = 35, gram: int = 12, batches: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     done = open_docs.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    rest = judged.where("sha is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("text").alias("kept"))
+    rest = judged.where("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
     out = rest.unionByName(done)
     return out if with_text else out.drop("kept")
