@@ -5,12 +5,12 @@ most H, which their sizes bound. Sets fall into bands by size; for a band, shing
 universe. Of m segments at least m - H agree in full, and of segments that are each allowed one difference at least
 m - H/2 agree up to one. A signature is the hash of a set's subset in a segment, or, with one difference allowed,
 also of that subset less any one shingle. Which kind a band gets, and how many segments, is chosen by cost: signatures
-written against the accidental matches that small subsets bring. Two spare segments make up for empty subsets, which get
+written against the accidental matches that small subsets bring. A few spare segments make up for empty subsets, which get
 no signature; the few sets with more of them than that get one for the empty subset as well, so nothing is lost.
 
-Documents that share a signature are compared exactly. First each document with the one it shares most buckets with among
-the least members of its buckets, which settles groups of near copies with a comparison for each member; then every
-pair that shares a bucket and is not yet in one component. The links between them decide the components.
+Documents that share a signature are compared exactly, in blocks of bounded size. First the blocks of documents with the same
+least partner, which settles most groups of near copies; then, for buckets whose members are not yet in one component,
+every two blocks that meet in such a bucket. A block's links leave it as a spanning forest, never as all pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +26,13 @@ from emberstack.llm.components import connected_components
 from emberstack.llm.hashing import Words, mix, slices
 from emberstack.llm.scratch import saved
 
-SPARE = 2
+#: Spare segments: so many, and one for each of so many others.
+SPARE, SPARE_EACH = 4, 8
 #: Accidental matches count as this many signatures each.
 MATCH_COST = 64.0
+#: Shingles in a block of documents that are compared with each other.
+BLOCK = 150_000
+NEED = 1024
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +83,20 @@ class Bands:
         choices = []
         for loose in (False, True):
             units = most // 2 + 1 if loose else most + 1
-            m = units + SPARE if units > 1 else 1
+            m = units + SPARE + units // SPARE_EACH if units > 1 else 1
             subset = size / m
             cost = m + loose * size + MATCH_COST * m * 2.0 ** -(subset - loose)
             choices.append((cost, loose, m, m - units + 1))
         _, loose, m, sure = min(choices)
         return m, loose, sure
 
+    def farthest(self, band: int, size: int) -> int:
+        """Most elements in the symmetric difference of a set of ``size`` and a linked one, the larger of the two in ``band``."""
+        lo, hi = self.low[band], self.low[band + 1] - 1
+        other = hi if size < lo else min(hi, size * 100 // self.percent)
+        # For sets that can be linked it grows with the sum of sizes, up to rounding.
+        return max(apart(size, min(other, size * 100 // self.percent), self.percent), apart(size, max(lo, size), self.percent), apart(size, min(other, size * 100 // self.percent) - 1, self.percent)) + 1
+
     def of(self, size: int) -> list[tuple[int, int, bool, int]]:
         self._grow(size * 100 // self.percent + 1)
         own = int(np.searchsorted(self.low, size, side="right")) - 1
@@ -97,9 +108,10 @@ class Bands:
         return out
 
 
-def signatures_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of one set, given as distinct 64-bit hashes."""
-    out = []
+def signatures_of(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, given as distinct 64-bit hashes, and for each NEED * band + how many of that band's
+    signatures any partner in it shares at least."""
+    out, tags = [], []
     for band, m, loose, sure in bands.of(len(tokens)):
         spread = mix(tokens + np.uint64(0x51ED2701 + 2 * band))
         segment = (spread % np.uint64(m)).astype(np.int64)
@@ -118,7 +130,9 @@ def signatures_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
             keep = (count[segment] > 1) | (weak >= sure)
             found.append((less ^ tag[segment])[keep])
         out.append(mix(np.unique(np.concatenate(found))))
-    return np.concatenate(out)
+        need = m - bands.farthest(band, len(tokens)) - weak
+        tags.append(np.full(len(out[-1]), NEED * band + (min(NEED - 1, need) if weak < sure and not loose else 1), np.int32))
+    return np.concatenate(out), np.concatenate(tags)
 
 
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
@@ -135,14 +149,14 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sig, node) of the documents, each set once for a task: copies are combined before the shuffle."""
+    """(sig, tag, node) of the documents, each set once for a task: copies are combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in slices(batches):
             hashes, at = shingle_sets(batch.column("text"), k)
             ids = batch.column("doc_id").to_numpy()
-            sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            sigs, tags, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for i in range(len(ids)):
                 own = hashes[at[i] : at[i + 1]]
                 if not len(own):
@@ -151,32 +165,110 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
-                sigs.append(signatures_of(own, bands))
+                sig, tag = signatures_of(own, bands)
+                sigs.append(sig)
+                tags.append(tag)
                 nodes.append(np.full(len(sigs[-1]), ids[i], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sig long, node long")
-
-
-def _token_sets(rows: DataFrame, k: int) -> DataFrame:
-    """``rows(node, text)`` to ``(node, n, tokens)``."""
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(nodes))], ["sig", "tag", "node"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sig long, tag int, node long")
+
+
+def _forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix, as (row, root)."""
+    out, left = [], np.ones(len(links), bool)
+    for root in range(len(links)):
+        if not left[root]:
+            continue
+        left[root] = False
+        reach = [root]
+        while reach:
+            near = np.flatnonzero(links[reach].any(axis=0) & left)
+            left[near] = False
+            out += [(int(x), root) for x in near]
+            reach = near.tolist()
+    return out
+
+
+def links_of(texts: pa.Array, k: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between some texts, from the exact intersections of all their sets."""
+    hashes, at = shingle_sets(texts, k)
+    size = np.diff(at)
+    docs = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(hashes, kind="stable")
+    docs, hashes = docs[order], hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    token = np.cumsum(new) - 1
+    count = np.bincount(token)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[token]
+    docs, column = docs[keep], column[token[keep]]
+    common = np.zeros((len(size), len(size)), np.float32)
+    width, total = 8192, int(shared.sum())
+    edges = np.searchsorted(column, np.arange(0, total + width, width))
+    for n, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = np.zeros((len(size), width), np.float32)
+        part[docs[lo:hi], column[lo:hi] - n * width] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    return _forest((common * (100 + percent) >= (size[:, None] + size[None, :]) * percent) & (common > 0))
+
+
+def _block_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``rows(task, node, text)`` to links ``(a, b)``: all texts of a task are compared with each other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        texts, nodes = table.column("text").combine_chunks(), table.column("node").to_numpy()
+        found = [(nodes[x], nodes[y]) for x, y in links_of(texts, k, percent) if nodes[x] != nodes[y]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.select("task", "node", "text").groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def _sketches(rows: DataFrame, k: int) -> DataFrame:
+    """``rows(node, text)`` to ``(node, n, sketch)``: for each of a power of two of segments, about half as many as shingles, the
+    sum of its shingles modulo 256. Segments that differ bound the symmetric difference from below, and adding the halves of a
+    sketch gives the one of half as many segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes, at = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "n", "tokens"])
-
-    return rows.mapInArrow(run, "node long, n long, tokens array<long>")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose sets are similar enough, by exact intersection."""
-    left = sets.select(F.col("node").alias("l"), F.col("n").alias("l_n"), F.col("tokens").alias("l_t"))
-    right = sets.select(F.col("node").alias("r"), F.col("n").alias("r_n"), F.col("tokens").alias("r_t"))
-    both = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
-    both = both.where((F.least("l_n", "r_n") * 100 >= F.greatest("l_n", "r_n") * percent))
-    common = F.size(F.array_intersect("l_t", "r_t"))
-    return both.where(common * (100 + percent) >= (F.col("l_n") + F.col("r_n")) * percent).select("a", "b").distinct()
+            out = []
+            for a, b in zip(at, at[1:]):
+                m = 1 << min(14, max(6, int(b - a).bit_length() - 1))
+                own = mix(hashes[a:b] + np.uint64(3))
+                out.append((np.bincount((own % np.uint64(m)).astype(np.int64), weights=(own >> np.uint64(56)).astype(np.float64), minlength=m).astype(np.int64) & 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(at)), pa.array(out, pa.binary())], ["node", "n", "sketch"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, sketch binary")
+
+
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(task, node, component, home, n, sketch)`` to the ``(task, node)`` that may have a link across homes and components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, home, group = (table.column(c).to_numpy() for c in ("n", "home", "component"))
+        raw = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        width = np.array([len(x) for x in raw])
+        may = np.zeros(len(n), bool)
+        for m in np.unique(width):
+            own = np.flatnonzero(width >= m)
+            folded = np.stack([raw[i].reshape(-1, m).sum(axis=0, dtype=np.uint8) for i in own])
+            for row, i in zip(folded[width[own] == m], own[width[own] == m]):
+                low, high = np.minimum(n[own], n[i]), np.maximum(n[own], n[i])
+                common = -(-percent * (low + high) // (100 + percent))
+                ok = (common <= low) & (home[own] != home[i]) & (group[own] != group[i])
+                ok[ok] = (folded[ok] != row).sum(axis=1) <= (low + high - 2 * common)[ok]
+                if ok.any():
+                    may[i] = True
+                    may[own[ok]] = True
+        return table.select(["task", "node"]).filter(pa.array(may))
+
+    kind = rows.schema["task"].dataType.simpleString()
+    return rows.select("task", "node", "component", "home", "n", "sketch").groupBy("task").applyInArrow(run, f"task {kind}, node long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,30 +284,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = saved(
         _signatures(docs, k, percent)
         .withColumns({"pivot": F.min("node").over(Window.partitionBy("sig")), "top": F.max("node").over(Window.partitionBy("sig"))})
-        .where("pivot < top").select("sig", "node", "pivot")
+        .where("pivot < top").select("sig", "tag", "node", "pivot")
     )
-    # One comparison for each document: with the least member that it meets most often.
-    met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    first = met.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    first = saved(first)
-    needed = members.select("node").distinct()
-    # A row of a repeated id is compared by each of its texts.
-    sets = saved(_token_sets(docs.withColumn("node", F.col("doc_id").cast("long")).join(needed, "node", "left_semi").select("node", "text"), k).where("n > 0"))
-    links = saved(_linked(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, percent))
+    # Groups by the least member of any bucket, dealt into blocks of bounded text; each block is compared with itself and the
+    # group's least member.
+    group = members.groupBy("node").agg(F.min("pivot").alias("g"))
+    size = sizes.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("s_node")).agg(F.sum("n_shingles").alias("n"))
+    group = saved(group.join(size, F.col("node") == F.col("s_node")).select("node", "g", "n"))
+    blocks = group.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("g", "b_g")
+    group = group.join(blocks, F.col("g") == F.col("b_g")).select("node", "g", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    group = saved(group)
+    needed = group.select("node")
+    texts = saved(docs.withColumn("node", F.col("doc_id").cast("long")).join(needed, "node", "left_semi").select("node", "text"))
+    leaders = group.select("g", "blocks").distinct().select(F.col("g").alias("node"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = group.select("node", "g", "block").unionByName(leaders).distinct()
+    rows = own.select("node", F.struct("g", "block").alias("task")).join(texts, "node")
+    links = _block_links(rows, k, percent)
     copies = sizes.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     copies = saved(sizes.where("n_shingles > 0").join(copies, ["n_shingles", "h1", "h2"]).select("doc_id", "rep", "n_shingles", "h1", "h2").where("rep is not null"))
     same = copies.where("doc_id <> rep").select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b")).distinct()
-    known = links.unionByName(same)
-    groups = saved(connected_components(known))
-    # Buckets whose members are in more than one component: every pair across them.
-    placed = members.select("sig", "node").join(groups, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    known = saved(links.unionByName(same).distinct())
+    groups = connected_components(known)
+    # Buckets whose members are in more than one component: the blocks of such members that meet often enough for a link.
+    placed = members.select("sig", "tag", "node").join(groups, F.col("node") == F.col("id"), "left").select("sig", "tag", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    placed = saved(placed.join(split, "sig", "left_semi"))
-    other = placed.select(F.col("sig").alias("o_sig"), F.col("node").alias("b"), F.col("component").alias("o_component"))
-    across = placed.withColumnRenamed("node", "a").join(other, (F.col("sig") == F.col("o_sig")) & (F.col("component") < F.col("o_component"))).select("a", "b").distinct()
-    across = across.join(first, (F.col("a") == F.col("node")) & (F.col("b") == F.col("pivot")), "left_anti").join(first, (F.col("b") == F.col("node")) & (F.col("a") == F.col("pivot")), "left_anti")
-    more = saved(_linked(across, sets, percent))
-    groups = saved(connected_components(known.unionByName(more)))
+    mixed = placed.join(split, "sig", "left_semi").join(group, "node")
+    mixed = saved(mixed.select("sig", "tag", "node", "component", F.struct("g", "block").alias("home")))
+    need = mixed.groupBy("home", F.expr(f"tag div {NEED}").alias("band")).agg(F.min(F.col("tag") % NEED).alias("need"))
+    homes = saved(mixed.select("sig", F.expr(f"tag div {NEED}").alias("band"), "home").distinct().join(need, ["home", "band"]))
+    pairs = homes.join(homes.select(F.col("sig").alias("o_sig"), F.col("home").alias("other"), F.col("need").alias("o_need")), (F.col("sig") == F.col("o_sig")) & (F.col("home") < F.col("other")))
+    pairs = pairs.groupBy("home", "other", "band").agg(F.count("*").alias("shared"), F.max(F.greatest("need", "o_need")).alias("least")).where("shared >= least")
+    tasks = saved(pairs.select(F.struct("home", "other").alias("task"), "home", "other").distinct())
+    loose = mixed.select("node", "component", F.col("home").alias("n_home")).distinct()
+    ends = tasks.select("task", "home").unionByName(tasks.select("task", F.col("other").alias("home")))
+    sketches = saved(_sketches(texts.join(loose.select("node").distinct(), "node", "left_semi"), k))
+    rows = ends.join(loose, F.col("home") == F.col("n_home")).select("task", "node", "component", F.xxhash64("home").alias("home")).join(sketches, "node")
+    near = saved(_near(rows, percent))
+    more = saved(_block_links(near.join(texts, "node"), k, percent).distinct())
+    groups = connected_components(known.unionByName(more)) if more.head(1) else groups
     named = sizes.withColumn("own", F.col("doc_id").cast("long")).join(groups, F.col("own") == F.col("id"), "left")
     named = named.select("doc_id", "n_shingles", "h1", "h2", F.coalesce("component", "own").alias("component_id"))
     lost = copies.where("doc_id is null").select("n_shingles", "h1", "h2", F.col("rep").cast("long").alias("rep")).distinct()
