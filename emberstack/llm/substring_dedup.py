@@ -159,7 +159,8 @@ def remove_repeats(docs: DataFrame, words: int = 35, gram: int = 12, batches: in
     for more in repeated[1:]:
         again = again.unionByName(more)
     # An equal key of two texts only adds windows to verify.
-    marks = found.join(again.distinct(), "h", "left_semi").groupBy("rk").agg(F.collect_list("pos").alias("marks"))
+    again = saved(again.distinct())  # so that Spark can split the join where a hash is frequent
+    marks = found.join(again, "h", "left_semi").groupBy("rk").agg(F.collect_list("pos").alias("marks"))
     # Of equal texts one speaks for all: its windows count twice, and all of the texts lose every word that a window covers.
     texts = rows.select("rk", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2"))
     equal = texts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1 and h2 is not null")
@@ -191,6 +192,7 @@ def remove_repeats(docs: DataFrame, words: int = 35, gram: int = 12, batches: in
     once = _window_hashes(open_docs, words, gram).groupBy("h", "c").agg(F.count("*").alias("n"))
     twice = _window_hashes(judged.where("kept_sha256 is not null and text is not null"), words, gram).groupBy("h", "c").agg((2 * F.count("*")).alias("n"))
     shared = once.unionByName(twice).groupBy("h", "c").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c")
+    shared = saved(shared)
     cover = _window_hashes(open_docs, words, gram).join(shared, ["h", "c"], "left_semi").groupBy("id").agg(F.collect_list("start").alias("cover"))
     open_docs = open_docs.select("id", "doc_id", "n_words", "text").join(cover.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select("doc_id", "n_words", "text", F.coalesce("cover", none).alias("cover"))
 
