@@ -8,6 +8,8 @@ also of that subset less any one shingle. Which kind a band gets, and how many s
 written against the accidental matches that small subsets bring. A few spare segments make up for empty subsets, which get
 no signature; the few sets with more of them than that get one for the empty subset as well, so nothing is lost.
 
+Tables that grow with the corpus are merge-joined at every size, never broadcast.
+
 Documents that share a signature are compared exactly, in blocks of bounded size. First the blocks of documents with the same
 least partner, which settles most groups of near copies; then, for buckets whose members are not yet in one component,
 every two blocks that meet in such a bucket. A block's links leave it as a spanning forest, never as all pairs.
@@ -26,10 +28,10 @@ from emberstack.llm.components import connected_components
 from emberstack.llm.hashing import Words, mix, slices
 from emberstack.llm.scratch import saved
 
-#: Spare segments: so many, and one for each of so many others.
+#: Spare segments: half as many as others, this many at most, and one for each of so many others.
 SPARE, SPARE_EACH = 4, 8
 #: Accidental matches count as this many signatures each.
-MATCH_COST = 64.0
+MATCH_COST = 8.0
 #: Shingles in a block of documents that are compared with each other.
 BLOCK = 150_000
 NEED = 1024
@@ -56,10 +58,9 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(docs, np.arange(w.n_docs + 1))
 
 
-def apart(a: int, b: int, percent: int) -> int:
-    """Most elements in the symmetric difference of linked sets of sizes a and b; -1 if none can be linked."""
-    common = -(-percent * (a + b) // (100 + percent))
-    return -1 if common > min(a, b) else a + b - 2 * common
+def apart(total: int, percent: int) -> int:
+    """Most elements in the symmetric difference of linked sets whose sizes add up to ``total``."""
+    return total * (100 - percent) // (100 + percent)
 
 
 class Bands:
@@ -75,7 +76,7 @@ class Bands:
         while self.low[-1] <= size:
             lo = self.low[-1]
             hi = max(lo, lo * 100 // self.percent)
-            self.kind.append(self._allocate(hi, apart(hi, hi, self.percent)))
+            self.kind.append(self._allocate(hi, apart(2 * hi, self.percent)))
             self.low.append(hi + 1)
 
     def _allocate(self, size: int, most: int) -> tuple[int, bool, int]:
@@ -83,7 +84,7 @@ class Bands:
         choices = []
         for loose in (False, True):
             units = most // 2 + 1 if loose else most + 1
-            m = units + SPARE + units // SPARE_EACH if units > 1 else 1
+            m = units + min(SPARE, units // 2) + units // SPARE_EACH
             subset = size / m
             cost = m + loose * size + MATCH_COST * m * 2.0 ** -(subset - loose)
             choices.append((cost, loose, m, m - units + 1))
@@ -92,10 +93,7 @@ class Bands:
 
     def farthest(self, band: int, size: int) -> int:
         """Most elements in the symmetric difference of a set of ``size`` and a linked one, the larger of the two in ``band``."""
-        lo, hi = self.low[band], self.low[band + 1] - 1
-        other = hi if size < lo else min(hi, size * 100 // self.percent)
-        # For sets that can be linked it grows with the sum of sizes, up to rounding.
-        return max(apart(size, min(other, size * 100 // self.percent), self.percent), apart(size, max(lo, size), self.percent), apart(size, min(other, size * 100 // self.percent) - 1, self.percent)) + 1
+        return apart(size + min(self.low[band + 1] - 1, size * 100 // self.percent), self.percent)
 
     def of(self, size: int) -> list[tuple[int, int, bool, int]]:
         self._grow(size * 100 // self.percent + 1)
@@ -295,10 +293,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     group = group.join(blocks, F.col("g") == F.col("b_g")).select("node", "g", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     group = saved(group)
     needed = group.select("node")
-    texts = saved(docs.withColumn("node", F.col("doc_id").cast("long")).join(needed, "node", "left_semi").select("node", "text"))
+    texts = saved(docs.withColumn("node", F.col("doc_id").cast("long")).join(needed.hint("merge"), "node", "left_semi").select("node", "text"))
     leaders = group.select("g", "blocks").distinct().select(F.col("g").alias("node"), "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     own = group.select("node", "g", "block").unionByName(leaders).distinct()
-    rows = own.select("node", F.struct("g", "block").alias("task")).join(texts, "node")
+    rows = own.select("node", F.struct("g", "block").alias("task")).join(texts.hint("merge"), "node")
     links = _block_links(rows, k, percent)
     copies = sizes.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     copies = saved(sizes.where("n_shingles > 0").join(copies, ["n_shingles", "h1", "h2"]).select("doc_id", "rep", "n_shingles", "h1", "h2").where("rep is not null"))
@@ -306,10 +304,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     known = saved(links.unionByName(same).distinct())
     groups = connected_components(known)
     # Buckets whose members are in more than one component: the blocks of such members that meet often enough for a link.
-    placed = members.select("sig", "tag", "node").join(groups, F.col("node") == F.col("id"), "left").select("sig", "tag", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    mixed = placed.join(split, "sig", "left_semi").join(group, "node")
-    mixed = saved(mixed.select("sig", "tag", "node", "component", F.struct("g", "block").alias("home")))
+    info = group.join(groups.hint("merge"), F.col("node") == F.col("id"), "left")
+    info = saved(info.select(F.col("node").alias("i_node"), F.struct("g", "block").alias("home"), F.coalesce("component", "node").alias("component")))
+    placed = members.select("sig", "tag", "node").join(info.hint("merge"), F.col("node") == F.col("i_node"))
+    bucket = Window.partitionBy("sig")
+    mixed = placed.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).where("lo < hi")
+    mixed = saved(mixed.select("sig", "tag", "node", "component", "home"))
     need = mixed.groupBy("home", F.expr(f"tag div {NEED}").alias("band")).agg(F.min(F.col("tag") % NEED).alias("need"))
     homes = saved(mixed.select("sig", F.expr(f"tag div {NEED}").alias("band"), "home").distinct().join(need, ["home", "band"]))
     pairs = homes.join(homes.select(F.col("sig").alias("o_sig"), F.col("home").alias("other"), F.col("need").alias("o_need")), (F.col("sig") == F.col("o_sig")) & (F.col("home") < F.col("other")))
