@@ -89,7 +89,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ascending order of doc_id, then text; null ids come first; after the last comes the first. Null texts are empty. Other columns
     are ignored. Documents are shuffled once, by range of doc_id; the first document of a range is sent to the range before too.
     """
-    n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or 8 * partitions  # several ranges for each partition even out how they fall
     rows, first = _ranges(docs, n)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -99,7 +100,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         before = F.create_map(*[F.lit(x) for p, (_, b) in first.items() for x in (p, b)])
         places = F.when(F.col("k") == heads[F.col("p")], F.concat(places, F.array(F.struct(before[F.col("p")].alias("p"), F.lit(1).alias("tail"))))).otherwise(places)
     dealt = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "k", F.col("place.p").alias("p"), F.col("place.tail").alias("tail"))
-    dealt = dealt.repartition(n, "p").sortWithinPartitions("p", "tail", "k", "text")
+    dealt = dealt.repartition(partitions, "p").sortWithinPartitions("p", "tail", "k", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the document that waits for its next: (range, id, text, signatures)
