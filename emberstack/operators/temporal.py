@@ -55,8 +55,9 @@ def following(keys: DataFrame, bodies: DataFrame, key: str, seq: str, body: str)
     """For each of ``keys(key, seq, ...)`` the first body of its key with a greater sequence number, else null."""
     b = bodies.select(F.col(key), F.col(seq), F.col(body).alias("__body"))
     both = keys.withColumn("__is", F.lit(1)).unionByName(b.withColumn("__is", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(seq, "__is").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn(body, F.first("__body", ignorenulls=True).over(order)).where("__is = 1").select(*keys.columns, body)
+    # Read backwards, the frame only grows, so a key of many rows takes one pass.
+    order = Window.partitionBy(key).orderBy(F.desc(seq), F.desc("__is")).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn(body, F.last("__body", ignorenulls=True).over(order)).where("__is = 1").select(*keys.columns, body)
 
 
 def descendants(processes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberstack.functions import scalars
-from emberstack.operators import calltree, counters, filters, hits, paging, temporal
+from emberstack.operators import calltree, counters, filters, hits, lifetimes, paging, stacks, symbols, temporal
 from emberstack.plans import profile as p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,13 +296,78 @@ def stack_dedup(spark, d):
     return stacks.groupBy("stack").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_sample"))
 
 
-@query("""SELECT k.event_id, k.user_id, (SELECT min_by(b.value, (b.event_id)) FROM events b WHERE b.user_id = k.user_id AND b.event_id > k.event_id AND b.event_type = 'purchase') AS value
-FROM events k WHERE k.event_type = 'view' AND k.user_id < 20""")
+@query("""SELECT event_id, user_id, value FROM (SELECT *, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS body FROM events) AS e(event_id, ts, user_id, event_type, old, props, value)
+WHERE event_type = 'view'""")
 def keyed_stack_forward_asof(spark, d):
-    e = p.table(spark, d, "events").where("user_id < 20")
+    e = p.table(spark, d, "events")
     return temporal.following(e.where("event_type = 'view'").select("user_id", "event_id"), e.where("event_type = 'purchase'"), "user_id", "event_id", "value").select("event_id", "user_id", "value")
 
 
+@query("""WITH st AS (SELECT l_orderkey, l_orderkey * 10 + l_linenumber AS seq, max(l_partkey) AS ip FROM lineitem GROUP BY l_orderkey, l_linenumber),
+s AS (SELECT o_orderkey AS sample_id, o_custkey AS tid, epoch_us(o_orderdate) AS ts, o_orderkey * 10 AS seq FROM orders),
+e AS (SELECT st.seq, st.ip, tid, ts FROM st JOIN s ON l_orderkey = sample_id),
+m AS (SELECT e.seq, e.ip, max_by(s.sample_id, s.seq) AS sample_id FROM e JOIN s ON e.tid = s.tid AND e.ts = s.ts AND s.seq < e.seq GROUP BY e.seq, e.ip)
+SELECT sample_id, ip % 2 = 1 AS is_kernel, max_by(ip, seq) AS ip FROM m GROUP BY sample_id, ip % 2 = 1""")
+def stack_attach(spark, d):
+    """Each line is a stack of its order's thread and time; stacks of odd parts begin in the kernel."""
+    o, line = p.table(spark, d, "orders"), p.table(spark, d, "lineitem")
+    samples = o.select(F.col("o_orderkey").alias("sample_id"), F.lit(0).alias("source_id"), F.col("o_custkey").alias("tid"), p.micros(o, "o_orderdate").alias("ts"), (F.col("o_orderkey") * 10).alias("seq"))
+    each = line.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("ip")).join(samples, F.col("l_orderkey") == F.col("sample_id"))
+    outer = F.when(F.col("ip") % 2 == 1, F.lit(-1).cast("long")).otherwise(F.lit(1).cast("long"))
+    found = stacks.direct(samples, each.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "ts", F.col("ts").alias("event_ts"), "tid", F.array("ip", outer).alias("ips")))
+    return found.select("sample_id", "is_kernel", F.element_at("ips", 1).alias("ip"))
+
+
+LIFE = """ev AS (SELECT user_id, epoch_us(ts) AS ts, event_id AS seq, event_type FROM events WHERE event_type IS NOT NULL),
+st AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, seq) AS b FROM ev WHERE event_type <> 'purchase'),
+k AS (SELECT user_id, ts, seq, event_type, 1 AS is_start FROM st WHERE b IS NULL OR b <> event_type UNION ALL SELECT user_id, ts, seq, event_type, 0 FROM ev WHERE event_type = 'purchase'),
+n AS (SELECT *, sum(is_start) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS entry FROM k),
+life AS (SELECT user_id, max(CASE WHEN is_start = 1 THEN ts END) AS start_ts, max(CASE WHEN is_start = 0 THEN ts END) AS end_ts, max(CASE WHEN is_start = 1 THEN event_type END) AS event_type
+  FROM n WHERE entry > 0 GROUP BY user_id, entry)"""
+
+
+def _lives(spark, d) -> DataFrame:
+    e = p.table(spark, d, "events").where("event_type is not null")
+    kind = F.when(F.col("event_type") == "purchase", "end").otherwise("start")
+    return lifetimes.intervals(e.select("user_id", p.micros(e, "ts").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"), "event_type"), "user_id", ["event_type"])
+
+
+@query(f"WITH {LIFE} SELECT * FROM life")
+def process_intervals(spark, d):
+    """Purchases end what the other events start."""
+    return _lives(spark, d)
+
+
+@query(f"WITH {LIFE} SELECT user_id, start_ts, coalesce(end_ts, lead(start_ts) OVER (PARTITION BY user_id ORDER BY start_ts)) AS end_ts FROM life")
+def process_intervals_closed(spark, d):
+    return lifetimes.closed_by_next(_lives(spark, d), "user_id").select("user_id", "start_ts", "end_ts")
+
+
+@query("""WITH f AS (SELECT p_type AS module, p_partkey * 50 AS b, p_partkey * 50 + p_size * 7 AS e, p_name AS symbol FROM part WHERE p_size > 0),
+a AS (SELECT DISTINCT p_type AS module, l_partkey * 50 + l_linenumber * 31 AS rel FROM lineitem JOIN part ON l_partkey = p_partkey),
+h AS (SELECT a.module, rel, symbol, row_number() OVER (PARTITION BY a.module, rel ORDER BY b DESC, e, symbol DESC) AS rn FROM a JOIN f ON a.module = f.module AND rel >= b AND rel < e)
+SELECT a.module, a.rel, coalesce(symbol, a.module || '!0x' || lpad(lower(to_hex(a.rel)), 16, '0')) AS symbol FROM a LEFT JOIN h ON a.module = h.module AND a.rel = h.rel AND rn = 1""")
+def symbol_lookup(spark, d):
+    part, line = p.table(spark, d, "part"), p.table(spark, d, "lineitem")
+    begin = F.col("p_partkey") * 50
+    functions = part.select(F.col("p_type").alias("module"), begin.alias("rel_begin"), (begin + F.col("p_size") * 7).alias("rel_end"), F.col("p_name").alias("symbol"))
+    asked = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("module"), (F.col("l_partkey") * 50 + F.col("l_linenumber") * 31).alias("rel")).distinct()
+    found = symbols.in_range(asked, functions, ["symbol"], shift=8)
+    return found.select("module", "rel", F.coalesce("symbol", scalars.generic_symbol(F.col("module"), F.col("rel"))).alias("symbol"))
+
+
+@query("""WITH t AS (SELECT o_custkey AS k, min(epoch_us(o_orderdate)) AS a, max(epoch_us(o_orderdate)) AS b FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY o_custkey),
+s AS (SELECT o_custkey AS k, min(epoch_us(o_orderdate)) AS a, max(epoch_us(o_orderdate)) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT DISTINCT t.k % 100 AS pid, t.a AS process_start FROM t JOIN s ON t.k = s.k WHERE t.a <= s.b AND t.b >= s.a""")
+def sampled_processes(spark, d):
+    o = p.table(spark, d, "orders")
+    ts = p.micros(o, "o_orderdate")
+    threads = o.where("o_orderpriority like '1%'").groupBy(F.col("o_custkey").alias("tid")).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))
+    threads = threads.select("tid", (F.col("tid") % 100).alias("pid"), F.col("start_ts").alias("process_start"), "start_ts", "end_ts")
+    return lifetimes.sampled_processes(threads, o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("tid"), ts.alias("ts")))
+
+
 @query("""SELECT event_id, CASE WHEN b IS NULL THEN NULL WHEN b > value THEN value ELSE value - b END AS delta FROM (
   SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)""")
 def counter_deltas(spark, d):
