@@ -96,6 +96,23 @@ def callees_topk_others(spark, d):
     return paging.top_with_others(edges, ["caller"], "callee", "total", 4)
 
 
+@query(f"""{EDGES}, e AS (SELECT caller, callee, count(*) AS total FROM edges WHERE source_id = 0 GROUP BY caller, callee),
+r AS (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY total DESC, caller) AS rn, count(*) OVER (PARTITION BY callee) AS n FROM e)
+SELECT callee, CASE WHEN n <= 4 OR rn < 4 THEN caller ELSE '[others]' END AS caller, CAST(sum(total) AS BIGINT) AS total FROM r GROUP BY ALL""")
+def callers_topk_others(spark, d):
+    edges = hits.caller_edges(p.frames(spark, d, p.samples(spark, d).where("source_id = 0")))
+    return paging.top_with_others(edges, ["callee"], "caller", "total", 4)
+
+
+@query(f"""{WITH}, top AS (SELECT module, symbol FROM frames WHERE source_id = 0 GROUP BY module, symbol ORDER BY sum(is_leaf) DESC, count(*) DESC, module, symbol LIMIT 1)
+SELECT source_id, instr_line, {HITS} FROM frames JOIN top USING (module, symbol) WHERE file IS NOT NULL GROUP BY source_id, instr_line""")
+def hottest_function_lines(spark, d):
+    """Line hits of the function with the most self hits of source 0."""
+    frames = p.frames(spark, d)
+    best = hits.function_hits(frames.where("source_id = 0")).orderBy(F.desc("self"), F.desc("total"), "module", "symbol").limit(1)
+    return hits.line_hits(frames.join(F.broadcast(best.select("module", "symbol")), ["module", "symbol"])).select("source_id", "instr_line", "total", "self")  # one row
+
+
 @query(f"""{WITH}, h AS (SELECT process_id, module, symbol, {HITS} FROM frames WHERE source_id = 0 GROUP BY ALL)
 SELECT process_id, module, symbol, total, self, self * 100e0 / (SELECT count(*) FROM samples WHERE source_id = 0) AS self_percent,
   total * 100e0 / (SELECT count(*) FROM samples WHERE source_id = 0) AS total_percent
