@@ -62,10 +62,10 @@ def sample_totals(samples: DataFrame) -> DataFrame:
     return samples.groupBy("source_id").agg(F.count("*").alias("total"))
 
 
-def source_statistics(samples: DataFrame) -> DataFrame:
-    """Samples, first and last time (microseconds) and rate a second, 0 for no span."""
+def source_statistics(samples: DataFrame, ticks_per_second: int = 1_000_000) -> DataFrame:
+    """Samples, first and last time and rate a second, 0 for no span."""
     span = F.max("ts") - F.min("ts")
-    return samples.groupBy("source_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.when(span > 0, F.count("*") * F.lit(1000000.0) / span).otherwise(0.0).alias("rate"))
+    return samples.groupBy("source_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.when(span > 0, F.count("*") * F.lit(float(ticks_per_second)) / span).otherwise(0.0).alias("rate"))
 
 
 def process_sample_info(samples: DataFrame) -> DataFrame:

@@ -43,11 +43,15 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c:
 
 def module_at(addresses: DataFrame, modules: DataFrame, key: list[str], shift: int = 16) -> DataFrame:
     """For each of ``addresses(*key, ip, t)`` the module of ``modules(module_id, base, size, load_ts)`` that holds it, the newest
-    loaded at or before t; unsigned addresses. Buckets of 2**shift make it an equi-join."""
+    loaded at or before t; unsigned addresses. Those of ``key`` that modules have too must be equal. Buckets of 2**shift make it
+    an equi-join."""
     bucket: Column = F.shiftrightunsigned("ip", shift)
     spans = modules.where("size > 0").withColumn("bucket", F.explode(F.sequence(F.shiftrightunsigned("base", shift), F.shiftrightunsigned(F.col("base") + F.col("size") - 1, shift))))
-    spans = spans.select("module_id", F.col("base"), F.col("size"), "load_ts", F.col("bucket").alias("m_bucket"))
+    same = [c for c in key if c in modules.columns]
+    spans = spans.select(*[F.col(c).alias(f"m_{c}") for c in same], "module_id", F.col("base"), F.col("size"), "load_ts", F.col("bucket").alias("m_bucket"))
     held = (bucket == F.col("m_bucket")) & (unsigned(F.col("ip")) >= unsigned(F.col("base"))) & (unsigned(F.col("ip")) < unsigned(F.col("base") + F.col("size"))) & (F.col("load_ts") <= F.col("t"))
+    for c in same:
+        held = (F.col(c) == F.col(f"m_{c}")) & held
     return addresses.join(spans, held, "left").groupBy(*key, "ip", "t").agg(F.max_by("module_id", F.struct("load_ts", "module_id")).alias("module_id"))
 
 

@@ -19,13 +19,14 @@ SORTS = {"name": ["symbol", "module"], "total": ["total", "symbol", "module"], "
 @dataclass(frozen=True)
 class Recording:
     """``samples(sample_id, source_id, ts, process_id, thread_id)``, ``frames`` as in :mod:`emberstack.operators.hits` without the
-    columns of samples, ``processes(process_id, pid, name, ...)``, ``threads(thread_id, process_id, ...)``."""
+    columns of samples (a frame of null depth is of no stack), ``processes(process_id, pid, name, ...)``, ``threads(thread_id, process_id, ...)``."""
 
     samples: DataFrame
     stack_frames: DataFrame
     processes: DataFrame
     threads: DataFrame
     filter: filters.SampleFilter = field(default_factory=filters.SampleFilter)
+    ticks_per_second: int = 1_000_000
 
     def filtered(self, f: filters.SampleFilter) -> Recording:
         return replace(self, filter=f)
@@ -41,7 +42,7 @@ class Recording:
 
     def sample_sources(self) -> DataFrame:
         """Without the filter: it says what was recorded."""
-        return hits.source_statistics(self.samples)
+        return hits.source_statistics(self.samples, self.ticks_per_second)
 
     def session_info(self) -> DataFrame:
         s = self.samples
@@ -76,7 +77,7 @@ class Recording:
         return rows.where("thread_id is not null") if process in self.filter.excluded_processes else rows
 
     def call_tree(self, source: int, process: int) -> DataFrame:
-        return calltree.nodes(self._frames(source, process))
+        return calltree.nodes(self._frames(source, process).where("depth is not null"))
 
     def hot_path(self, source: int, process: int) -> DataFrame:
         empty = self._samples(source, process).join(self.stack_frames.select(F.col("sample_id").alias("__sample")).distinct(), F.col("sample_id") == F.col("__sample"), "left_anti")
@@ -86,7 +87,7 @@ class Recording:
         return calltree.children(self.call_tree(source, process), path)
 
     def _neighbours(self, module: str, symbol: str, source: int, process: int, most: int, near: str, own: str) -> DataFrame:
-        edges = hits.caller_edges(self._frames(source, process)).where(F.col(own) == f"{module}!{symbol}")
+        edges = hits.caller_edges(self._frames(source, process).where("depth is not null")).where(F.col(own) == f"{module}!{symbol}")
         return paging.top_with_others(edges, [own], near, "total", most)
 
     def callers(self, module: str, symbol: str, source: int, process: int, most: int) -> DataFrame:

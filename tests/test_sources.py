@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberstack.operators import filters, hits
 from emberstack.recording import Recording
+from emberstack.sources import open as opener
 from emberstack.sources import perf_data as perf
 from emberstack.streaming import live
 
@@ -106,3 +107,27 @@ def test_recording(spark):
     assert none.hottest_functions(5, 0).count() == 1
     assert {(x.thread_id, x.n) for x in none.process_sample_info(1).collect()} == {(5, 1), (6, 2)}
     assert r.session_info().first().samples == 4
+
+
+def test_a_file_is_a_recording(spark, tmp_path):
+    (tmp_path / "a.data").write_bytes(_file("<"))
+    functions = spark.createDataFrame([("/lib/a.so", 900, 1000, "work", "a.cpp", 3)], opener.FUNCTIONS)
+    r = opener.open_recording(spark, str(tmp_path / "a.data"), str(tmp_path / "store"), functions)
+    assert {(x.sample_id, x.source_id, x.ts) for x in r.samples.collect()} == {(4, 0, 20), (5, 1, 21)}
+    assert [(x.depth, x.module, x.symbol, x.file, x.is_leaf) for x in r.stack_frames.orderBy("depth").collect()] == [
+        (1, "/lib/a.so", "a.so!0x0000000000001770", None, False), (2, "/lib/a.so", "work", "a.cpp", True)]
+    with pytest.raises(ValueError, match="unsupported file extension"):
+        opener.open_recording(spark, "x.unknown", str(tmp_path / "other"))
+    events = spark.read.parquet(str(tmp_path / "store/events"))
+    assert {(x.kind, x.n) for x in opener.counts(events).collect()} == {("comm", 1), ("mmap2", 1), ("fork", 1), ("sample", 2)}
+    assert {(x.event_id, x.n, x.first_ts, x.last_ts) for x in opener.counts_by_event(events).collect()} == {(11, 1, 20, 20), (22, 1, 21, 21)}
+
+
+def test_names_and_forks(spark):
+    rows = [("comm", 0, 123, 123, "perf-exec"), ("comm", 10, 123, 123, "proc-a"), ("comm", 15, 456, 456, "proc-b"), ("fork", 15, 456, 456, None), ("fork", 20, 456, 111, None), ("fork", 25, 123, 222, None), ("comm", 25, 123, 222, "thread-222")]
+    events = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, kind string, ts long, pid long, tid long, name string")
+    p = opener.processes(events)
+    of = {x.process_id: (x.pid, x.name, x.start_ts, x.end_ts) for x in p.collect()}
+    assert list(of) == [2**32, 2**32 + 1, 2**32 + 2] and set(of.values()) == {(123, "perf-exec", 0, 10), (123, "proc-a", 10, None), (456, "proc-b", 15, None)}
+    found = {(x.tid, x.name, x.start_ts, x.end_ts, of[x.process_id][1]) for x in opener.threads(events, p).collect()}
+    assert found == {(123, "perf-exec", 0, 10, "perf-exec"), (123, "proc-a", 10, None, "proc-a"), (456, "proc-b", 15, None, "proc-b"), (111, None, 20, None, "proc-b"), (222, "thread-222", 25, None, "proc-a")}
