@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberstack.llm.scratch import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 SHUFFLE_BUCKETS = 4096  # by the first three hex digits of the shuffle key
 TIME_BUCKETS = 4096  # of the virtual finish time up to 2.0; later times share buckets by their logarithm
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 15
     gives an empty result.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("key", key)
+    # The texts are read once: what is kept of a document is three columns.
+    rows = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))).withColumn("key", key)
     # A bucket is a run of the shuffled order, so a source of any size is many buckets.
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % SHUFFLE_BUCKETS)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
