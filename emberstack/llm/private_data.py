@@ -32,7 +32,8 @@ INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 # Digit words.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
 
-ODD = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}！-～٠-٩۰-۹०-९]")
+# The second part is every decimal digit but ASCII's.
+ODD = re.compile(rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～]|[^\D0-9]")
 _AT, _DOT = r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}"
 _ANY_DOT = rf"(?:\.|{_DOT}|\s{{1,3}}dot\s{{1,3}})"
 _HIDDEN_DOT = rf"(?:{_DOT}|\s{{1,3}}dot\s{{1,3}})"
@@ -119,10 +120,9 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if "dot" in low or "at" in low and HINT.search(plain):
         if HINT.search(plain):
             found += [("email", m.start(), m.end()) for m in DISGUISED.finditer(plain) if EMAIL.fullmatch(_undisguised(m[0]))]
-    if sum(f" {w}" in low for w in SPELLED) > 1:
-        for m in SPELLED_RUN.finditer(plain):
-            if sum(p.lower() in SPELLED for p in _PART.findall(m[0])) >= 2 and (span := _spelled(m[0])):
-                found.append((span[0], m.start(), m.end()))
+    for m in SPELLED_RUN.finditer(plain):
+        if sum(p.lower() in SPELLED for p in _PART.findall(m[0])) >= 2 and (span := _spelled(m[0])):
+            found.append((span[0], m.start(), m.end()))
     if at is not None:
         found = [(k, at[a], at[b - 1] + 1) for k, a, b in found]
     out: list[Span] = []

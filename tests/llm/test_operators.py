@@ -89,6 +89,17 @@ def test_private_data(spark):
     assert [r.text for r in red] == ["x [email] y", None] and len(red[0]) == 7
 
 
+def test_every_spelled_run_and_every_digit():
+    said = "five five five zero one nine two eight three four".split()
+    bengali, maths = "".join(chr(0x9E6 + int(c)) for c in "5550192834"), "".join(chr(0x1D7CE + int(c)) for c in "5550192834")
+    thai = ".".join("".join(chr(0xE50 + int(c)) for c in n) for n in ("10", "20", "30", "40"))
+    runs = ["-".join(said), "\n".join(said), "\r\n".join(said), "-".join(said).upper(), " ".join(["four 4"] * 5), "\tnull, null".join(["", "", "", "", "", ""]).strip()]
+    for kind, hidden in [*(("phone", x) for x in runs), ("phone", f"+{bengali}"), ("phone", f"+{maths}"), ("ip", thai)]:
+        for t in (hidden, f"call {hidden}", f"call\n{hidden}\nnow"):
+            assert [(k, t[a:b]) for k, a, b in private_data.all_spans(t)[1]] == [(kind, hidden)], t
+    assert private_data.redacted(f"call {runs[0]} or +{bengali}!") == "call [phone] or [phone]!"
+
+
 def test_quality(spark):
     good, bad = [(i, f"A plain sentence number {i}, with words. And another one." * (1 + i % 3)) for i in range(60)], [(100 + i, f"BUY!! N{i}!! NOW$$$ %%% ***" * (1 + i % 3)) for i in range(60)]
     docs = _docs(spark, [*good, *bad, (500, None), (501, "")])
