@@ -43,6 +43,9 @@ DISGUISED = re.compile(
     rf"(?:{_AT}[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)+|(?:@|\s{{1,3}}at\s{{1,3}})[A-Za-z0-9-]+(?:{_HIDDEN_DOT}[A-Za-z0-9-]+)+)",
     re.IGNORECASE,
 )
+# Addresses with a plain at; of interest where a dot is in brackets.
+BRACKETED_DOT = re.compile(_DOT, re.IGNORECASE)
+HALF_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*@[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 HINT = re.compile(r"[\[({<]\s{0,3}(?:at|dot)\s{0,3}[\])}>]|\sdot\s", re.IGNORECASE)
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\s+|\+\s?)?(?:{_WORD}|[0-9])(?:(?:[\s,-]{{1,2}}|\s(?:dot|point)\s)(?:{_WORD}|[0-9]))+(?!\w)", re.IGNORECASE)
@@ -113,21 +116,22 @@ def _spelled(found: str) -> Span | None:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Disguised identifiers that overlap no plain one of their kind."""
+    """Disguised identifiers that lie within no plain one of their kind, nor within another of these; they may overlap it."""
     plain, at = plain_characters(text)
     found = base_spans(plain) if at is not None else []
     low = plain.lower()
     if "dot" in low or "at" in low and HINT.search(plain):
         if HINT.search(plain):
             found += [("email", m.start(), m.end()) for m in DISGUISED.finditer(plain) if EMAIL.fullmatch(_undisguised(m[0]))]
+            found += [("email", m.start(), m.end()) for m in HALF_DISGUISED.finditer(plain) if BRACKETED_DOT.search(m[0])]
     for m in SPELLED_RUN.finditer(plain):
         if sum(p.lower() in SPELLED for p in _PART.findall(m[0])) >= 2 and (span := _spelled(m[0])):
             found.append((span[0], m.start(), m.end()))
     if at is not None:
         found = [(k, at[a], at[b - 1] + 1) for k, a, b in found]
     out: list[Span] = []
-    for k, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])):
-        if not any(k == k2 and a < b2 and a2 < b for k2, a2, b2 in [*base, *out]):
+    for k, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], -s[2])):
+        if not any(k == k2 and a2 <= a and b <= b2 for k2, a2, b2 in [*base, *out]):
             out.append((k, a, b))
     return out
 

@@ -100,6 +100,19 @@ def test_every_spelled_run_and_every_digit():
     assert private_data.redacted(f"call {runs[0]} or +{bengali}!") == "call [phone] or [phone]!"
 
 
+def test_disguised_span_around_a_plain_one():
+    for kind, plain, whole in [
+        ("email", "hn.doe@example.com", "j\u043ehn.doe@example.com"), ("email", "hn@example.com", "jo\u200bhn@example.com"), ("email", "doe@example.com", "john [dot] doe@example.com"),
+        ("email", "doe@mail.example", "j.john (dot) doe@mail.example [dot] com"), ("email", "jo@mail.example", "jo@mail.example [dot] com"),
+        ("phone", "+1 487 555 72", "+1 487 555 72\u200b09"), ("phone", "+1 487 555 72", "+1 487 555 72\uff10\uff19"), ("ip", "2.3.4.5", "\uff112.3.4.5"),
+    ]:
+        t = f"write {whole} now"
+        base, every = private_data.all_spans(t)
+        assert [(k, t[a:b]) for k, a, b in base] == [(kind, plain)], t
+        assert sorted((k, t[a:b]) for k, a, b in every) == sorted([(kind, plain), (kind, whole)]), t
+        assert private_data.redacted(t) == f"write [{kind}] now"
+
+
 def test_quality(spark):
     good, bad = [(i, f"A plain sentence number {i}, with words. And another one." * (1 + i % 3)) for i in range(60)], [(100 + i, f"BUY!! N{i}!! NOW$$$ %%% ***" * (1 + i % 3)) for i in range(60)]
     docs = _docs(spark, [*good, *bad, (500, None), (501, "")])
