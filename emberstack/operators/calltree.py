@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nodes(frames: DataFrame) -> DataFrame:
-    """``(path, parent, depth, total, self)``: a node for each distinct path from the root; the root's children have parent ''.
+def nodes(frames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, parent, depth, *by, total, self)``: a node for each distinct path from the root; the root's children have parent ''.
+
+    With ``by`` (columns that are the same for all frames of a sample, as its source) a row for each node and value of them.
 
     Paths are joined names. Stacks that are equal are counted first, so frames of a frequent stack are expanded once.
     """
     name = F.concat_ws("!", "module", "symbol")
-    stacks = frames.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", name.alias("f")))), lambda x: x["f"]).alias("stack"))
-    stacks = stacks.groupBy("stack").agg(F.count("*").alias("n"))
+    stacks = frames.groupBy("sample_id", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", name.alias("f")))), lambda x: x["f"]).alias("stack"))
+    stacks = stacks.groupBy("stack", *by).agg(F.count("*").alias("n"))
     size = F.size("stack")
-    cut = stacks.select("stack", "n", F.explode(F.sequence(F.lit(1), size)).alias("depth"))
+    cut = stacks.select("stack", *by, "n", F.explode(F.sequence(F.lit(1), size)).alias("depth"))
     path = F.array_join(F.slice("stack", F.lit(1), F.col("depth")), ">")
     parent = F.when(F.col("depth") == 1, F.lit("")).otherwise(F.array_join(F.slice("stack", F.lit(1), F.col("depth") - 1), ">"))
     own = F.when(F.col("depth") == size, F.col("n")).otherwise(0)
-    return cut.select(path.alias("path"), parent.alias("parent"), F.col("depth").cast("long").alias("depth"), "n", own.alias("own")).groupBy("path", "parent", "depth").agg(F.sum("n").alias("total"), F.sum("own").alias("self"))
+    return cut.select(path.alias("path"), parent.alias("parent"), F.col("depth").cast("long").alias("depth"), *by, "n", own.alias("own")).groupBy("path", "parent", "depth", *by).agg(F.sum("n").alias("total"), F.sum("own").alias("self"))
 
 
 def children(tree: DataFrame, path: str) -> DataFrame:

@@ -19,3 +19,23 @@ def top_with_others(rows: DataFrame, group: list[str], label: str, value: str, m
     ranked = rows.withColumns({"__rn": F.row_number().over(w.orderBy(F.desc(value), label)), "__n": F.count("*").over(w)})
     shown = F.when((F.col("__n") <= most) | (F.col("__rn") < most), F.col(label)).otherwise("[others]")
     return ranked.groupBy(*group, shown.alias(label)).agg(F.sum(value).alias(value))
+
+
+def _of_source(value: str, source: int):
+    return F.sum(F.when(F.col("source_id") == source, F.col(value)).otherwise(0)).alias(value)
+
+
+def page_by_source(hits: DataFrame, key: list[str], by: list[str], size: int, index: int, source: int, descending: bool = False) -> DataFrame:
+    """``page`` over all keys of ``hits(*key, source_id, total, self)``, ordered by the hits of ``source``: those of every source."""
+    ordered = hits.groupBy(*key).agg(_of_source("total", source), _of_source("self", source))
+    return hits.join(F.broadcast(page(ordered, by, size, index, descending).select(*key)), key)  # at most a page
+
+
+def top_with_others_by_source(rows: DataFrame, group: list[str], label: str, value: str, most: int, source: int) -> DataFrame:
+    """``top_with_others`` over the rows of every source, ranked by the value of ``source``; sums by source."""
+    most = max(1, most)
+    w = Window.partitionBy(*group)
+    ranked = rows.groupBy(*group, label).agg(_of_source(value, source)).withColumns({"__rn": F.row_number().over(w.orderBy(F.desc(value), label)), "__n": F.count("*").over(w)})
+    shown = F.when((F.col("__n") <= most) | (F.col("__rn") < most), F.col(label)).otherwise("[others]")
+    ranked = ranked.select(*group, label, shown.alias("__shown"))
+    return rows.join(ranked, [*group, label]).groupBy(*group, F.col("__shown").alias(label), "source_id").agg(F.sum(value).alias(value))

@@ -104,6 +104,24 @@ def callers_topk_others(spark, d):
     return paging.top_with_others(edges, ["callee"], "caller", "total", 4)
 
 
+def _others_all_sources(name: str, group: str, label: str) -> None:
+    """Edges of every source; those of a group are ranked by their hits of source 0."""
+
+    def run(spark, d):
+        return paging.top_with_others_by_source(hits.caller_edges(p.frames(spark, d)), [group], label, "total", 4, 0)
+
+    run.__name__ = f"{name}_topk_others_all_sources"
+    query(f"""{EDGES}, e AS (SELECT caller, callee, source_id, count(*) AS total FROM edges GROUP BY caller, callee, source_id),
+k AS (SELECT caller, callee, sum(CASE WHEN source_id = 0 THEN total ELSE 0 END) AS own FROM e GROUP BY caller, callee),
+r AS (SELECT caller, callee, row_number() OVER (PARTITION BY {group} ORDER BY own DESC, {label}) AS rn, count(*) OVER (PARTITION BY {group}) AS n FROM k)
+SELECT e.{group}, CASE WHEN n <= 4 OR rn < 4 THEN e.{label} ELSE '[others]' END AS {label}, source_id, CAST(sum(total) AS BIGINT) AS total
+FROM e JOIN r ON e.caller = r.caller AND e.callee = r.callee GROUP BY ALL""")(run)
+
+
+_others_all_sources("callees", "caller", "callee")
+_others_all_sources("callers", "callee", "caller")
+
+
 @query(f"""{WITH}, top AS (SELECT module, symbol FROM frames WHERE source_id = 0 GROUP BY module, symbol ORDER BY sum(is_leaf) DESC, count(*) DESC, module, symbol LIMIT 1)
 SELECT source_id, instr_line, {HITS} FROM frames JOIN top USING (module, symbol) WHERE file IS NOT NULL GROUP BY source_id, instr_line""")
 def hottest_function_lines(spark, d):
@@ -138,9 +156,23 @@ def _pages(name: str, by: list[str], descending: bool) -> None:
     query(f"{WITH} SELECT module, symbol, {HITS} FROM frames WHERE source_id = 0 GROUP BY module, symbol ORDER BY {order} LIMIT 10 OFFSET 20")(run)
 
 
+def _pages_all_sources(name: str, by: list[str], descending: bool) -> None:
+    """Functions of every source; hits are ordered by those of source 0."""
+    order = ", ".join(f"{c} DESC" if descending else c for c in by)
+
+    def run(spark, d):
+        return paging.page_by_source(hits.function_hits(p.frames(spark, d)), ["module", "symbol"], by, 10, 2, 0, descending)
+
+    run.__name__ = f"functions_page_{name}_{'desc' if descending else 'asc'}_all_sources"
+    query(f"""{WITH}, f AS (SELECT module, symbol, source_id, {HITS} FROM frames GROUP BY ALL),
+o AS (SELECT module, symbol, sum(CASE WHEN source_id = 0 THEN total ELSE 0 END) AS total, sum(CASE WHEN source_id = 0 THEN self ELSE 0 END) AS self FROM f GROUP BY module, symbol ORDER BY {order} LIMIT 10 OFFSET 20)
+SELECT f.module, f.symbol, f.source_id, f.total, f.self FROM f JOIN o ON f.module = o.module AND f.symbol = o.symbol""")(run)
+
+
 for _name, _by in (("name", ["symbol", "module"]), ("total", ["total", "symbol", "module"]), ("self", ["self", "symbol", "module"])):
     for _down in (False, True):
         _pages(_name, _by, _down)
+        _pages_all_sources(_name, _by, _down)
 
 TREE = f"""{WITH}, paths AS (
   SELECT string_agg(module || '!' || symbol, '>') OVER (PARTITION BY sample_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path,
@@ -163,6 +195,24 @@ def call_tree_children(spark, d):
     return calltree.children(_tree(spark, d), "")
 
 
+TREE_ALL = f"""{WITH}, paths AS (
+  SELECT string_agg(module || '!' || symbol, '>') OVER (PARTITION BY sample_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path,
+    coalesce(string_agg(module || '!' || symbol, '>') OVER (PARTITION BY sample_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS parent, depth, source_id, is_leaf
+  FROM frames),
+tree AS (SELECT path, parent, CAST(depth AS BIGINT) AS depth, source_id, {HITS} FROM paths GROUP BY path, parent, depth, source_id)"""
+
+
+@query(f"{TREE_ALL} SELECT * FROM tree")
+def call_tree_nodes_all_sources(spark, d):
+    """The whole tree, a row for each node and source that hits it."""
+    return calltree.nodes(p.frames(spark, d), ("source_id",))
+
+
+@query(f"{TREE_ALL} SELECT * FROM tree WHERE parent = ''")
+def call_tree_children_all_sources(spark, d):
+    return calltree.children(calltree.nodes(p.frames(spark, d), ("source_id",)), "")
+
+
 @query(f"""{TREE}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY total DESC, path) AS rn FROM tree) WHERE rn = 1),
 root AS (SELECT CAST(0 AS BIGINT) AS self),
 h AS (SELECT path, depth, total, t.self FROM top t, root r WHERE parent = '' AND total > r.self

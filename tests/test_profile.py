@@ -50,6 +50,26 @@ def test_call_tree(spark, stacks):
     assert tree.join(parents.withColumnRenamed("parent", "path"), "path").where("total <> self + kids").count() == 0
 
 
+def test_all_sources(spark, stacks):
+    """Hits by source of functions and paths that source 0 never sees."""
+    frames = stacks[1].withColumn("source_id", F.col("sample_id") - 1)
+    a, b, c = "mod_a.so!func_a", "mod_b.dll!func_b", "mod_a.so!func_c"
+    tree = calltree.nodes(frames, ("source_id",))
+    assert _of(tree, "path", "source_id") == {(a, 0): (1, 0), (a, 1): (1, 0), (f"{a}>{b}", 0): (1, 1), (f"{a}>{c}", 1): (1, 0), (f"{a}>{c}>{b}", 1): (1, 1)}
+    page = paging.page_by_source(hits.function_hits(frames), ["module", "symbol"], ["total", "symbol"], 2, 0, 0)
+    assert _of(page, "symbol", "source_id") == {("func_c", 1): (1, 0), ("func_a", 0): (1, 0), ("func_a", 1): (1, 0)}
+    rows = [("g", x, s, v) for x, s, v in (("a", 1, 9), ("b", 0, 2), ("b", 1, 1), ("c", 0, 3), ("d", 2, 4))]
+    top = paging.top_with_others_by_source(spark.createDataFrame(rows, "k string, name string, source_id long, v long"), ["k"], "name", "v", 3, 0)
+    assert {(r.name, r.source_id, r.v) for r in top.collect()} == {("c", 0, 3), ("b", 0, 2), ("b", 1, 1), ("[others]", 1, 9), ("[others]", 2, 4)}
+
+
+def test_every_listed_operator_has_all_sources():
+    from emberstack.plans.queries import QUERIES, SQL
+
+    names = ["call_tree_nodes", "call_tree_children", "callees_topk_others", "callers_topk_others", *(x for x in QUERIES if x.startswith("functions_page_") and not x.endswith("_all_sources"))]
+    assert len(names) == 10 and all(f"{x}_all_sources" in QUERIES and "WHERE source_id = 0" not in SQL[f"{x}_all_sources"] for x in names)
+
+
 def test_history_and_asof(spark):
     events = spark.createDataFrame([(1, 10, "a"), (1, 11, "a"), (1, 11, "b"), (2, 5, "c")], "id long, ts long, name string")
     kept = {(r.id, r.ts, r.name) for r in temporal.history(events, "id", ["ts", "name"], "name").collect()}
