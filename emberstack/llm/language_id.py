@@ -97,7 +97,7 @@ def identify(units: DataFrame, model: TextModel, keys: list[str], strength: floa
     """``keys``, ``lang``, ``confidence`` and ``text_lang`` of each row of ``units(*keys, text, host, declared)``.
 
     Null or empty texts have no likelihood of their own; a null host has the prior of all, a null declaration says nothing. The
-    address suffix is that of the host, where it has one. Hosts are aggregated before they are joined. Repeated rows count
+    address suffix is that of the host without dots at its end, where it has one. Hosts are aggregated before they are joined. Repeated rows count
     each time. Without any known language ``lang`` is null.
     """
     langs = model.languages
@@ -116,8 +116,9 @@ def identify(units: DataFrame, model: TextModel, keys: list[str], strength: floa
     schema = StructType([*(rows.schema[c] for c in columns), StructField("p", ArrayType(DoubleType()))])
     n = len(langs)
     read = rows.mapInArrow(run, schema)
-    has_suffix = F.col("host").contains(".")
-    read = read.withColumns({"suffix": F.when(has_suffix, F.substring_index("host", ".", -1)), "domain": F.when(has_suffix, F.substring_index("host", ".", -2)).otherwise(F.col("host"))})
+    name = F.rtrim("host", F.lit("."))  # so no suffix is empty: that key stands for hosts without one
+    has_suffix = name.contains(".")
+    read = read.withColumns({"suffix": F.when(has_suffix, F.substring_index(name, ".", -1)), "domain": F.when(has_suffix, F.substring_index(name, ".", -2)).otherwise(name)})
     read = saved(read)
     hosts = saved(read.groupBy("host", "domain", "suffix").agg(*_sums(n)))
 

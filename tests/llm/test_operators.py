@@ -152,6 +152,14 @@ def test_language_id(spark):
     assert language_id.identify(units.limit(0), model, ["id"]).count() == 0
 
 
+def test_a_host_that_ends_in_a_dot_doubles_no_row(spark):
+    docs = _docs(spark, [(k * 20 + i, f"{w} {i}", "s", x) for k, (x, w) in enumerate({"en": "the house and garden", "de": "das haus und der garten"}.items()) for i in range(20)])
+    hosts = ["example.com.", "example.com", "a.example.com..", "b.de", "plain", "other", "plain.", ".", "", None]
+    units = spark.createDataFrame([(i, "das haus", h, None) for i, h in enumerate(hosts * 2)], "id long, text string, host string, declared string")
+    got = language_id.identify(units, language_id.train(docs), ["id"]).collect()
+    assert sorted(r.id for r in got) == list(range(20)) and {r.lang for r in got} == {"de"}
+
+
 def test_prefix_forest(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((20, 16))
