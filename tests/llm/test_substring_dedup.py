@@ -1,0 +1,79 @@
+"""The index over sessions and compactions against brute force, and many equal rows."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from emberstack.llm import substring_dedup
+
+SCHEMA = "doc_id long, text string, h long, rk string"
+
+
+def _corpus(seed: int) -> list[tuple]:
+    rng = np.random.default_rng(seed)
+    words = [f"w{x}" for x in np.random.default_rng(1).integers(0, 3000, 600)]
+    rows = []
+    for i in range(25):
+        a, b = sorted(rng.integers(0, 600, 2).tolist())
+        own = [f"{seed}-{x}" for x in rng.integers(0, 9, 20)]
+        rows.append((100 * seed + i, " ".join([*own, *words[a : min(b, a + 90)], *own])))
+    return rows + [(100 * seed + 90, rows[3][1]), (None, rows[5][1]), (None, None), (100 * seed + 91, ""), (7, " ".join(words[:35]))]
+
+
+def _brute(rows, past, words=35):
+    lists = [(t or "").split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + words]) for w in [*lists, *[(t or "").split() for _, t in past]] for i in range(len(w) - words + 1))
+    out = []
+    for (i, _), w in zip(rows, lists):
+        gone = {k for s in range(len(w) - words + 1) if seen[tuple(w[s : s + words])] > 1 for k in range(s, s + words)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most_runs", [1, 2, 9])
+def test_batches_of_later_sessions(spark, tmp_path, most_runs):
+    where, past = str(tmp_path / "index"), []
+    for n in (1, 2, 3, 4):
+        rows = _corpus(n) if n != 3 else []
+        docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+        got = substring_dedup.add_batch(docs, where, with_text=True, most_runs=most_runs)
+        assert sorted(map(tuple, got.collect()), key=str) == _brute(rows, past)
+        past += rows
+        spark.catalog.clearCache()
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]  # the index lives in its folder alone
+    runs = [f for f in os.listdir(where) if f.startswith("run-")]
+    assert len(runs) <= most_runs + 1 and substring_dedup.FingerprintIndex(spark, where).batches == 4
+
+
+def test_a_batch_that_failed_is_not_of_the_index(spark, tmp_path, monkeypatch):
+    where, rows = str(tmp_path / "index"), _corpus(1)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "_judged", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            substring_dedup.add_batch(docs, where)
+    assert sorted(map(tuple, substring_dedup.add_batch(docs, where, with_text=True).collect()), key=str) == _brute(rows, [])
+
+
+def test_a_run_that_a_compacted_one_holds_is_not_read(spark, tmp_path):
+    for name in ("run-0-0-4", "run-0-1-4", "run-1-1-4", "run-2-2-8", "run-3-3-4", "pending-4-4-4"):
+        (tmp_path / name).mkdir()
+        if name != "run-3-3-4":
+            (tmp_path / name / "_SUCCESS").touch()
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path))
+    assert index.runs == [(0, 1, 4), (2, 2, 8)] and index.batches == 3
+
+
+def test_very_many_equal_rows_and_a_long_text(spark):
+    text = " ".join(f"w{i % 700}x{i}" for i in range(900))
+    rows = spark.range(8000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text")
+    long = " ".join(f"y{i}" for i in range(60000))
+    docs = rows.unionByName(spark.createDataFrame([(1, long), (2, text + " end")], "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == {(None, 900, 900): 8000, (1, 60000, 0): 1, (2, 901, 900): 1}
