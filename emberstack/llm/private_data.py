@@ -1,9 +1,14 @@
 """Personal data in text, also where it is disguised, with spans in the source's code points.
 
-Base patterns find plain addresses. Then transducers rewrite a text and keep, for each character they write, the span of the
-source it came from: one maps look-alike letters, full-width forms and other scripts' digits and drops zero-width
-characters; one rewrites at/dot disguises; one rewrites spelled digits. Identifiers detected in what they wrote are
-mapped back to the source.
+Base patterns find plain identifiers. Then transducers rewrite the text onto tapes. A tape holds, for each character it
+was written, the span of the source that the character stands for, whatever was rewritten before; so an identifier
+detected on a tape is mapped back to the source by the spans of its first and last character.
+
+- characters: look-alike letters, full-width forms and other scripts' digits become plain, invisible ones go;
+- at and dot: disguises such as " [at] " or " dot " become single marks;
+- spelled digits: in runs of digits and digit words, words become digits and what parts them one space, or nothing.
+
+Everything is linear in the text: an address is read outward from its at, an ip from the run of digits and dots it is in.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,40 +26,71 @@ from pyspark.sql import DataFrame
 from emberstack.llm.hashing import slices
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Look-alike letters of other scripts and the Latin letters they stand for.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅαονικρτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSaovikptuxABEZHIKMNOPTYX"))
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-# Digit words.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+# Digit words of English, German, French and Spanish.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
 
 # The second part is every decimal digit but ASCII's.
 ODD = re.compile(rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～]|[^\D0-9]")
-_AT, _DOT = r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}"
-_ANY_DOT = rf"(?:\.|{_DOT}|\s{{1,3}}dot\s{{1,3}})"
-_HIDDEN_DOT = rf"(?:{_DOT}|\s{{1,3}}dot\s{{1,3}})"
-_NAME = r"[A-Za-z0-9_%+-]+"
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME})*"
-    rf"(?:{_AT}[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)+|(?:@|\s{{1,3}}at\s{{1,3}})[A-Za-z0-9-]+(?:{_HIDDEN_DOT}[A-Za-z0-9-]+)+)",
-    re.IGNORECASE,
-)
-# Addresses with a plain at; of interest where a dot is in brackets.
-BRACKETED_DOT = re.compile(_DOT, re.IGNORECASE)
-HALF_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*@[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
+# What the at and dot transducer writes: marks of private use, so that a tape still says how plainly a character was written.
+AT, BARE_AT, DOT, BARE_DOT = "\ue000", "\ue001", "\ue002", "\ue003"
+HIDDEN = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:(?P<at>at)|(?P<dot>dot))\s{0,3}[\])}>]\s{0,3}|\s{1,3}(?:(?P<bare_at>at)|(?P<bare_dot>dot))(?=\s)\s{1,3}", re.IGNORECASE)
 HINT = re.compile(r"[\[({<]\s{0,3}(?:at|dot)\s{0,3}[\])}>]|\sdot\s", re.IGNORECASE)
+NAMED = re.compile(rf"[A-Za-z0-9_%+-]+(?:[.{DOT}{BARE_DOT}][A-Za-z0-9_%+-]+)*")
+HOSTED = re.compile(rf"[A-Za-z0-9-]+(?:[.{DOT}{BARE_DOT}][A-Za-z0-9-]+)+")
+ANY_AT = re.compile(rf"[@{AT}{BARE_AT}]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\s+|\+\s?)?(?:{_WORD}|[0-9])(?:(?:[\s,-]{{1,2}}|\s(?:dot|point)\s)(?:{_WORD}|[0-9]))+(?!\w)", re.IGNORECASE)
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\s+|\+\s?)?(?:{_WORD}|[0-9]+)(?:(?:[\s,-]{{1,2}}|\s(?:dot|point)\s)(?:{_WORD}|[0-9]+))+(?!\w)", re.IGNORECASE)
 _PART = re.compile(rf"{_WORD}|[0-9]|dot|point|plus|\+", re.IGNORECASE)
 
 Span = tuple[str, int, int]
 
 
+class Tape:
+    """What a transducer wrote, and for each character the span of the source it stands for (None: the source itself)."""
+
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+        self.text, self.starts, self.ends = text, starts, ends
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
+
+    def rewritten(self, edits: list[tuple[int, int, str]]) -> Tape:
+        """A tape on which each ``(from, to, with)``, in order and apart, is replaced; the new characters stand for the replaced."""
+        if not edits:
+            return self
+        starts, ends = (range(len(self.text)), range(1, len(self.text) + 1)) if self.starts is None else (self.starts, self.ends)
+        out, at, upto, done = [], [], [], 0
+        for a, b, new in edits:
+            out += [self.text[done:a], new]
+            at += starts[done:a]
+            upto += ends[done:a]
+            if new:
+                first, last = self.span(a, b)
+                at += [first] * len(new)
+                upto += [last] * len(new)
+            done = b
+        out.append(self.text[done:])
+        return Tape("".join(out), [*at, *starts[done:]], [*upto, *ends[done:]])
+
+    def found(self, spans: list[Span]) -> list[Span]:
+        return [(k, *self.span(a, b)) for k, a, b in spans]
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -62,14 +99,45 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[Span]:
+    """Leftmost matches of local part, at and two labels or more, each read outward from its at."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > done and text[a - 1] in LOCAL:
+            a -= 1
+        if a < at and (m := LABELS.match(text, at + 1)):
+            out.append(("email", a, m.end()))
+            done = m.end()
+        else:
+            done = at + 1
+        at = text.find("@", max(done, at + 1))
+    return out
+
+
+def _ips(text: str) -> list[Span]:
+    """Of a run of numbers and dots every four numbers from the left; those with a part above 255 are dropped."""
+    out = []
+    for run in NUMBERS.finditer(text):
+        parts = run[0].split(".")
+        a = run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            b = a + sum(map(len, four)) + 3
+            if all(len(p := x.lstrip("0")) < 4 and int(p or "0") <= 255 for x in four):
+                out.append(("ip", a, b))
+            a = b + 1
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Plain identifiers, in the order of KINDS and then of their start; leftmost, non-overlapping within a kind."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += _emails(text)
     if DIGIT.search(text):
         if text.count(".") > 2:
-            out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            out += _ips(text)
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = "".join(DIGIT.findall(m[0]))
@@ -80,66 +148,112 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def plain_characters(text: str) -> tuple[str, list[int] | None]:
-    """The text with look-alikes, full-width forms and digits made plain and invisible characters gone; the source index of
-    each character, or None if nothing changed."""
-    if text.isascii() or not ODD.search(text):
-        return text, None
-    out, at = [], []
-    for i, c in enumerate(text):
-        if c in INVISIBLE:
+def _plain(c: str) -> str:
+    if c in INVISIBLE:
+        return ""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    if "！" <= c <= "～":
+        return chr(ord(c) - 0xFEE0)
+    return str(unicodedata.digit(c))
+
+
+def plain_characters(tape: Tape) -> Tape:
+    """Look-alikes, full-width forms and digits made plain, invisible characters gone."""
+    if tape.text.isascii():
+        return tape
+    return tape.rewritten([(m.start(), m.end(), _plain(m[0])) for m in ODD.finditer(tape.text)])
+
+
+def marked_disguises(tape: Tape) -> Tape:
+    """Disguises of at and dot as marks."""
+    marks = {"at": AT, "dot": DOT, "bare_at": BARE_AT, "bare_dot": BARE_DOT}
+    return tape.rewritten([(m.start(), m.end(), marks[m.lastgroup]) for m in HIDDEN.finditer(tape.text)])
+
+
+def disguised_emails(tape: Tape) -> list[Span]:
+    """Addresses on a tape of marks. A bracketed at may have any dots; a bare one needs a disguised dot in its domain, a plain
+    one a bracketed dot somewhere or any disguised one in its domain."""
+    text, out, done = tape.text, [], 0
+    for m in ANY_AT.finditer(text):
+        at = m.start()
+        a = at
+        while a > done and (text[a - 1] in LOCAL or text[a - 1] in (DOT, BARE_DOT)):
+            a -= 1
+        host = HOSTED.match(text, at + 1)
+        if a == at or not host:
             continue
-        if c in LOOKALIKES:
-            c = LOOKALIKES[c]
-        elif "！" <= c <= "～":
-            c = chr(ord(c) - 0xFEE0)
-        elif c > "\x7f" and unicodedata.category(c) == "Nd":
-            c = str(unicodedata.digit(c))
-        out.append(c)
-        at.append(i)
-    return "".join(out), at
-
-
-def _spelled(found: str) -> Span | None:
-    """What a run of digit words says, if it is an identifier; the span is that of the run."""
-    said = "".join({"dot": ".", "point": ".", "plus": "+", "+": "+"}.get(p.lower(), SPELLED.get(p.lower(), p)) for p in _PART.findall(found))
-    digits = said.replace(".", "").replace("+", "")
-    if IP.fullmatch(said) and all(int(p) <= 255 for p in said.split(".")):
-        return ("ip", 0, len(found))
-    if "." in said or digits.isdigit() is False:
-        return None
-    if 16 <= len(digits) <= 19 and _luhn(digits):
-        return ("card", 0, len(found))
-    if said.startswith("+") and 8 <= len(digits) <= 15 or 10 <= len(digits) <= 15:
-        return ("phone", 0, len(found))
-    return None
+        # The name is the last part of what is before the at that has no two dots together.
+        name = None
+        for name in NAMED.finditer(text, a, at):
+            pass
+        if name is None or name.end() != at:
+            continue
+        shown = text[name.start() : host.end()]
+        if m[0] == AT or any(c in (DOT, BARE_DOT) for c in host[0]) or m[0] == "@" and DOT in shown:
+            out.append(("email", name.start(), host.end()))
+            done = host.end()
+    return tape.found(out)
 
 
-def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Disguised identifiers that lie within no plain one of their kind, nor within another of these; they may overlap it."""
-    plain, at = plain_characters(text)
-    found = base_spans(plain) if at is not None else []
-    low = plain.lower()
-    if "dot" in low or "at" in low and HINT.search(plain):
-        if HINT.search(plain):
-            found += [("email", m.start(), m.end()) for m in DISGUISED.finditer(plain) if EMAIL.fullmatch(_undisguised(m[0]))]
-            found += [("email", m.start(), m.end()) for m in HALF_DISGUISED.finditer(plain) if BRACKETED_DOT.search(m[0])]
-    for m in SPELLED_RUN.finditer(plain):
-        if sum(p.lower() in SPELLED for p in _PART.findall(m[0])) >= 2 and (span := _spelled(m[0])):
-            found.append((span[0], m.start(), m.end()))
-    if at is not None:
-        found = [(k, at[a], at[b - 1] + 1) for k, a, b in found]
+def spelled_numbers(tape: Tape) -> list[Span]:
+    """Identifiers in runs of digits of which two or more are spelled. A run is rewritten twice: what parts digits as one space,
+    for cards and phones, or as nothing, for ips. A run of 10 to 15 digits is a phone without a plus too."""
     out: list[Span] = []
-    for k, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], -s[2])):
-        if not any(k == k2 and a2 <= a and b <= b2 for k2, a2, b2 in [*base, *out]):
-            out.append((k, a, b))
+    for run in SPELLED_RUN.finditer(tape.text):
+        parts = [(m.start() + run.start(), m.end() + run.start(), m[0].lower()) for m in _PART.finditer(run[0])]
+        if sum(p in SPELLED for *_, p in parts) < 2:
+            continue
+        said = [(a, b, {"dot": ".", "point": ".", "plus": "+"}.get(p, SPELLED.get(p, p))) for a, b, p in parts]
+        digits = "".join(c for *_, c in said if c.isdigit())
+        own: list[Span] = []
+        if any(c == "." for *_, c in said):
+            joined = _written(tape, said, "")
+            own = joined.found([s for s in base_spans(joined.text) if s[0] == "ip"])
+        else:
+            spaced = _written(tape, said, " ")
+            own = spaced.found([s for s in base_spans(spaced.text) if s[0] in ("card", "phone")])
+            if not own and 10 <= len(digits) <= 15:
+                own = [("phone", *tape.span(run.start(), run.end()))]
+        out += own
     return out
 
 
-def _undisguised(found: str) -> str:
-    found = re.sub(_AT, "@", found, flags=re.IGNORECASE)
-    found = re.sub(rf"{_DOT}|\s+dot\s+", ".", found, flags=re.IGNORECASE)
-    return re.sub(r"\s+at\s+", "@", found, count=1, flags=re.IGNORECASE)
+def _written(tape: Tape, said: list[tuple[int, int, str]], between: str) -> Tape:
+    """A tape of the characters ``said``, with ``between`` where digits were apart on ``tape``."""
+    text, starts, ends, before = [], [], [], None
+    for a, b, c in said:
+        if before is not None and between and a > before[1] and before[2].isdigit():
+            text.append(between)
+            starts.append(tape.span(before[0], before[1])[1])
+            ends.append(tape.span(a, b)[0])
+        text.append(c)
+        first, last = tape.span(a, b)
+        starts.append(first)
+        ends.append(last)
+        before = (a, b, c)
+    return Tape("".join(text), starts, ends)
+
+
+def added_spans(text: str, base: list[Span]) -> list[Span]:
+    """Disguised identifiers that lie within no plain one of their kind, nor within another of these; they may overlap it."""
+    tape = plain_characters(Tape(text))
+    found = tape.found(base_spans(tape.text)) if tape.starts is not None else []
+    if HINT.search(tape.text):
+        found += disguised_emails(marked_disguises(tape))
+    found += spelled_numbers(tape)
+    if not found:
+        return found
+    out: list[Span] = []
+    for kind in KINDS:
+        plain = [(a, b) for k, a, b in base if k == kind]
+        upto = -1
+        for _, a, b in sorted((s for s in found if s[0] == kind), key=lambda s: (s[1], -s[2])):
+            within = bisect_right(plain, (a, len(text) + 1)) - 1
+            if b > upto and not (within >= 0 and b <= plain[within][1]):
+                out.append((kind, a, b))
+                upto = b
+    return out
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
