@@ -104,14 +104,15 @@ class Words:
         return mix((p[first + count] - p[first]) * _power(_WORD_BASE, len(p))[1][first] + count.astype(np.uint64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``most`` bytes of text; a longer document is a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about ``most`` bytes of text and at most ``rows`` rows; a longer document is a slice
+    of its own."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         upto = np.cumsum(size)
         at = 0
         while at < len(size):
             done = upto[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(upto, done + most, side="right")))
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, done + most, side="right"))))
             yield batch.slice(at, end - at)
             at = end
