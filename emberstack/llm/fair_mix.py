@@ -12,6 +12,8 @@ the order plus the total of the buckets before it, and only bucket totals meet i
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from emberstack.llm.scratch import saved
 WORD = r"[^\x20\x09-\x0D]+"
 SHUFFLE_BUCKETS = 4096  # by the first three hex digits of the shuffle key
 TIME_BUCKETS = 4096  # of the virtual finish time up to 2.0; later times share buckets by their logarithm
+CHUNK = 10_000  # of equal rows
 
 
 def n_words(text: Column) -> Column:
@@ -56,41 +59,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), perce
     return full.select("source", "source_size", target.alias("target")).unionByName(weighed.where("source_size = 0").select("source", "source_size", F.lit(0.0).alias("target")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, cap: int = 2, seed: str = "mix") -> DataFrame:
-    """Rows ``(doc_id, source, size, source_size, target, taken, copies)``, one for each row of ``docs(doc_id, text, source)``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, cap: int = 2, seed: str = "mix", key: Sequence[str] = ("doc_id",), keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(doc_id, source, size, source_size, target, taken, copies, *keep)``, one for each row of ``docs(doc_id, text, source)``.
 
     ``taken`` is ``size`` times the number of the document's ``cap`` places in the merged queue that end within the
     budget, ``copies`` that number. Documents are taken whole. Null or empty texts have size 0 and are taken 0 times;
     a null source is a source. Rows that repeat a doc_id are documents of their own; equal ones are interchangeable.
-    The shuffled order is that of md5(seed, doc_id), so reruns agree. Other columns are ignored. An empty table
-    gives an empty result.
+    The shuffled order is that of md5(seed, *key), so reruns agree. ``keep`` names columns of ``docs`` that tell rows apart
+    or are wanted in the result. Other columns are ignored. An empty table gives an empty result.
+
+    Rows equal in all that is kept of them are one row with a number until their places are dealt, so that a key which a third
+    of all rows have is no group of a window.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    # The texts are read once: what is kept of a document is three columns.
-    rows = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))).withColumn("key", key)
+    also = [*key, *keep]
+    own = list(dict.fromkeys(["doc_id", "source", *also]))
+    # The texts are read once: what is kept of a document is a few columns.
+    rows = saved(docs.select(*own, n_words(F.col("text")).alias("size")))
+    targets = saved(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, cap))
+    t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
+    idle = rows.where("size = 0").join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    idle = idle.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"), *keep)
+
+    live = rows.where("size > 0").groupBy(*own, "size").agg(F.count("*").alias("equal"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key]))
+    live = live.withColumn("order", order)
     # A bucket is a run of the shuffled order, so a source of any size is many buckets.
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % SHUFFLE_BUCKETS)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, percent, cap)
+    live = live.withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int") % SHUFFLE_BUCKETS)
+    sums = live.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("equal")).alias("bucket_size"))
     earlier = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = sums.withColumn("before", earlier)
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    before = before.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before", "source_size", "target")
-    shuffled = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
-    within = F.sum("size").over(shuffled.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumns({"within": within, "pos": F.row_number().over(shuffled)}).join(before, (F.col("bucket") == F.col("b_bucket")) & F.col("source").eqNullSafe(F.col("b_source")))
-    placed = placed.select("doc_id", "source", "size", "key", "bucket", "pos", "source_size", "target", (F.col("before") + F.col("within")).alias("cumulative"))
+    before = sums.withColumn("before", earlier).join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    before = before.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before", "source_size", "target")
+    shuffled = Window.partitionBy("source", "bucket").orderBy("order", *own, "size")
+    within = F.coalesce(F.sum(F.col("size") * F.col("equal")).over(shuffled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = live.withColumn("within", within).join(before, (F.col("bucket") == F.col("b_bucket")) & F.col("source").eqNullSafe(F.col("b_source")))
+    # One row for each of the equal ones, in two steps so that no array is long.
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("equal") - 1, F.lit(CHUNK)))))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("equal"), (F.col("chunk") + 1) * CHUNK))))
+    placed = placed.select(*own, "size", "order", "source_size", "target", (F.col("before") + F.col("within") + F.col("nth") * F.col("size")).alias("cumulative"))
+
     queue = placed.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(cap)])))
-    finish = F.when(F.col("size") > 0, (F.col("cumulative") + F.col("turn") * F.col("source_size")) / F.col("target"))
-    queue = queue.withColumn("finish", finish)
+    queue = queue.withColumn("finish", (F.col("cumulative") + F.col("turn") * F.col("source_size")) / F.col("target"))
     late = TIME_BUCKETS + F.floor(F.log2(F.col("finish") / 2) * (TIME_BUCKETS // 16))
-    slot = F.coalesce(F.when(F.col("finish") > 2, late).otherwise(F.floor(F.col("finish") * (TIME_BUCKETS // 2))), -1 - F.col("bucket")).cast("int")
-    queue = queue.withColumn("slot", slot)
+    queue = queue.withColumn("slot", F.when(F.col("finish") > 2, late).otherwise(F.floor(F.col("finish") * (TIME_BUCKETS // 2))).cast("int"))
     spent = queue.groupBy("slot").agg(F.sum("size").alias("slot_size"))
     spent = spent.select(F.col("slot").alias("s_slot"), F.coalesce(F.sum("slot_size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("slot_before"))
-    budget = sums.agg((F.coalesce(F.sum("bucket_size"), F.lit(0)) * percent / F.lit(100.0)).alias("budget"))
-    merged = F.sum("size").over(Window.partitionBy("slot").orderBy("finish", F.col("source").isNull(), "source", "key", "cumulative", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    budget = targets.agg((F.coalesce(F.sum("source_size"), F.lit(0)) * percent / F.lit(100.0)).alias("budget"))
+    merged = F.sum("size").over(Window.partitionBy("slot").orderBy("finish", F.col("source").isNull(), "source", "order", "cumulative", "turn").rowsBetween(Window.unboundedPreceding, 0))
     queue = queue.withColumn("merged", merged).join(spent, F.col("slot") == F.col("s_slot")).join(F.broadcast(budget))  # one row
-    took = (F.col("size") > 0) & (F.col("slot_before") + F.col("merged") <= F.col("budget"))
-    out = queue.groupBy("doc_id", "source", "size", "bucket", "pos", "source_size", "target").agg(F.sum(took.cast("long")).alias("copies"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    took = F.col("slot_before") + F.col("merged") <= F.col("budget")
+    out = queue.groupBy(*own, "size", "cumulative", "source_size", "target").agg(F.sum(took.cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *keep).unionByName(idle)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberstack.llm.scratch import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -73,15 +75,15 @@ def reputations(counts: DataFrame, two_label_suffixes: Sequence[str] = (), z: fl
     """``counts(host, n, bad)``, one row for a host, to ``(host, n, bad, alpha, beta, mean, lower)``.
 
     ``lower`` is the one-sided lower bound of the posterior bad rate, from the normal approximation of the log odds:
-    mean log(a/b), variance 1/a + 1/b.
+    mean log(a/b), variance 1/a + 1/b. Each level is written once, as a row for a host, domain or suffix, and read by the next.
     """
     hosts = counts.withColumns({"domain": registered_domain(F.col("host"), two_label_suffixes), "suffix": suffix_of(F.col("host"), two_label_suffixes)}).withColumn("root", F.lit("all"))
     add = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = hosts.groupBy("domain", "suffix", "root").agg(*add)
-    suffixes = domains.groupBy("suffix", "root").agg(*add)
+    domains = saved(hosts.groupBy("domain", "suffix", "root").agg(*add))
+    suffixes = saved(domains.groupBy("suffix", "root").agg(*add))
     root = suffixes.groupBy("root").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
-    suffixes = _shrunk(suffixes, root, "suffix", "root")
-    domains = _shrunk(domains.select("domain", "suffix", "n", "bad"), suffixes, "domain", "suffix")
+    suffixes = saved(_shrunk(suffixes, root, "suffix", "root"))
+    domains = saved(_shrunk(domains.select("domain", "suffix", "n", "bad"), suffixes, "domain", "suffix"))
     hosts = _shrunk(hosts.select("host", "domain", "n", "bad"), domains, "host", "domain")
     odds = F.log(F.col("alpha") / F.col("beta")) - z * F.sqrt(1 / F.col("alpha") + 1 / F.col("beta"))
     return hosts.select("host", "n", "bad", "alpha", "beta", "mean", (1 / (1 + F.exp(-odds))).alias("lower"))
@@ -101,7 +103,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     labelled = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("o_n"), F.sum("bad").alias("o_bad")).withColumnRenamed("page_id", "o_id")
     seen = judged.select("page_id", "host").join(labelled, F.col("page_id") == F.col("o_id"), "left")
     counts = seen.groupBy("host").agg(F.sum(F.coalesce("o_n", F.lit(0))).alias("n"), F.sum(F.coalesce("o_bad", F.lit(0))).alias("bad"))
-    known = reputations(counts, two_label_suffixes).select(F.col("host").alias("k_host"), F.col("mean").alias("bad_rate"), "lower")
+    known = reputations(saved(counts), two_label_suffixes).select(F.col("host").alias("k_host"), F.col("mean").alias("bad_rate"), "lower")
     out = judged.join(known, host == F.col("k_host"), "left").withColumn("rule", rule_of(host, path, rules))
     ruled = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for v, r in rules]) if rules else F.lit(None).cast("string")
     verdict = F.coalesce(ruled, F.when(F.col("lower") >= threshold, F.lit("block")).otherwise(F.lit("allow")))

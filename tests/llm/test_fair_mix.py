@@ -1,0 +1,47 @@
+"""The mix against its SQL on tables with very frequent ids, and the budget of rows that are told apart."""
+
+from __future__ import annotations
+
+import duckdb
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from emberstack.llm import fair_mix
+from emberstack.llm.queries import SQL
+from emberstack.llm.scratch import saved, with_row_names
+
+COLUMNS = ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def _sorted(rows):
+    return sorted((tuple(round(x, 6) if isinstance(x, float) else -1 if x is None or x != x else x for x in r) for r in rows))
+
+
+def test_equal_rows_against_sql(spark, monkeypatch):
+    monkeypatch.setattr(fair_mix, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "w " * int(rng.integers(0, 30)), s) for i, s in enumerate(rng.choice(["a", "b", "c", "d"], 300).tolist())]
+    rows += [(None, "x y z", "a")] * 400 + [(5, "q r", "b")] * 60 + [(None, None, None), (None, "", "a"), (9, "one", None)] + [(None, "k " * int(n), "c") for n in rng.integers(1, 9, 100)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    want = duckdb.sql(SQL["op7_fair_mix"]).fetchall()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("size", "order", "nth", "equal", "slot", "copies")})
+    assert len(want) == len(documents) == len(rows)
+    assert _sorted(fair_mix.mix(docs).select(*COLUMNS).collect()) == _sorted(want)
+
+
+def test_rows_told_apart_keep_the_budget(spark):
+    rows = [(None, f"w{i} " * 10, "a" if i % 3 else "b", i) for i in range(900)]
+    docs = with_row_names(spark.createDataFrame(rows, "doc_id long, text string, source string, n long"))
+    got = fair_mix.mix(docs.withColumn("h", F.xxhash64("text")), key=("doc_id", "h"), keep=("__file", "__row", "n")).collect()
+    assert len(got) == 900 and len({(r["__file"], r["__row"]) for r in got}) == 900
+    total = sum(r.taken for r in got)
+    assert 13500 - 40 <= total <= 13500 and all(r.taken in (0, 10, 20) for r in got)
+    again = fair_mix.mix(with_row_names(docs.select("doc_id", "text", "source", "n").repartition(5)).withColumn("h", F.xxhash64("text")), key=("doc_id", "h"), keep=("n",)).collect()
+    assert {r.n: r.copies for r in got} == {r.n: r.copies for r in again}
+
+
+def test_names_of_rows_are_stable(spark):
+    table = saved(spark.range(1000).repartition(3))
+    first = with_row_names(table).collect()
+    assert sorted(first) == sorted(with_row_names(table).collect()) and len({(r["__file"], r["__row"]) for r in first}) == 1000
