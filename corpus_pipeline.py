@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberstack.llm import fair_mix, ngram_join, packing, private_data, quality
 from emberstack.llm.queries import public_tokenizer, table
-from emberstack.llm.scratch import saved
+from emberstack.llm.scratch import saved, with_row_names
 
 KEEP_SCORE = 0.7
 
@@ -34,12 +34,12 @@ def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows equal in doc_id, source and size are taken equally often, the most that
-    the mix takes one of them."""
-    taken = fair_mix.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (fair_mix.n_words(F.col("text")) == F.col("__size"))
-    rows = docs.join(taken, same)
+    """Each document as often as the mix takes it. The mix tells rows apart by their place in the stored table; their order is
+    that of their ids and texts, so reruns agree."""
+    rows = with_row_names(docs).withColumn("__text", F.xxhash64("text"))
+    taken = fair_mix.mix(rows, key=("doc_id", "__text"), keep=("__file", "__row")).where("copies > 0")
+    taken = taken.select(F.col("__file").alias("__t_file"), F.col("__row").alias("__t_row"), F.col("copies").alias("__copies"))
+    rows = rows.join(taken, (F.col("__file") == F.col("__t_file")) & (F.col("__row") == F.col("__t_row")))
     return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
