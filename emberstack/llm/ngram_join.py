@@ -12,7 +12,8 @@ Tables that grow with the corpus are merge-joined at every size, never broadcast
 
 Documents that share a signature are compared exactly, in blocks of bounded size. First the blocks of documents with the same
 least partner, which settles most groups of near copies; then, for buckets whose members are not yet in one component,
-every two blocks that meet in such a bucket. A block's links leave it as a spanning forest, never as all pairs.
+every two blocks that meet in such a bucket. A block's links leave it as a spanning forest, never as all pairs. Blocks are
+bounded by shingles and by documents. A signature that very many sets share is spread over tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,13 @@ from emberstack.llm.scratch import saved
 SPARE, SPARE_EACH = 4, 8
 #: Accidental matches count as this many signatures each.
 MATCH_COST = 8.0
-#: Shingles in a block of documents that are compared with each other.
-BLOCK = 150_000
+#: Shingles and documents in a block of documents that are compared with each other; numbers in a slice of their matrix.
+BLOCK, BLOCK_DOCS = 150_000, 2048
+CELLS = 1 << 23
+#: Signatures that may be frequent are found by counting hash slots over one document in so many, which decides nothing but
+#: how their rows are spread over tasks.
+COUNTED_EACH, SLOTS = 16, 1 << 20
+PARTS = 64
 NEED = 1024
 
 
@@ -146,11 +153,38 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long")
 
 
-def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sig, tag, node) of the documents, each set once for a task: copies are combined before the shuffle."""
+def _frequent_slots(docs: DataFrame, k: int, percent: int) -> np.ndarray:
+    """Hash slots of signatures that are far more frequent than others, at most SLOTS numbers."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(COUNTED_EACH)) == 0)
+    counts = saved(_signatures(part, k, percent).groupBy(F.pmod("sig", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n")))
+    usual = counts.agg((64 + 8 * F.coalesce(F.sum("n"), F.lit(0)) / SLOTS).alias("usual"))
+    return counts.join(F.broadcast(usual)).where("n > usual").select("slot").toArrow().column("slot").to_numpy()  # usual is one row
+
+
+def _buckets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(sig, tag, node, pivot)`` for each signature that two sets share, pivot the least node that has it.
+
+    A signature's rows meet in a window; those of frequent signatures in PARTS windows each, whose ends are then aggregated
+    and joined back, which Spark splits."""
+    slots = docs.sparkSession.sparkContext.broadcast(_frequent_slots(docs, k, percent))
+    part = Window.partitionBy("sig", "part")
+    rows = _signatures(docs, k, percent, slots).withColumns({"low": F.min("node").over(part), "top": F.max("node").over(part)})
+    rows = saved(rows.where("low < top or part > 0"))
+    few = rows.where("part = 0").select("sig", "tag", "node", F.col("low").alias("pivot"))
+    many = rows.where("part > 0")
+    ends = many.groupBy(F.col("sig").alias("e_sig")).agg(F.min("low").alias("pivot"), F.max("top").alias("e_top")).where("pivot < e_top")
+    return few.unionByName(many.join(ends, F.col("sig") == F.col("e_sig")).select("sig", "tag", "node", "pivot"))
+
+
+def _signatures(docs: DataFrame, k: int, percent: int, frequent: Broadcast | None = None) -> DataFrame:
+    """(sig, tag, node, part) of the documents, each set once for a task: copies are combined before the shuffle. ``part`` is 0, for
+    signatures in the ``frequent`` slots one of PARTS numbers by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
+        spread = np.zeros(SLOTS, bool)
+        if frequent is not None:
+            spread[frequent.value] = True
         for batch in slices(batches):
             hashes, at = shingle_sets(batch.column("text"), k)
             ids = batch.column("doc_id").to_numpy()
@@ -167,9 +201,11 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sigs.append(sig)
                 tags.append(tag)
                 nodes.append(np.full(len(sigs[-1]), ids[i], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(nodes))], ["sig", "tag", "node"])
+            sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
+            part = np.where(spread[sig % SLOTS], 1 + (mix(node.view(np.uint64)) % np.uint64(PARTS)).astype(np.int8), 0).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.concatenate(tags)), pa.array(node), pa.array(part)], ["sig", "tag", "node", "part"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sig long, tag int, node long")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sig long, tag int, node long, part byte")
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -203,15 +239,19 @@ def links_of(texts: pa.Array, k: int, percent: int) -> list[tuple[int, int]]:
     column = np.cumsum(shared) - 1
     keep = shared[token]
     docs, column = docs[keep], column[token[keep]]
-    common = np.zeros((len(size), len(size)), np.float32)
-    width, total = 8192, int(shared.sum())
+    n, total = len(size), int(shared.sum())
+    width = max(64, min(8192, CELLS // max(n, 1)))
     edges = np.searchsorted(column, np.arange(0, total + width, width))
-    for n, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = np.zeros((len(size), width), np.float32)
-        part[docs[lo:hi], column[lo:hi] - n * width] = 1
+    common = np.zeros((n, n), np.float32)
+    for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = np.zeros((n, width), np.float32)
+        part[docs[lo:hi], column[lo:hi] - c * width] = 1
         common += part @ part.T
-    common = common.astype(np.int64)
-    return _forest((common * (100 + percent) >= (size[:, None] + size[None, :]) * percent) & (common > 0))
+    linked = np.zeros((n, n), bool)
+    for at in range(0, n, 256):
+        rows = common[at : at + 256].astype(np.int64)
+        linked[at : at + 256] = (rows * (100 + percent) >= (size[at : at + 256, None] + size[None, :]) * percent) & (rows > 0)
+    return _forest(linked)
 
 
 def _block_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -279,17 +319,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     sizes = saved(_sizes(docs, k))
-    members = saved(
-        _signatures(docs, k, percent)
-        .withColumns({"pivot": F.min("node").over(Window.partitionBy("sig")), "top": F.max("node").over(Window.partitionBy("sig"))})
-        .where("pivot < top").select("sig", "tag", "node", "pivot")
-    )
+    members = _buckets(docs, k, percent)
     # Groups by the least member of any bucket, dealt into blocks of bounded text; each block is compared with itself and the
     # group's least member.
     group = members.groupBy("node").agg(F.min("pivot").alias("g"))
     size = sizes.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("s_node")).agg(F.sum("n_shingles").alias("n"))
     group = saved(group.join(size, F.col("node") == F.col("s_node")).select("node", "g", "n"))
-    blocks = group.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("g", "b_g")
+    blocks = group.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks")).withColumnRenamed("g", "b_g")
     group = group.join(blocks, F.col("g") == F.col("b_g")).select("node", "g", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     group = saved(group)
     needed = group.select("node")
@@ -307,9 +343,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     info = group.join(groups.hint("merge"), F.col("node") == F.col("id"), "left")
     info = saved(info.select(F.col("node").alias("i_node"), F.struct("g", "block").alias("home"), F.coalesce("component", "node").alias("component")))
     placed = members.select("sig", "tag", "node").join(info.hint("merge"), F.col("node") == F.col("i_node"))
-    bucket = Window.partitionBy("sig")
-    mixed = placed.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).where("lo < hi")
-    mixed = saved(mixed.select("sig", "tag", "node", "component", "home"))
+    several = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("sig").alias("m_sig"))
+    mixed = members.select("sig", "tag", "node").join(saved(several).hint("merge"), F.col("sig") == F.col("m_sig"), "left_semi")
+    mixed = saved(mixed.join(info.hint("merge"), F.col("node") == F.col("i_node")).select("sig", "tag", "node", "component", "home"))
     need = mixed.groupBy("home", F.expr(f"tag div {NEED}").alias("band")).agg(F.min(F.col("tag") % NEED).alias("need"))
     homes = saved(mixed.select("sig", F.expr(f"tag div {NEED}").alias("band"), "home").distinct().join(need, ["home", "band"]))
     pairs = homes.join(homes.select(F.col("sig").alias("o_sig"), F.col("home").alias("other"), F.col("need").alias("o_need")), (F.col("sig") == F.col("o_sig")) & (F.col("home") < F.col("other")))

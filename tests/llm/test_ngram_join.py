@@ -102,3 +102,37 @@ def test_every_linked_pair_shares_as_many_signatures_as_it_must(percent):
         if len(a) and len(b):
             ok = [np.sum(ta[ia] // nj.NEED == band) >= max(ta[ta // nj.NEED == band].max() % nj.NEED, tb[tb // nj.NEED == band].max() % nj.NEED) for band in set(ta // nj.NEED) & set(tb // nj.NEED)]
             assert any(ok), (len(a), len(b))
+
+
+def test_short_templated_documents_stay_within_memory(spark):
+    """Documents of few words that share most of their shingles: many signatures in common, few links."""
+    rows = [(i, f"order number {i} was sent to the house of person {i * 7919 % 100000} on day {i % 28}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nj.near_duplicates(docs, 2, 50).collect()}
+    sets = [_set(t, 2) for _, t in rows]
+    by_day = {}
+    for i in range(6000):
+        by_day.setdefault(i % 28, []).append(i)
+    assert 100 * len(sets[0] & sets[28]) >= 50 * len(sets[0] | sets[28]) and 100 * len(sets[0] & sets[29]) < 50 * len(sets[0] | sets[29])
+    assert all(got[i] == got[day[0]] for day in by_day.values() for i in day)
+
+
+def test_links_in_strips(monkeypatch):
+    rows = _rows(9)
+    texts = nj.pa.array([t for _, t in rows])
+    whole = nj.links_of(texts, 4, 70)
+    monkeypatch.setattr(nj, "CELLS", 1)
+    assert nj.links_of(texts, 4, 70) == whole
+
+
+def test_frequent_signatures_are_spread(spark, monkeypatch):
+    rows = _rows(5)
+    want = sorted(map(str, _brute(rows, 4, 70)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nj, "_frequent_slots", lambda *a: np.arange(0, nj.SLOTS, 2))
+    assert sorted(str(tuple(r)) for r in nj.near_duplicates(docs, 4, 70).collect()) == want
+
+
+def test_frequent_slots_are_found(spark):
+    docs = spark.createDataFrame([(i, "the same ten words stand in every one of these") for i in range(64 * 100)], "doc_id long, text string").repartition(200)
+    assert len(nj._frequent_slots(docs, 4, 85)) > 0
