@@ -32,6 +32,11 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def spot_signature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal fingerprints and their links, by length bands and pruned Jaccard."""
+    return spot_signatures.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_prefix_forest": op10_prefix_forest,
+    "spot_signature_groups": spot_signature_groups,
 }
 
 SQL: dict[str, str] = {}

@@ -1,0 +1,91 @@
+"""Fingerprints, their order and their groups against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from emberstack.llm import spot_signatures as ss
+
+
+def _set(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for i, w in enumerate(words):
+        if w in ss.ANCHORS:
+            chain = [x for x in words[i + 1 :] if x not in ss.ANCHORS][:3]
+            if len(chain) == 3:
+                out.add(zlib.crc32(" ".join([w, *chain]).encode()))
+    if not out and (words or (text or "").strip()):
+        own = words or text.split()
+        out = {zlib.crc32(" ".join(["", *own[i : i + 3]]).encode()) for i in range(max(1, len(own) - 2))}
+    return out
+
+
+def _rows(seed):
+    rng = random.Random(seed)
+    words = "the of and a house tree river stone cloud to lamp glass with metal paper is für und le la chat ÄPFEL straße".split() + [f"n{i}" for i in range(60)]
+    rows = [(None, None), (1, ""), (2, " _ "), (3, "the"), (4, "!!"), (None, "the one two three")]
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(rng.choice([5, 30, 200]))]
+        for k in range(rng.randint(1, 3)):
+            own = list(text)
+            for _ in range(rng.randint(0, len(text) // 25)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((10 + 5 * i + k, " ".join(own)))
+    return [*rows, (20, rows[9][1]), (15, "of mice and men in other houses"), (None, rows[12][1])]
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.8), (2, 0.5), (3, 1.0 - 1e-9)])
+def test_groups(spark, seed, threshold):
+    rows = _rows(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "h", "sig", "class_id")})
+    sets = [frozenset(_set(t)) for _, t in rows]
+    classes = {}
+    for (i, _), s in zip(rows, sets):
+        classes.setdefault(s, []).append(i)
+    want = []
+    for (i, _), s in zip(rows, sets):
+        links = sum(1 for o in classes if o != s and s and o and _jaccard(s, o) >= threshold)
+        want.append((i, min((x for x in classes[s] if x is not None), default=None), links))
+    got = [tuple(r) for r in ss.near_duplicates(docs, threshold).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert threshold == 1 - 1e-9 or any(x[2] for x in want)
+    assert ss.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 200])
+def test_fingerprints(spark, ranges):
+    rows = list({(i, t): 0 for i, t in _rows(4)}) + [(None, f"the tale of number {i} in a book") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("p", F.lit(3))
+    order = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("doc_id", "text").collect()
+    want = []
+    for n, (i, t) in enumerate(order):
+        t, after = t or "", order[(n + 1) % len(order)].text or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, new = _set(t), _set(edited)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:08x}" for x in sorted(own)), "".join(f"{x:08x}" for x in sorted(new)), round(_jaccard(own, new), 9), round(_jaccard(own, _set(after)), 9)))
+    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in ss.fingerprints(docs, ranges).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_an_id_of_very_many_rows_is_in_many_ranges(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(2000)] + [(i, "x") for i in range(1000)], "doc_id long, text string")
+    rows, _ = ss._ranges(docs, 30)
+    assert max(r["count"] for r in rows.groupBy("p").count().collect()) < 400
+
+
+def test_a_long_text(spark):
+    text = " ".join(f"the word{i} of tale{i}" for i in range(50_000))
+    got = ss.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0].near_next == 1.0 and len(got[0].fingerprint) > 8 * 90_000
