@@ -260,7 +260,8 @@ def _judged(rows: DataFrame, found: DataFrame, again: DataFrame, words: int, gra
     texts in ``past`` count too."""
     none = F.array().cast("array<int>")
     # An equal key of two texts only adds windows to verify. Equal rows have one list of marks, no longer than their text.
-    marks = found.join(again.distinct(), "h", "left_semi").groupBy("rk").agg(F.collect_set("pos").alias("marks"))
+    again = saved(again.distinct())  # so that Spark can split the join where a hash is frequent
+    marks = found.join(again, "h", "left_semi").groupBy("rk").agg(F.collect_set("pos").alias("marks"))
     # Of equal texts one speaks for all: its windows count twice, and all of the texts lose every word that a window covers.
     texts = rows.select("rk", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2"))
     equal = texts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rk").alias("lead")).where("n > 1 and h2 is not null")
