@@ -1,44 +1,75 @@
-"""The call tree as a table keyed by path, its expansion and its hot path."""
+"""The call tree as a table of nodes, its expansion and its hot path.
+
+A node is named by a hash over the chain of (parent node, module, symbol) from the root, so names may hold any characters; its
+path is the names joined, for people to read. The root itself is no row; its key is ROOT.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberstack.operators.graph import reachable
+
+ROOT = 0
+
 
 def nodes(frames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(path, parent, depth, *by, total, self)``: a node for each distinct path from the root; the root's children have parent ''.
+    """``(key, parent_key, path, parent, depth, module, symbol, *by, total, self)``: a node for each distinct chain from the root;
+    the root's children have parent ''.
 
     With ``by`` (columns that are the same for all frames of a sample, as its source) a row for each node and value of them.
 
-    Paths are joined names. Stacks that are equal are counted first, so frames of a frequent stack are expanded once.
+    Stacks that are equal are counted first, so frames of a frequent stack are expanded once; what is shuffled is keyed by the
+    node's 64 bits.
     """
-    name = F.concat_ws("!", "module", "symbol")
-    stacks = frames.groupBy("sample_id", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", name.alias("f")))), lambda x: x["f"]).alias("stack"))
+    frame = F.struct("depth", "module", "symbol")
+    stacks = frames.groupBy("sample_id", *by).agg(F.transform(F.array_sort(F.collect_list(frame)), lambda x: F.struct(x["module"], x["symbol"])).alias("stack"))
     stacks = stacks.groupBy("stack", *by).agg(F.count("*").alias("n"))
-    size = F.size("stack")
-    cut = stacks.select("stack", *by, "n", F.explode(F.sequence(F.lit(1), size)).alias("depth"))
-    path = F.array_join(F.slice("stack", F.lit(1), F.col("depth")), ">")
-    parent = F.when(F.col("depth") == 1, F.lit("")).otherwise(F.array_join(F.slice("stack", F.lit(1), F.col("depth") - 1), ">"))
-    own = F.when(F.col("depth") == size, F.col("n")).otherwise(0)
-    return cut.select(path.alias("path"), parent.alias("parent"), F.col("depth").cast("long").alias("depth"), *by, "n", own.alias("own")).groupBy("path", "parent", "depth", *by).agg(F.sum("n").alias("total"), F.sum("own").alias("self"))
+
+    def grown(chain, x):
+        last = F.get(chain, F.size(chain) - 1)
+        parent = F.coalesce(last["key"], F.lit(ROOT).cast("long"))
+        name = F.concat_ws("!", x["module"], x["symbol"])
+        node = F.struct(
+            F.xxhash64(parent, x["module"].isNull(), x["module"], x["symbol"]).alias("key"), parent.alias("parent_key"), F.concat_ws(">", last["path"], name).alias("path"),
+            F.coalesce(last["path"], F.lit("")).alias("parent"), x["module"].alias("module"), x["symbol"].alias("symbol"),
+        )
+        return F.concat(chain, F.array(node))
+
+    kinds = frames.select("module", "symbol").schema
+    empty = F.array().cast(f"array<struct<key:bigint,parent_key:bigint,path:string,parent:string,module:{kinds['module'].dataType.simpleString()},symbol:{kinds['symbol'].dataType.simpleString()}>>")
+    chains = stacks.select(*by, "n", F.size("stack").alias("size"), F.posexplode(F.aggregate("stack", empty, grown)).alias("at", "node"))
+    own = F.when(F.col("at") + 1 == F.col("size"), F.col("n")).otherwise(0)
+    chains = chains.select("node.*", (F.col("at") + 1).cast("long").alias("depth"), *by, "n", own.alias("own"))
+    first = [F.first(c).alias(c) for c in ("path", "parent", "module", "symbol")]
+    out = chains.groupBy("key", "parent_key", "depth", *by).agg(*first, F.sum("n").alias("total"), F.sum("own").alias("self"))
+    return out.select("key", "parent_key", "path", "parent", "depth", "module", "symbol", *by, "total", "self")
 
 
-def children(tree: DataFrame, path: str) -> DataFrame:
-    return tree.where(F.col("parent") == path)
+def children(tree: DataFrame, of: str | int) -> DataFrame:
+    """The children of a node, named by its key or (where no name holds a separator) by its path; of the root by ROOT or ''."""
+    return tree.where((F.col("parent") if isinstance(of, str) else F.col("parent_key")) == of)
+
+
+def _hot(tree: DataFrame, root_self: DataFrame) -> DataFrame:
+    """``(node)``: the keys of the hot path, ROOT too."""
+    shown = F.concat_ws("!", "module", "symbol")
+    top = tree.groupBy("parent_key").agg(F.min_by(F.struct("key", "total"), F.struct(-F.col("total"), shown)).alias("top"))
+    own = tree.select(F.col("key").alias("own_key"), F.col("self").alias("own_self")).unionByName(root_self.select(F.lit(ROOT).cast("long").alias("own_key"), F.col("self").alias("own_self")))
+    links = top.join(own, F.col("parent_key") == F.col("own_key")).where(F.col("top.total") > F.col("own_self"))
+    return reachable(links.select(F.col("top.key").alias("child"), F.col("parent_key").alias("parent")), tree.sparkSession.range(1).select(F.lit(ROOT).cast("long").alias("node")))
 
 
 def hot_path(tree: DataFrame, root_self: DataFrame) -> DataFrame:
-    """From the root along the child with the largest total (ties to the lesser path), while it exceeds its parent's self hits.
+    """From the root along the child with the largest total (ties to the lesser name), while it exceeds its parent's self hits, at
+    any depth. ``root_self(self)`` is one row."""
+    return tree.join(_hot(tree, root_self), F.col("key") == F.col("node")).select("path", "depth", "total", "self")
 
-    ``root_self(self)`` is one row. One child for each parent is kept before the recursion, which is as deep as the tree.
-    """
-    best = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("total"), "path"))
-    top = tree.withColumn("rn", best).where("rn = 1").select("path", "parent", "depth", "total", "self")
-    return tree.sparkSession.sql(
-        """WITH RECURSIVE h(path, depth, total, self) AS (
-             SELECT t.path, t.depth, t.total, t.self FROM {top} t JOIN {root_self} r ON t.parent = '' AND t.total > r.self
-             UNION ALL SELECT t.path, t.depth, t.total, t.self FROM h JOIN {top} t ON t.parent = h.path AND t.total > h.self)
-           SELECT path, depth, total, self FROM h""",
-        top=top, root_self=root_self,
-    )
+
+def hot_tree(tree: DataFrame, root_self: DataFrame) -> DataFrame:
+    """What a viewer shows of the hot path: the children of every node on it, those that are on it themselves marked ``expanded``."""
+    hot = _hot(tree, root_self)
+    on = hot.select(F.col("node").alias("on_node"), F.lit(True).alias("on"))
+    shown = tree.join(hot, F.col("parent_key") == F.col("node"), "left_semi")
+    return shown.join(on, F.col("key") == F.col("on_node"), "left").select(*tree.columns, F.coalesce("on", F.lit(False)).alias("expanded"))

@@ -23,15 +23,16 @@ class SampleFilter:
 
 
 def filtered(samples: DataFrame, f: SampleFilter) -> DataFrame:
-    """``samples(ts, process_id, thread_id, ...)`` that pass; all conditions reach the scan."""
+    """``samples(ts, process_id, thread_id, ...)`` that pass; all conditions reach the scan. A sample of unknown
+    process or thread is of none that is excluded."""
     if f.min_time is not None:
         samples = samples.where(F.col("ts") >= f.min_time)
     if f.max_time is not None:
         samples = samples.where(F.col("ts") <= f.max_time)
     if f.excluded_processes:
-        samples = samples.where(~F.col("process_id").isin(*f.excluded_processes))
+        samples = samples.where(~F.coalesce(F.col("process_id").isin(*f.excluded_processes), F.lit(False)))
     if f.excluded_threads:
-        samples = samples.where(~F.col("thread_id").isin(*f.excluded_threads))
+        samples = samples.where(~F.coalesce(F.col("thread_id").isin(*f.excluded_threads), F.lit(False)))
     return samples
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberstack.operators.graph import reachable
 from emberstack.operators.temporal import asof
 
 
@@ -53,19 +54,14 @@ def targets(processes: DataFrame, marked: DataFrame, sampled: DataFrame, left_ou
     names; without any mark, the sampled ones.
 
     ``processes(pid, start_ts, ppid, name)``, ``marked(pid, ts)``, ``sampled(pid, start_ts)``. A parent is the process of the
-    ppid alive when the child started, which is unique, so the links form a forest and need no check for cycles.
+    ppid alive when the child started, which is unique.
     """
     entries = processes.select("pid", "start_ts", F.col("start_ts").alias("found"))
     roots = asof(marked, entries, "pid", "ts", "start_ts", "found", [], False, "at").where("at is not null").select("pid", F.col("at").alias("start_ts"))
     children = processes.where(~F.coalesce(F.col("name"), F.lit("")).isin(*left_out) & (F.col("pid") != F.col("ppid"))).select("pid", F.col("start_ts").alias("child_start"), "ppid")
     parents = entries.withColumnRenamed("pid", "ppid")
     links = asof(children, parents, "ppid", "child_start", "start_ts", "found", [], True, "parent_start").where("parent_start is not null")
-    closed = processes.sparkSession.sql(
-        """WITH RECURSIVE t(pid, start_ts) AS (
-             SELECT pid, start_ts FROM {roots} UNION ALL
-             SELECT l.pid, l.child_start FROM t JOIN {links} l ON l.ppid = t.pid AND l.parent_start = t.start_ts)
-           SELECT DISTINCT pid, start_ts FROM t""",
-        roots=roots, links=links,
-    )
+    node = lambda pid, start: F.struct(F.col(pid).alias("pid"), F.col(start).alias("start_ts"))
+    closed = reachable(links.select(node("pid", "child_start").alias("child"), node("ppid", "parent_start").alias("parent")), roots.select(node("pid", "start_ts").alias("node"))).select("node.pid", "node.start_ts")
     none = marked.agg(F.count("*").alias("__marks")).where("__marks = 0")
     return closed.unionByName(sampled.select("pid", "start_ts").join(F.broadcast(none)).drop("__marks").distinct())  # one row or none

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberstack.functions.scalars import generic_symbol
+from emberstack.operators.temporal import leveled, probed
 
 
-def in_range(addresses: DataFrame, ranges: DataFrame, values: list[str], shift: int = 12) -> DataFrame:
+def in_range(addresses: DataFrame, ranges: DataFrame, values: list[str], shift: int | None = None) -> DataFrame:
     """``addresses(module, rel, ...)`` with ``values`` of the range of its module, ``ranges(module, rel_begin, rel_end, *values)``, that
-    holds ``rel``; of several the one that begins last, then the shorter. Buckets of ``2**shift`` make it an equi-join, and only
-    distinct addresses are looked up."""
-    cut = ranges.where("rel_end > rel_begin").withColumn("r_bucket", F.explode(F.sequence(F.shiftright("rel_begin", shift), F.shiftright(F.col("rel_end") - 1, shift))))
-    cut = cut.select(F.col("module").alias("r_module"), "r_bucket", "rel_begin", "rel_end", F.struct(*values).alias("r_value"))
-    asked = addresses.select("module", "rel").distinct()
-    held = (F.col("module") == F.col("r_module")) & (F.shiftright("rel", shift) == F.col("r_bucket")) & (F.col("rel") >= F.col("rel_begin")) & (F.col("rel") < F.col("rel_end"))
+    holds ``rel``; of several the one that begins last, then the shorter. Ranges of any length are joined by the two buckets of
+    their level that hold them, and only distinct addresses are looked up. (``shift`` is no longer of use.)"""
+    cut = leveled(ranges.where("rel_end > rel_begin"), "rel_begin", F.col("rel_end") - F.col("rel_begin"))
+    cut = cut.select(F.col("module").alias("r_module"), "level", "bucket", "rel_begin", "rel_end", F.struct(*values).alias("r_value"))
+    asked = probed(addresses.select("module", "rel").distinct(), cut, "rel")
+    held = (F.col("module") == F.col("r_module")) & (F.col("__level") == F.col("level")) & (F.col("__bucket") == F.col("bucket")) & (F.col("rel") >= F.col("rel_begin")) & (F.col("rel") < F.col("rel_end"))
     best = F.max_by("r_value", F.struct("rel_begin", -F.col("rel_end"), "r_value"))
     found = asked.join(cut, held).groupBy("module", "rel").agg(best.alias("v")).select(F.col("module").alias("r_module"), F.col("rel").alias("r_rel"), *[F.col(f"v.{c}").alias(c) for c in values])
     return addresses.join(found, (F.col("module") == F.col("r_module")) & (F.col("rel") == F.col("r_rel")), "left").drop("r_module", "r_rel")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberstack.functions.scalars import unsigned
+from emberstack.operators.graph import reachable
 
 
 def history(events: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
@@ -19,19 +20,39 @@ def close_intervals(entries: DataFrame, key: str, start: str, end: str) -> DataF
     return entries.withColumn(end, F.coalesce(F.col(end), F.lead(start).over(Window.partitionBy(key).orderBy(start))))
 
 
-def asof(probes: DataFrame, entries: DataFrame, key: str, ts: str, start: str, payload: str, tie: list[str], strict: bool, name: str) -> DataFrame:
+def asof(probes: DataFrame, entries: DataFrame, key: str, ts: str, start: str, payload: str, tie: list[str], strict: bool, name: str, slices: int | None = None) -> DataFrame:
     """``probes`` with the payload of the latest entry of their key that starts at or before ``ts``; without one null, or the
-    first entry if not ``strict``. Both sides are sorted together by key and time, so nothing is multiplied: one shuffle, no pairs."""
+    first entry if not ``strict``. An entry of null payload is none.
+
+    Time is cut into ``slices`` (as many as shuffle partitions), so a key of very many rows is as many groups: both sides are
+    sorted together by key, slice and time, and what a slice begins with is the last payload of the key's slices before,
+    from a table of a row for each key and slice. Nothing is multiplied.
+    """
+    n = slices or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = probes.withColumns({"__probe": F.lit(1), "__t": F.col(ts)})
-    extra = [c for c in tie if c not in probes.columns]
     p = p.withColumns({"__payload": F.lit(None).cast(entries.schema[payload].dataType), **{f"__tie_{c}": F.lit(None).cast(entries.schema[c].dataType) for c in tie}})
     e = entries.select(F.col(key), F.lit(0).alias("__probe"), F.col(start).alias("__t"), F.col(payload).alias("__payload"), *[F.col(c).alias(f"__tie_{c}") for c in tie])
-    both = p.unionByName(e, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("__t", "__probe", *[f"__tie_{c}" for c in tie])
-    found = F.last("__payload", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    span = entries.agg(F.min(start).alias("__low"), F.max(start).alias("__high"))  # one row
+    # A slice is a rising function of time alone, whatever lies before the first entry or after the last.
+    width = F.greatest(F.col("__high").cast("double") - F.col("__low").cast("double"), F.lit(1.0)) / n
+    place = F.least(F.greatest(F.floor((F.col("__t").cast("double") - F.col("__low").cast("double")) / width), F.lit(-1)), F.lit(n))
+    both = p.unionByName(e, allowMissingColumns=True).join(F.broadcast(span)).withColumn("__slice", F.coalesce(place, F.lit(-1)))
+    last = ["__t", *[f"__tie_{c}" for c in tie]]
+    known = e.where("__payload is not null").join(F.broadcast(span)).withColumn("__slice", F.coalesce(place, F.lit(-1)))
+    ends = known.groupBy(F.col(key).alias("__key"), F.col("__slice").alias("__of")).agg(F.max_by("__payload", F.struct(*last)).alias("__last"), F.min_by("__payload", F.struct(*last)).alias("__first"))
+    first = ends.groupBy(F.col("__key").alias("__f_key")).agg(F.min_by("__first", "__of").alias("__first"))
+    # For every slice of a key that holds a row: what its earlier slices end with.
+    held = both.select(F.col(key).alias("__key"), F.col("__slice").alias("__of")).distinct().join(ends.drop("__first"), ["__key", "__of"], "left")
+    before = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(F.col("__key").alias("__c_key"), F.col("__of").alias("__c_of"), F.last("__last", ignorenulls=True).over(before).alias("__carried")).where("__carried is not null")
+    order = Window.partitionBy(key, "__slice").orderBy("__t", "__probe", *[f"__tie_{c}" for c in tie])
+    here = F.last("__payload", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("__here", here).where("__probe = 1").join(carried, (F.col(key) == F.col("__c_key")) & (F.col("__slice") == F.col("__c_of")), "left")
+    value = F.coalesce("__here", "__carried")
     if not strict:
-        found = F.coalesce(found, F.first("__payload", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return both.withColumn(name, found).where("__probe = 1").select(*probes.columns, name)
+        found = found.join(first, F.col(key) == F.col("__f_key"), "left")
+        value = F.coalesce("__here", "__carried", "__first")
+    return found.select(*[F.col(c) for c in probes.columns if c != name], value.alias(name))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c: str, d: str) -> DataFrame:
@@ -41,18 +62,46 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c:
     return left.join(r, (F.col(key) == F.col("__key")) & (F.col(a) <= F.coalesce(F.col(d), top)) & (F.col(c) <= F.coalesce(F.col(b), top))).drop("__key")
 
 
-def module_at(addresses: DataFrame, modules: DataFrame, key: list[str], shift: int = 16) -> DataFrame:
+def level_of(size: Column) -> Column:
+    """The level of a range of unsigned ``size``: a multiple of 4, so that the range lies in at most two of the level's buckets of
+    2**level (in at most 17 of the highest level's)."""
+    return F.least(F.lit(60), F.greatest(F.lit(8), 4 * F.length(F.hex(size - 1))))
+
+
+def leveled(ranges: DataFrame, begin: str, size: Column) -> DataFrame:
+    """``ranges`` with ``level`` and, a row for each, the ``bucket`` of that level that it touches. Sizes are unsigned; empty ranges go."""
+    level, first = F.col("level"), F.col(begin)
+    cut = ranges.withColumn("__size", size).where("__size <> 0").withColumn("level", level_of(F.col("__size")))
+    shift = lambda x: F.call_function("shiftrightunsigned", x, level)
+    low, high = shift(first), shift(first + F.col("__size") - 1)
+    return cut.withColumn("bucket", F.explode(F.sequence(low, F.greatest(low, high)))).drop("__size")
+
+
+def probed(addresses: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
+    """``addresses`` once for each level that ``ranges(level)`` has, at most 14, with the ``bucket`` of that level they lie in."""
+    levels = ranges.agg(F.collect_set("level").alias("__levels"))  # one row
+    each = addresses.join(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels")
+    return each.withColumn("__bucket", F.call_function("shiftrightunsigned", F.col(address), F.col("__level")))
+
+
+def module_at(addresses: DataFrame, modules: DataFrame, key: list[str], shift: int | None = None) -> DataFrame:
     """For each of ``addresses(*key, ip, t)`` the module of ``modules(module_id, base, size, load_ts)`` that holds it, the newest
-    loaded at or before t; unsigned addresses. Those of ``key`` that modules have too must be equal. Buckets of 2**shift make it
-    an equi-join."""
-    bucket: Column = F.shiftrightunsigned("ip", shift)
-    spans = modules.where("size > 0").withColumn("bucket", F.explode(F.sequence(F.shiftrightunsigned("base", shift), F.shiftrightunsigned(F.col("base") + F.col("size") - 1, shift))))
+    loaded at or before t; unsigned addresses and sizes. Those of ``key`` that modules have too must be equal. Mappings of any
+    size are joined by the two buckets of their level that hold them. (``shift`` is no longer of use.)"""
     same = [c for c in key if c in modules.columns]
-    spans = spans.select(*[F.col(c).alias(f"m_{c}") for c in same], "module_id", F.col("base"), F.col("size"), "load_ts", F.col("bucket").alias("m_bucket"))
-    held = (bucket == F.col("m_bucket")) & (unsigned(F.col("ip")) >= unsigned(F.col("base"))) & (unsigned(F.col("ip")) < unsigned(F.col("base") + F.col("size"))) & (F.col("load_ts") <= F.col("t"))
+    spans = leveled(modules, "base", F.col("size"))
+    spans = spans.select(*[F.col(c).alias(f"m_{c}") for c in same], "module_id", "base", "size", "load_ts", "level", "bucket")
+    held = (F.col("__level") == F.col("level")) & (F.col("__bucket") == F.col("bucket")) & (F.col("load_ts") <= F.col("t"))
     for c in same:
         held = (F.col(c) == F.col(f"m_{c}")) & held
-    return addresses.join(spans, held, "left").groupBy(*key, "ip", "t").agg(F.max_by("module_id", F.struct("load_ts", "module_id")).alias("module_id"))
+    # Of the difference to the base, as unsigned number: wraps as the address does.
+    held = held & (unsigned(F.expr("ip - base")) < unsigned(F.col("size")))
+    found = probed(addresses.select(*key, "ip", "t").distinct(), spans, "ip").join(spans, held)
+    found = found.groupBy(*[F.col(c).alias(f"f_{c}") for c in key], F.col("ip").alias("f_ip"), F.col("t").alias("f_t")).agg(F.max_by("module_id", F.struct("load_ts", "module_id")).alias("module_id"))
+    on = (F.col("ip") == F.col("f_ip")) & (F.col("t") == F.col("f_t"))
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+    return addresses.select(*key, "ip", "t").distinct().join(found, on, "left").select(*key, "ip", "t", "module_id")
 
 
 def following(keys: DataFrame, bodies: DataFrame, key: str, seq: str, body: str) -> DataFrame:
@@ -65,10 +114,5 @@ def following(keys: DataFrame, bodies: DataFrame, key: str, seq: str, body: str)
 
 
 def descendants(processes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``processes(pid, ppid)`` reachable from ``roots(pid)``, the roots too; cycles end, as a pid is taken once."""
-    return processes.sparkSession.sql(
-        """WITH RECURSIVE t(pid) AS (
-             SELECT pid FROM {roots} UNION ALL SELECT p.pid FROM t JOIN {processes} p ON p.ppid = t.pid AND p.pid <> p.ppid)
-           SELECT DISTINCT pid FROM t""",
-        roots=roots, processes=processes,
-    )
+    """``processes(pid, ppid)`` reachable from ``roots(pid)``, the roots too; cycles end, and no depth is too deep."""
+    return reachable(processes.select(F.col("pid").alias("child"), F.col("ppid").alias("parent")), roots.select(F.col("pid").alias("node"))).select(F.col("node").alias("pid"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberstack.functions import scalars
 from emberstack.operators import calltree, counters, filters, hits, lifetimes, paging, stacks, symbols, temporal
 from emberstack.plans import profile as p
+from emberstack.tables import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,18 +182,21 @@ TREE = f"""{WITH}, paths AS (
 tree AS (SELECT path, parent, CAST(depth AS BIGINT) AS depth, {HITS} FROM paths GROUP BY path, parent, depth)"""
 
 
+NODE = ["path", "parent", "depth", "total", "self"]
+
+
 def _tree(spark, d) -> DataFrame:
     return calltree.nodes(p.frames(spark, d, p.samples(spark, d).where("source_id = 0")))
 
 
 @query(f"{TREE} SELECT * FROM tree")
 def call_tree_nodes(spark, d):
-    return _tree(spark, d)
+    return _tree(spark, d).select(*NODE)
 
 
 @query(f"{TREE} SELECT * FROM tree WHERE parent = ''")
 def call_tree_children(spark, d):
-    return calltree.children(_tree(spark, d), "")
+    return calltree.children(_tree(spark, d), calltree.ROOT).select(*NODE)
 
 
 TREE_ALL = f"""{WITH}, paths AS (
@@ -205,12 +209,12 @@ tree AS (SELECT path, parent, CAST(depth AS BIGINT) AS depth, source_id, {HITS}
 @query(f"{TREE_ALL} SELECT * FROM tree")
 def call_tree_nodes_all_sources(spark, d):
     """The whole tree, a row for each node and source that hits it."""
-    return calltree.nodes(p.frames(spark, d), ("source_id",))
+    return calltree.nodes(p.frames(spark, d), ("source_id",)).select(*NODE, "source_id")
 
 
 @query(f"{TREE_ALL} SELECT * FROM tree WHERE parent = ''")
 def call_tree_children_all_sources(spark, d):
-    return calltree.children(calltree.nodes(p.frames(spark, d), ("source_id",)), "")
+    return calltree.children(calltree.nodes(p.frames(spark, d), ("source_id",)), calltree.ROOT).select(*NODE, "source_id")
 
 
 @query(f"""{TREE}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY total DESC, path) AS rn FROM tree) WHERE rn = 1),
@@ -221,7 +225,7 @@ SELECT path, depth, total, self FROM h""")
 def hot_path(spark, d):
     """Of the samples that have frames, so the root has no hits of its own."""
     root = spark.range(1).select(F.lit(0).cast("long").alias("self"))
-    return calltree.hot_path(_tree(spark, d), root)
+    return calltree.hot_path(saved(_tree(spark, d)), root)
 
 
 @query(f"""{WITH} SELECT process_id, source_id, thread_id, count(*) AS n FROM samples GROUP BY process_id, source_id, thread_id
