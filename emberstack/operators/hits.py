@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HITS = (F.count, F.sum)
-
+from emberstack.functions.scalars import percent
 
 def _hits() -> list:
     return [F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self")]
@@ -58,6 +57,41 @@ def caller_edges(frames: DataFrame) -> DataFrame:
     return edges.groupBy("source_id", "caller", "callee").agg(F.count("*").alias("total"), F.lit(0).cast("long").alias("self"))
 
 
+def function_edges(frames: DataFrame) -> DataFrame:
+    """``(source_id, caller, callee, total)`` with functions as structs of module and symbol, so names may hold any characters; the
+    root is a null caller."""
+    order = Window.partitionBy("sample_id").orderBy("depth")
+    function = F.struct("module", "symbol")
+    edges = frames.select("source_id", F.lag(function).over(order).alias("caller"), function.alias("callee"))
+    return edges.groupBy("source_id", "caller", "callee").agg(F.count("*").alias("total"))
+
+
+def lone_hits(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Hits of samples with a frame but no stack: each counts in full for its frame, and for no edge or tree node."""
+    return rows.groupBy(*by).agg(F.count("*").alias("total"), F.count("*").alias("self"))
+
+
+def by_source(found: DataFrame, key: list[str], sources: int) -> DataFrame:
+    """Hits ``(*key, source_id, total, self)`` as one row for each key, with a place for every source from 0 in ``hits``, zero where
+    a source has none."""
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("self"))
+    own = lambda c, s: F.coalesce(F.sum(F.when(F.col("source_id") == s, F.col(c))), F.lit(0).cast("long"))
+    places = [F.struct(own("total", s).alias("total"), own("self", s).alias("self")) for s in range(sources)]
+    return found.groupBy(*key).agg((F.array(*places) if places else F.array(zero)).alias("hits"))
+
+
+def session_totals(samples: DataFrame) -> DataFrame:
+    return samples.agg(F.countDistinct("process_id").alias("processes"), F.countDistinct("thread_id").alias("threads"), F.count("*").alias("samples"), (F.max("ts") - F.min("ts")).alias("runtime"))
+
+
+def hottest(frames: DataFrame, samples: DataFrame, count: int) -> DataFrame:
+    """The ``count`` functions of any process with the most self hits, with shares of all ``samples``."""
+    found = frames.groupBy("process_id", "module", "symbol").agg(*_hits())
+    top = found.orderBy(F.desc("self"), F.desc("total"), "module", "symbol", "process_id").limit(count)
+    top = top.join(F.broadcast(samples.agg(F.count("*").alias("whole"))))  # one row
+    return top.select("process_id", "module", "symbol", "total", "self", *[percent(F.col(c), F.col("whole")).alias(f"{c}_percent") for c in ("self", "total")])
+
+
 def sample_totals(samples: DataFrame) -> DataFrame:
     return samples.groupBy("source_id").agg(F.count("*").alias("total"))
 

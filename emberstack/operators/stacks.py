@@ -42,14 +42,15 @@ def keyed(samples: DataFrame, keys: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def attached(samples: DataFrame, *found: DataFrame) -> DataFrame:
-    """``samples`` with ``user_ips`` and ``kernel_ips``, null where there is none; of several the latest."""
+    """``samples`` with ``user_ips`` and ``kernel_ips``, null where there is none, and the times ``user_ts`` and ``kernel_ts`` of their
+    stacks; of several the latest."""
     if not found:
-        none = F.lit(None).cast("array<bigint>")
-        return samples.withColumns({"user_ips": none, "kernel_ips": none})
+        none, never = F.lit(None).cast("array<bigint>"), F.lit(None).cast("long")
+        return samples.withColumns({"user_ips": none, "kernel_ips": none, "user_ts": never, "kernel_ts": never})
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    slots = every.groupBy(F.col("sample_id").alias("__id")).agg(*[F.max_by(F.when(F.col("is_kernel") == kernel, F.col("ips")), F.when(F.col("is_kernel") == kernel, F.col("stack_ts"))).alias(name) for name, kernel in (("user_ips", False), ("kernel_ips", True))])
+    slots = every.groupBy(F.col("sample_id").alias("__id")).agg(*[F.max_by(F.when(F.col("is_kernel") == kernel, F.col("ips")), F.when(F.col("is_kernel") == kernel, F.col("stack_ts"))).alias(name) for name, kernel in (("user_ips", False), ("kernel_ips", True))], *[F.max(F.when(F.col("is_kernel") == kernel, F.col("stack_ts"))).alias(name) for name, kernel in (("user_ts", False), ("kernel_ts", True))])
     return samples.join(slots, F.col("sample_id") == F.col("__id"), "left").drop("__id")
 
 

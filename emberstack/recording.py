@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emberstack.functions import scalars
 from emberstack.operators import calltree, filters, hits, paging, switches
+from emberstack.tables import saved
 
 SORTS = {"name": ["symbol", "module"], "total": ["total", "symbol", "module"], "self": ["self", "symbol", "module"]}
 
@@ -19,7 +20,11 @@ SORTS = {"name": ["symbol", "module"], "total": ["total", "symbol", "module"], "
 @dataclass(frozen=True)
 class Recording:
     """``samples(sample_id, source_id, ts, process_id, thread_id)``, ``frames`` as in :mod:`emberstack.operators.hits` without the
-    columns of samples (a frame of null depth is of no stack), ``processes(process_id, pid, name, ...)``, ``threads(thread_id, process_id, ...)``."""
+    columns of samples (a frame of null depth is of no stack), ``processes(process_id, pid, name, ...)``, ``threads(thread_id, process_id, ...)``.
+
+    Times of a filter count from the session's start, which is ``origin`` in the samples' clock; negative ones are 0. Where a
+    source knows them: ``source_names(source_id, name, has_stacks)``, and one row each of ``session(command_line, date, runtime_ns)`` and
+    ``system(hostname, platform, architecture, cpu_name, n_processors)``."""
 
     samples: DataFrame
     stack_frames: DataFrame
@@ -27,12 +32,17 @@ class Recording:
     threads: DataFrame
     filter: filters.SampleFilter = field(default_factory=filters.SampleFilter)
     ticks_per_second: int = 1_000_000
+    origin: int = 0
+    source_names: DataFrame | None = None
+    session: DataFrame | None = None
+    system: DataFrame | None = None
 
     def filtered(self, f: filters.SampleFilter) -> Recording:
         return replace(self, filter=f)
 
     def _samples(self, source: int | None = None, process: int | None = None) -> DataFrame:
-        rows = filters.filtered(self.samples, self.filter)
+        low, high = (None if t is None else max(0, t) + self.origin for t in (self.filter.min_time, self.filter.max_time))
+        rows = filters.filtered(self.samples, replace(self.filter, min_time=low, max_time=high))
         rows = rows if source is None else rows.where(F.col("source_id") == source)
         return rows if process is None else rows.where(F.col("process_id") == process)
 
@@ -42,11 +52,23 @@ class Recording:
 
     def sample_sources(self) -> DataFrame:
         """Without the filter: it says what was recorded."""
-        return hits.source_statistics(self.samples, self.ticks_per_second)
+        found = hits.source_statistics(self.samples, self.ticks_per_second)
+        if self.source_names is None:
+            return found
+        none = F.lit(0).cast("long")
+        found = self.source_names.join(found.withColumnRenamed("source_id", "__source"), F.col("source_id") == F.col("__source"), "left").drop("__source")
+        return found.withColumns({"n": F.coalesce("n", none), "rate": F.coalesce("rate", F.lit(0.0))})
+
+    def system_info(self) -> DataFrame:
+        """One row, or none where the source says nothing of its system."""
+        if self.system is not None:
+            return self.system
+        return self.samples.sparkSession.createDataFrame([], "hostname string, platform string, architecture string, cpu_name string, n_processors int")
 
     def session_info(self) -> DataFrame:
-        s = self.samples
-        return s.agg(F.countDistinct("process_id").alias("processes"), F.countDistinct("thread_id").alias("threads"), F.count("*").alias("samples"), (F.max("ts") - F.min("ts")).alias("runtime"))
+        """One row; with ``command_line``, ``date`` and ``runtime_ns`` where the source knows them."""
+        found = hits.session_totals(self.samples)
+        return found if self.session is None else found.join(F.broadcast(self.session))  # one row each
 
     def process_list(self) -> DataFrame:
         """Processes with their threads; with ``context_switches`` and ``pmc`` where threads have them."""
@@ -59,11 +81,7 @@ class Recording:
 
     def hottest_functions(self, count: int, source: int) -> DataFrame:
         """By self hits over all processes, with shares of the source's samples."""
-        found = self._frames(source).groupBy("process_id", "module", "symbol").agg(F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self"))
-        top = found.orderBy(F.desc("self"), F.desc("total"), "module", "symbol", "process_id").limit(count)
-        whole = self._samples(source).agg(F.count("*").alias("whole"))
-        top = top.join(F.broadcast(whole))  # one row
-        return top.select("process_id", "module", "symbol", "total", "self", *[scalars.percent(F.col(c), F.col("whole")).alias(f"{c}_percent") for c in ("self", "total")])
+        return hits.hottest(self._frames(source), self._samples(source), count)
 
     def functions_page(self, process: int, source: int, sort_by: str, size: int, index: int, descending: bool = False) -> DataFrame:
         if sort_by not in SORTS:
@@ -81,10 +99,25 @@ class Recording:
 
     def hot_path(self, source: int, process: int) -> DataFrame:
         empty = self._samples(source, process).join(self.stack_frames.select(F.col("sample_id").alias("__sample")).distinct(), F.col("sample_id") == F.col("__sample"), "left_anti")
-        return calltree.hot_path(self.call_tree(source, process), empty.agg(F.count("*").alias("self")))
+        return calltree.hot_path(saved(self.call_tree(source, process)), empty.agg(F.count("*").alias("self")))
+
+    def hot_tree(self, source: int, process: int) -> DataFrame:
+        """What a viewer shows at first: the children of every node on the hot path, with shares of all samples of the source."""
+        empty = self._samples(source, process).join(self.stack_frames.select(F.col("sample_id").alias("__sample")).distinct(), F.col("sample_id") == F.col("__sample"), "left_anti")
+        shown = calltree.hot_tree(saved(self.call_tree(source, process)), empty.agg(F.count("*").alias("self")))
+        whole = self._samples(source).agg(F.count("*").alias("whole"))  # one row
+        return shown.join(F.broadcast(whole)).select(*shown.columns, *[scalars.percent(F.col(c), F.col("whole")).alias(f"{c}_percent") for c in ("self", "total")])
+
+    def expand(self, source: int, process: int, of: str | int = calltree.ROOT) -> DataFrame:
+        """The children of a node, by its key (or path)."""
+        return calltree.children(self.call_tree(source, process), of)
 
-    def expand(self, source: int, process: int, path: str = "") -> DataFrame:
-        return calltree.children(self.call_tree(source, process), path)
+    def callers_and_callees(self, module: str, symbol: str, source: int, process: int, most: int) -> DataFrame:
+        """``(side, module, symbol, edge_total, source_id, total, self)``: the callers and callees of a function that most hits of
+        ``source`` pass through, and "[others]"; ``edge_total`` is what passes between, ``total`` and ``self`` are the function's own
+        hits by source, summed over the others. Of the root, which is no function, the own hits are those of the edge."""
+        frames = self._frames(process=process)
+        return paging.neighbours(hits.function_edges(frames.where("depth is not null")), hits.function_hits(frames), module, symbol, source, most)
 
     def _neighbours(self, module: str, symbol: str, source: int, process: int, most: int, near: str, own: str) -> DataFrame:
         edges = hits.caller_edges(self._frames(source, process).where("depth is not null")).where(F.col(own) == f"{module}!{symbol}")
@@ -97,8 +130,10 @@ class Recording:
         return self._neighbours(module, symbol, source, process, most, "callee", "caller")
 
     def line_info(self, module: str, symbol: str, process: int) -> DataFrame:
-        """Line hits by source; no row for a function without a file."""
-        return hits.line_hits(self._frames(process=process).where((F.col("module") == module) & (F.col("symbol") == symbol)))
+        """Line hits by source, with the function's file and first line; no row for a function without a file."""
+        own = self._frames(process=process).where((F.col("module") == module) & (F.col("symbol") == symbol))
+        named = hits.function_attribution(own).select(F.col("file").alias("function_file"), F.col("func_line").alias("function_line"))  # one row or none
+        return hits.line_hits(own).join(F.broadcast(named))
 
     def system_views(self, prefix: str = "") -> None:
         """Registers the filtered tables as views for SQL."""

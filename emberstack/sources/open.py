@@ -6,30 +6,73 @@ joins of addresses with modules and symbols.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberstack.operators import lifetimes, symbols, temporal
+from emberstack.functions import scalars
+from emberstack.operators import filters, lifetimes, stacks, switches, symbols, temporal
 from emberstack.recording import Recording
-from emberstack.sources import perf_data
+from emberstack.sources import etl, perf_data
+from emberstack.tables import saved
 
-UNKNOWN_MODULE = "[unknown]"
+UNKNOWN_MODULE = UNKNOWN = "[unknown]"
+SYSTEM = "hostname string, platform string, architecture string, cpu_name string, n_processors int"
+SESSION = "command_line string, date timestamp, runtime_ns long"
 NANOSECONDS = 10**9
 FUNCTIONS = "module string, rel_begin long, rel_end long, symbol string, file string, func_line long"
 LINES = "module string, rel_begin long, rel_end long, instr_line long"
 
 
-def open_recording(spark: SparkSession, path: str, store: str, functions: DataFrame | None = None, lines: DataFrame | None = None) -> Recording:
-    """The recording in ``path``, by the extension of its name.
+@dataclass(frozen=True)
+class SymbolOptions:
+    """How modules are looked up: rules that map their paths first, wildcards of those that are looked up at all."""
+
+    path_rules: tuple[tuple[str, str, str], ...] = ()
+    exclude: tuple[str, ...] = ()
+    include: tuple[str, ...] | None = None
+
+
+def open_recording(spark: SparkSession, path: str, store: str, functions: DataFrame | None = None, lines: DataFrame | None = None, options: SymbolOptions = SymbolOptions()) -> Recording:
+    """The recording in ``path``, by the extension of its name: ``.data``, ``.etl`` or ``.diagsession``.
 
-    The file is parsed once, into Parquet at ``store`` (replaced if there); all questions read that. ``functions`` and ``lines`` are
-    tables of symbols as for :func:`emberstack.operators.symbols.resolved`.
+    The file is parsed once, into Parquet at ``store`` (replaced if there); all questions read that, and what is joined from it is
+    written once too. ``functions`` and ``lines`` are tables of symbols as for :func:`emberstack.operators.symbols.resolved`.
     """
-    if not path.lower().endswith(".data"):
+    kind = path.lower().rsplit(".", 1)[-1]
+    if kind == "data":
+        tables = {"events": perf_data.events(spark, path), "attributes": perf_data.attributes(spark, path), "metadata": perf_data.metadata(spark, path)}
+    elif kind in ("etl", "diagsession"):
+        tables = {"events": etl.events(spark, path), "session": etl.session(spark, path)}
+    else:
         raise ValueError(f"unsupported file extension: {path}")
-    for name, df in (("events", perf_data.events(spark, path)), ("attributes", perf_data.attributes(spark, path))):
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{store}/{name}")
-    return perf_recording(spark.read.parquet(f"{store}/events"), spark.read.parquet(f"{store}/attributes"), functions, lines)
+    kept = {name: spark.read.parquet(f"{store}/{name}") for name in tables}
+    if kind == "data":
+        return perf_recording(kept["events"], kept["attributes"], functions, lines, kept["metadata"], options)
+    return etl_recording(kept["events"], kept["session"], functions, lines, options)
+
+
+def _named_frames(frames: DataFrame, modules: DataFrame, functions: DataFrame | None, lines: DataFrame | None, options: SymbolOptions) -> DataFrame:
+    """``frames(sample_id, depth, pid, ip, ts, is_leaf)`` with module, symbol, file and lines, written once.
+
+    ``modules(pid, module_id, base, size, load_ts, page_offset, filename)``. An address of no module has the module "[unknown]";
+    one of no function, or of a module that the options leave out, has a generic name.
+    """
+    spark = frames.sparkSession
+    held = temporal.module_at(frames.select("pid", "ip", F.col("ts").alias("t")).distinct(), modules, ["pid"])
+    mapped = modules.select(F.col("module_id").alias("m_id"), "base", "page_offset", "filename")
+    held = held.join(mapped, F.col("module_id") == F.col("m_id"), "left").select(F.col("pid").alias("h_pid"), F.col("ip").alias("h_ip"), F.col("t").alias("h_ts"), F.col("filename").alias("file_module"), (F.col("ip") - F.col("base") + F.col("page_offset")).alias("rel"))
+    frames = frames.join(held, (F.col("pid") == F.col("h_pid")) & (F.col("ip") == F.col("h_ip")) & (F.col("ts") == F.col("h_ts")), "left")
+    functions = spark.createDataFrame([], FUNCTIONS) if functions is None else functions
+    lines = spark.createDataFrame([], LINES) if lines is None else lines
+    passes = filters.module_passes(F.col("file_module"), list(options.exclude), None if options.include is None else list(options.include))
+    looked_up = F.when(passes, filters.map_path(F.col("file_module"), list(options.path_rules)))
+    named = symbols.in_range(symbols.in_range(frames.withColumn("module", looked_up), functions, ["symbol", "file", "func_line"]), lines, ["instr_line"])
+    named = named.withColumn("symbol", F.coalesce("symbol", scalars.generic_symbol(F.col("file_module"), F.col("ip"))))
+    return saved(named.select("sample_id", "depth", F.coalesce("file_module", F.lit(UNKNOWN_MODULE)).alias("module"), "symbol", "file", "func_line", "instr_line", "is_leaf"))
 
 
 def _entries(starts: DataFrame, key: str, payload: list[str]) -> DataFrame:
@@ -71,42 +114,132 @@ def _with_place(samples: DataFrame, attributes: DataFrame) -> DataFrame:
     return samples.join(each, F.col("event_id") == F.col("a_id"), "left").withColumn("place", F.coalesce("a_place", F.lit(0).cast("long"))).drop("a_place", "a_id")
 
 
-def perf_recording(events: DataFrame, attributes: DataFrame, functions: DataFrame | None = None, lines: DataFrame | None = None) -> Recording:
+def _in_life(rows: DataFrame, threads: DataFrame) -> DataFrame:
+    """``rows(tid, ts, ...)`` with ``thread_id``, ``process_id`` and ``pid`` of the thread of their tid that lived at their time; others go."""
+    who = threads.select("tid", "start_ts", F.struct("thread_id", "process_id", "pid", "start_ts", "end_ts").alias("who"))
+    rows = temporal.asof(rows, who, "tid", "ts", "start_ts", "who", [], False, "who").where("who is not null")
+    rows = rows.where("ts >= who.start_ts and (who.end_ts is null or ts <= who.end_ts)")
+    return rows.select(*[c for c in rows.columns if c != "who"], "who.thread_id", "who.process_id", "who.pid")
+
+
+def perf_recording(events: DataFrame, attributes: DataFrame, functions: DataFrame | None = None, lines: DataFrame | None = None, metadata: DataFrame | None = None, options: SymbolOptions = SymbolOptions()) -> Recording:
     """A recording of one file's ``events`` and ``attributes``; times are nanoseconds. Its processes are the sampled ones.
 
     A sample without a call chain has one frame, its address, of null depth: it counts for functions, modules, files and lines, not
     for edges and trees. An address of no module has the module "[unknown]" and a generic name.
     """
     spark = events.sparkSession
-    all_processes = processes(events)
-    all_threads = threads(events, all_processes)
-    numbered = sources(events, attributes).select("source_id", F.col("place").alias("s_place"))
-    rows = _with_place(perf_data.samples(events), attributes).join(numbered, F.col("place") == F.col("s_place"))
-    rows = rows.select(F.col("seq").alias("sample_id"), "source_id", "ts", "tid", "pid", "ip", "ips")
-    who = all_threads.select("tid", "start_ts", F.struct("thread_id", "process_id", "pid").alias("who"))
-    rows = temporal.asof(rows, who, "tid", "ts", "start_ts", "who", [], False, "who").where("who is not null")
-    rows = rows.select("sample_id", "source_id", "ts", F.col("who.process_id").alias("process_id"), F.col("who.thread_id").alias("thread_id"), F.col("who.pid").alias("pid"), "ip", "ips")
+    all_processes = saved(processes(events))
+    all_threads = saved(threads(events, all_processes))
+    named_sources = saved(sources(events, attributes))
+    rows = _with_place(perf_data.samples(events).drop("pid"), attributes).join(named_sources.select("source_id", F.col("place").alias("s_place")), F.col("place") == F.col("s_place"))
+    rows = rows.select(F.col("seq").alias("sample_id"), "source_id", "ts", "tid", "ip", "ips")
+    rows = saved(_in_life(rows, all_threads))
     stack = rows.where("ips is not null").select("sample_id", "ts", "pid", F.size("ips").alias("n"), F.posexplode(F.reverse("ips")).alias("at", "ip"))
     stack = stack.select("sample_id", "ts", "pid", (F.col("at") + 1).cast("long").alias("depth"), "ip", (F.col("at") + 1 == F.col("n")).alias("is_leaf"))
     lone = rows.where("ips is null and ip is not null").select("sample_id", "ts", "pid", F.lit(None).cast("long").alias("depth"), "ip", F.lit(True).alias("is_leaf"))
-    frames = stack.unionByName(lone)
-
-    modules = perf_data.modules(events)
-    held = temporal.module_at(frames.select("pid", "ip", F.col("ts").alias("t")).distinct(), modules, ["pid"])
-    mapped = modules.select(F.col("module_id").alias("m_id"), "base", "page_offset", "filename")
-    held = held.join(mapped, F.col("module_id") == F.col("m_id"), "left").select(F.col("pid").alias("h_pid"), F.col("ip").alias("h_ip"), F.col("t").alias("h_ts"), F.col("filename").alias("module"), (F.col("ip") - F.col("base") + F.col("page_offset")).alias("rel"))
-    frames = frames.join(held, (F.col("pid") == F.col("h_pid")) & (F.col("ip") == F.col("h_ip")) & (F.col("ts") == F.col("h_ts")), "left")
-    functions = spark.createDataFrame([], FUNCTIONS) if functions is None else functions
-    lines = spark.createDataFrame([], LINES) if lines is None else lines
-    named = symbols.resolved(frames, functions, lines).withColumn("module", F.coalesce("module", F.lit(UNKNOWN_MODULE)))
-    named = named.select("sample_id", "depth", "module", "symbol", "file", "func_line", "instr_line", "is_leaf")
+    named = _named_frames(stack.unionByName(lone), perf_data.modules(events), functions, lines, options)
 
     spans = perf_data.samples(events).select("tid", "ts")
     entries = all_threads.join(all_processes.select(F.col("process_id").alias("p_id"), F.col("start_ts").alias("process_start")), F.col("process_id") == F.col("p_id"))
     sampled = lifetimes.sampled_processes(entries.select("tid", "pid", "process_start", "start_ts", "end_ts"), spans)
     sampled = sampled.select(F.col("pid").alias("s_pid"), F.col("process_start").alias("s_start"))
     own = all_processes.join(sampled, (F.col("pid") == F.col("s_pid")) & (F.col("start_ts") == F.col("s_start")), "left_semi")
-    return Recording(rows.drop("ip", "ips", "pid"), named, own, all_threads.drop("pid"), ticks_per_second=NANOSECONDS)
+    said = {r["key"]: r["value"] for r in metadata.collect()} if metadata is not None else {}  # a handful of lines
+    times = spans.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    first, last = int(said.get("first_sample_ns") or times["a"] or 0), int(said.get("last_sample_ns") or times["b"] or 0)
+    system = spark.createDataFrame([(said.get("hostname", UNKNOWN), " ".join(x for x in ("Linux", said.get("os_release")) if x), said.get("arch", UNKNOWN), said.get("cpu_desc", UNKNOWN), int(said.get("n_cpus", 0)))], SYSTEM)
+    session = spark.createDataFrame([(said.get("command_line", UNKNOWN), None, last - first)], SESSION)
+    chains = rows.groupBy(F.col("source_id").alias("c_source")).agg(F.max(F.col("ips").isNotNull()).alias("has_stacks"))
+    named_sources = named_sources.join(chains, F.col("source_id") == F.col("c_source"), "left").select("source_id", "name", F.coalesce("has_stacks", F.lit(False)).alias("has_stacks"))
+    return Recording(rows.drop("ip", "ips", "pid", "tid"), named, own, all_threads.drop("pid"), ticks_per_second=NANOSECONDS, origin=first, source_names=saved(named_sources), session=session, system=system)
+
+
+def _device_paths(events: DataFrame) -> tuple[dict[str, str], str]:
+    """What stands for device paths on the recorded machine (a handful of volumes), and its system root."""
+    devices = {r["nt_path"]: r["dos_path"] for r in etl.records(events, "volume").orderBy("seq").collect() if r["nt_path"]}
+    disks = etl.records(events, "physical_disk").groupBy("disk").agg(F.max_by("partitions", "seq").alias("partition")).withColumn("drive", F.lit(None).cast("string"))
+    drives = etl.records(events, "logical_disk").select("disk", "partition", "drive")
+    for r in symbols.volumes(disks.unionByName(drives)).where("drive is not null").collect():
+        devices.setdefault(f"\\Device\\HarddiskVolume{r['volume']}", r["drive"])
+    root = etl.records(events, "system_paths").agg(F.min_by("windows_directory", "seq").alias("root")).first()["root"]
+    return devices, root or "C:\\WINDOWS"
+
+
+def etl_recording(events: DataFrame, session: DataFrame, functions: DataFrame | None = None, lines: DataFrame | None = None, options: SymbolOptions = SymbolOptions()) -> Recording:
+    """A recording of one file's ``events`` and ``session``; times are nanoseconds since its start.
+
+    Its processes are the targets that the file names with their descendants, else the sampled ones. Kernel frames are of the
+    modules of process 0, at the time of their stack. Counter samples of source 0 hide a thread's timer samples.
+    """
+    spark = events.sparkSession
+    head = session.first()  # one file
+    ns = lambda c: scalars.ticks_to_ns(F.col(c), F.lit(head["start_ticks"]), head["frequency"])
+    record = lambda kind: etl.records(events, kind)
+
+    def lives(kind: str, key: str, payload: list[str]) -> DataFrame:
+        changes = F.when(F.col("type").isin(1, 3), "start").when(F.col("type").isin(2, 4), "end")
+        rows = record(kind).select("seq", "ts", changes.alias("kind"), key, *payload).where("kind is not null")
+        return lifetimes.intervals(rows, key, payload)
+
+    found = saved(lives("process", "pid", ["name", "command_line", "ppid"]))
+    number = F.row_number().over(Window.orderBy("pid", "start_ts")).cast("long")  # a recording has few processes
+    all_processes = saved(found.withColumn("process_id", lifetimes.key_of(number, 2**32)))
+    number = F.row_number().over(Window.orderBy("tid", "start_ts")).cast("long")  # and few threads
+    found = saved(lives("thread", "tid", ["pid", "name"])).withColumn("thread_id", lifetimes.key_of(number, 2**33))
+    all_threads = saved(temporal.asof(found, all_processes.select("pid", "start_ts", "process_id"), "pid", "start_ts", "start_ts", "process_id", [], False, "process_id"))
+
+    place = F.shiftleft(F.col("seq.processor").cast("long"), 44) + F.shiftleft("seq.buffer", 20) + F.col("seq.place")
+    timer = record("sample").select(place.alias("sample_id"), F.lit(0).cast("long").alias("source"), "seq", "ts", "tid", "ip")
+    counted = record("pmc_sample").select(place.alias("sample_id"), "source", "seq", "ts", "tid", "ip")
+    hidden = counted.where("source = 0").select(F.col("tid").alias("h_tid")).distinct()
+    rows = counted.unionByName(timer.join(hidden, F.col("tid") == F.col("h_tid"), "left_anti"))
+    names = record("sample_interval").where("type = 73").groupBy("source").agg(F.max_by("name", "seq").alias("name"))
+    kinds = rows.select(F.col("source").alias("r_source")).distinct().join(names, F.col("r_source") == F.col("source"), "full")
+    kinds = kinds.select(F.coalesce("source", "r_source").alias("source"), "name")
+    number = (F.row_number().over(Window.orderBy("source")) - 1).cast("long")  # a recording has few sources
+    kinds = saved(kinds.select(F.col("source").alias("k_source"), number.alias("source_id"), F.coalesce("name", F.format_string("Unknown (%d)", F.col("source"))).alias("name")))
+    rows = saved(_in_life(rows.join(kinds.drop("name"), F.col("source") == F.col("k_source")).drop("source", "k_source"), all_threads))
+
+    own = stacks.direct(rows, record("stack").select("seq", "ts", "event_ts", "tid", "ips"), head["pointer_size"])
+    keys = record("stack_key").select("seq", "ts", "event_ts", "tid", "key", (F.col("type") == 37).alias("is_kernel"))
+    shared = stacks.keyed(rows, keys, record("stack_body").where("type in (35, 36) and size(ips) > 0").select("seq", "key", "ips"))
+    held = saved(stacks.attached(rows, own, shared))
+    frame = lambda ips, pid, ts: F.transform(F.reverse(F.coalesce(ips, F.array().cast("array<bigint>"))), lambda x: F.struct(x.alias("ip"), pid.alias("pid"), ts.alias("ts")))
+    whole = F.concat(frame(F.col("user_ips"), F.col("pid"), F.col("user_ts")), frame(F.col("kernel_ips"), F.lit(0).cast("long"), F.col("kernel_ts")))
+    stack = held.where("user_ips is not null or kernel_ips is not null").select("sample_id", F.size(whole).alias("n"), F.posexplode(whole).alias("at", "f"))
+    stack = stack.select("sample_id", (F.col("at") + 1).cast("long").alias("depth"), "f.pid", "f.ip", "f.ts", (F.col("at") + 1 == F.col("n")).alias("is_leaf"))
+    of = F.when(scalars.is_kernel_address(F.col("ip"), head["pointer_size"]), F.lit(0).cast("long")).otherwise(F.col("pid"))
+    lone = held.where("user_ips is null and kernel_ips is null").select("sample_id", F.lit(None).cast("long").alias("depth"), of.alias("pid"), "ip", "ts", F.lit(True).alias("is_leaf"))
+    devices, root = _device_paths(events)
+    images = record("image").where("type in (10, 3)")
+    infos = record("debug_info").select("seq", "pid", "ts", "base", "debug_file", F.concat("signature", F.lit("-"), F.col("age").cast("string")).alias("signature"))
+    modules = stacks.with_debug_info(images.select("seq", "pid", "ts", "base", "size", "filename", "checksum"), infos)
+    modules = modules.select("pid", F.struct("seq").alias("module_id"), "base", "size", F.col("ts").alias("load_ts"), F.lit(0).cast("long").alias("page_offset"), symbols.local_path(F.col("filename"), devices, root).alias("filename"), "checksum", "debug_file", "signature")
+    named = _named_frames(stack.unionByName(lone), saved(modules), functions, lines, options)
+
+    marked = record("target_started").select("pid", "ts").unionByName(record("profile_target").select("pid", "ts"))
+    with_samples = rows.select(F.col("process_id").alias("s_process")).distinct()
+    sampled = all_processes.join(with_samples, F.col("process_id") == F.col("s_process"), "left_semi").select("pid", "start_ts")
+    targets = lifetimes.targets(all_processes, marked, sampled).select(F.col("pid").alias("t_pid"), F.col("start_ts").alias("t_start"))
+    profiled = saved(all_processes.join(targets, (F.col("pid") == F.col("t_pid")) & (F.col("start_ts") == F.col("t_start")), "left_semi"))
+    switched = switches.per_thread(record("context_switch").select("seq", "ts", "old_tid", "new_tid", "pmc"), record("thread").select("seq", "ts", "tid"), all_threads.select(F.col("thread_id").alias("thread_key"), "tid", "start_ts"))
+    owned = all_threads.join(profiled.select(F.col("process_id").alias("p_id")), F.col("process_id") == F.col("p_id"), "left_semi")
+    owned = owned.join(switched, F.col("thread_id") == F.col("thread_key"), "left").drop("thread_key", "pid")
+    timed = lambda df: df.withColumns({"start_ts": ns("start_ts"), "end_ts": ns("end_ts")})
+
+    recorder = all_processes.where(scalars.is_recorder(F.col("name"), F.col("command_line"))).agg(F.min_by("command_line", F.struct("start_ts", "pid")).alias("c")).first()["c"]
+    date = session.select(scalars.nt_timestamp(F.col("start_time")).alias("d")).first()["d"]
+    cpu = record("cpu").agg(F.max_by(F.struct("computer_name", scalars.architecture(F.col("architecture")).alias("architecture")), "seq").alias("c")).first()["c"]
+    product = record("build_info").agg(F.min_by("product_name", "seq").alias("p")).first()["p"]
+    model = record("pnp").where("description = 'Intel Processor'").agg(F.min_by("friendly_name", "seq").alias("m")).first()["m"]
+    about = spark.createDataFrame([(cpu["computer_name"] if cpu else UNKNOWN, product or "Windows", cpu["architecture"] if cpu else UNKNOWN, model or UNKNOWN, head["n_processors"])], SYSTEM)
+    ran = spark.createDataFrame([(recorder or UNKNOWN, date, (head["end_time"] - head["start_time"]) * 100)], SESSION)
+    met = held.groupBy(F.col("source_id").alias("m_source")).agg(F.max(F.col("user_ips").isNotNull() | F.col("kernel_ips").isNotNull()).alias("has_stacks"))
+    kinds = saved(kinds.join(met, F.col("source_id") == F.col("m_source"), "left").select("source_id", "name", F.coalesce("has_stacks", F.lit(False)).alias("has_stacks")))
+    samples = rows.join(profiled.select(F.col("process_id").alias("p_id")), F.col("process_id") == F.col("p_id"), "left_semi")
+    samples = saved(samples.select("sample_id", "source_id", ns("ts").alias("ts"), "process_id", "thread_id"))
+    return Recording(samples, named, timed(profiled), saved(timed(owned)), ticks_per_second=NANOSECONDS, source_names=kinds, session=ran, system=about)
 
 
 def counts(events: DataFrame) -> DataFrame:
