@@ -26,6 +26,18 @@ def unsigned(address: Column) -> Column:
     return address.bitwiseXOR(F.lit(SIGN))
 
 
+def wrapping_sum(a: Column, b: Column) -> Column:
+    """The sum modulo 2**64, by halves, as ANSI arithmetic fails where it wraps."""
+    half = F.lit(0xFFFFFFFF)
+    low = a.bitwiseAND(half) + b.bitwiseAND(half)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(half))
+
+
+def wrapping_difference(a: Column, b: Column) -> Column:
+    return wrapping_sum(wrapping_sum(a, F.bitwise_not(b)), F.lit(1).cast("long"))
+
+
 def hex_address(address: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(address), 16, "0")))
 

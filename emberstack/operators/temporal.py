@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberstack.functions.scalars import unsigned
+from emberstack.functions.scalars import unsigned, wrapping_difference, wrapping_sum
 from emberstack.operators.graph import reachable
 
 
@@ -15,9 +17,22 @@ def history(events: DataFrame, key: str, order: list[str], payload: str) -> Data
     return events.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__before") != F.col(payload))).drop("__before")
 
 
-def close_intervals(entries: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """An entry without an end gets the next entry's start."""
-    return entries.withColumn(end, F.coalesce(F.col(end), F.lead(start).over(Window.partitionBy(key).orderBy(start))))
+def close_intervals(entries: DataFrame, key: str, start: str, end: str, tie: Sequence[str] = ()) -> DataFrame:
+    """An entry without an end gets the next entry's start; those that start together are in the order of ``tie``."""
+    return entries.withColumn(end, F.coalesce(F.col(end), F.lead(start).over(Window.partitionBy(key).orderBy(start, *tie))))
+
+
+def merged_order(events: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``events`` with their place, from 1, among those of their key in the order of time: what a merge of logs in order gives,
+    without sorting all keys together."""
+    return events.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def dense_ids(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """``(*key, name)``: a number from 0 for each distinct key, in the order in which keys first appear. Keys are aggregated before
+    they are numbered; their table is of names (modules, functions, files), which one task orders."""
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("__first"))
+    return first.select(*key, (F.row_number().over(Window.orderBy("__first", *key)) - 1).cast("long").alias(name))
 
 
 def asof(probes: DataFrame, entries: DataFrame, key: str, ts: str, start: str, payload: str, tie: list[str], strict: bool, name: str, slices: int | None = None) -> DataFrame:
@@ -65,7 +80,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c:
 def level_of(size: Column) -> Column:
     """The level of a range of unsigned ``size``: a multiple of 4, so that the range lies in at most two of the level's buckets of
     2**level (in at most 17 of the highest level's)."""
-    return F.least(F.lit(60), F.greatest(F.lit(8), 4 * F.length(F.hex(size - 1))))
+    return F.least(F.lit(60), F.greatest(F.lit(8), 4 * F.length(F.hex(wrapping_sum(size, F.lit(-1).cast("long"))))))
 
 
 def leveled(ranges: DataFrame, begin: str, size: Column) -> DataFrame:
@@ -73,8 +88,12 @@ def leveled(ranges: DataFrame, begin: str, size: Column) -> DataFrame:
     level, first = F.col("level"), F.col(begin)
     cut = ranges.withColumn("__size", size).where("__size <> 0").withColumn("level", level_of(F.col("__size")))
     shift = lambda x: F.call_function("shiftrightunsigned", x, level)
-    low, high = shift(first), shift(first + F.col("__size") - 1)
-    return cut.withColumn("bucket", F.explode(F.sequence(low, F.greatest(low, high)))).drop("__size")
+    low, high = shift(first), shift(wrapping_sum(wrapping_sum(first, F.col("__size")), F.lit(-1).cast("long")))
+    # A range may go on past the highest address, as one of signed addresses does at 0.
+    number = lambda x: F.lit(x).cast("long")
+    wide = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.concat(F.sequence(low, number(15)), F.sequence(number(0), high)))
+    touched = F.when(level < 60, F.array_distinct(F.array(low, high))).otherwise(wide)
+    return cut.withColumn("bucket", F.explode(touched)).drop("__size")
 
 
 def probed(addresses: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
@@ -95,7 +114,7 @@ def module_at(addresses: DataFrame, modules: DataFrame, key: list[str], shift: i
     for c in same:
         held = (F.col(c) == F.col(f"m_{c}")) & held
     # Of the difference to the base, as unsigned number: wraps as the address does.
-    held = held & (unsigned(F.expr("ip - base")) < unsigned(F.col("size")))
+    held = held & (unsigned(wrapping_difference(F.col("ip"), F.col("base"))) < unsigned(F.col("size")))
     found = probed(addresses.select(*key, "ip", "t").distinct(), spans, "ip").join(spans, held)
     found = found.groupBy(*[F.col(c).alias(f"f_{c}") for c in key], F.col("ip").alias("f_ip"), F.col("t").alias("f_t")).agg(F.max_by("module_id", F.struct("load_ts", "module_id")).alias("module_id"))
     on = (F.col("ip") == F.col("f_ip")) & (F.col("t") == F.col("f_t"))

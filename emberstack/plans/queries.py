@@ -76,8 +76,8 @@ def root_hits(spark, d):
 @query("SELECT event_type AS symbol, count(*) AS total, count(*) AS self FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
 def nostack_hits(spark, d):
     """Samples with a frame but no stack count in full for it, and for no edge or tree node."""
-    lone = p.table(spark, d, "events").where("event_type is not null").withColumn("is_leaf", F.lit(True))
-    return lone.groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self"))
+    lone = p.table(spark, d, "events").where("event_type is not null")
+    return hits.lone_hits(lone.withColumnRenamed("event_type", "symbol"), ["symbol"])
 
 
 EDGES = f"""{WITH}, edges AS (
@@ -139,11 +139,7 @@ FROM h ORDER BY self DESC, total DESC, module, symbol, process_id LIMIT 20""")
 def hottest_functions(spark, d):
     """The 20 functions of any process with the most self hits of source 0, as shares of all of its samples."""
     own = p.samples(spark, d).where("source_id = 0")
-    found = p.frames(spark, d, own).groupBy("process_id", "module", "symbol").agg(F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self"))
-    top = found.orderBy(F.desc("self"), F.desc("total"), "module", "symbol", "process_id").limit(20)
-    whole = own.agg(F.count("*").alias("whole"))
-    top = top.join(F.broadcast(whole))  # one row
-    return top.select("process_id", "module", "symbol", "total", "self", scalars.percent(F.col("self"), F.col("whole")).alias("self_percent"), scalars.percent(F.col("total"), F.col("whole")).alias("total_percent"))
+    return hits.hottest(p.frames(spark, d, own), own, 20)
 
 
 def _pages(name: str, by: list[str], descending: bool) -> None:
@@ -247,8 +243,7 @@ def sample_source_stats(spark, d):
 
 @query(f"{WITH} SELECT count(DISTINCT process_id) AS processes, count(DISTINCT thread_id) AS threads, count(*) AS samples, max(ts) - min(ts) AS runtime FROM samples")
 def session_info(spark, d):
-    s = p.samples(spark, d)
-    return s.agg(F.countDistinct("process_id").alias("processes"), F.countDistinct("thread_id").alias("threads"), F.count("*").alias("samples"), (F.max("ts") - F.min("ts")).alias("runtime"))
+    return hits.session_totals(p.samples(spark, d))
 
 
 FROM, TO = 725846400000000, 820454400000000  # 1993-01-01 and 1996-01-01 in microseconds
@@ -302,7 +297,8 @@ def scd2_history(spark, d):
 
 @query(f"{HISTORY} SELECT user_id, event_id, start_ts, lead(start_ts) OVER (PARTITION BY user_id ORDER BY start_ts, event_id) AS end_ts FROM history")
 def close_intervals(spark, d):
-    h = _history(spark, d).withColumn("end_ts", F.lead("start_ts").over(Window.partitionBy("user_id").orderBy("start_ts", "event_id")))
+    open_ = _history(spark, d).withColumn("end_ts", F.lit(None).cast("long"))
+    h = temporal.close_intervals(open_, "user_id", "start_ts", "end_ts", ["event_id"])
     return h.select("user_id", "event_id", "start_ts", "end_ts")
 
 
@@ -358,13 +354,13 @@ def symbol_generic_name(spark, d):
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM events")
 def kway_merge_order(spark, d):
     """Each user's events in order of time; a global sort is needed only for output."""
-    return _longs(p.table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq")), "seq")
+    return _longs(temporal.merged_order(p.table(spark, d, "events"), "user_id", ["ts", "event_id"], "seq").select("event_id", "seq"), "seq")
 
 
 @query(f"{WITH}, s AS (SELECT sample_id, string_agg(module || '!' || symbol, '>' ORDER BY depth) AS stack FROM frames GROUP BY sample_id) SELECT stack, count(*) AS n, min(sample_id) AS first_sample FROM s GROUP BY stack")
 def stack_dedup(spark, d):
-    stacks = p.frames(spark, d).groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", F.concat_ws("!", "module", "symbol").alias("f")))), lambda x: x["f"]), ">").alias("stack"))
-    return stacks.groupBy("stack").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_sample"))
+    whole = p.frames(spark, d).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", F.concat_ws("!", "module", "symbol").alias("f")))), lambda x: x["f"]).alias("ips"))
+    return stacks.distinct_stacks(whole).select(F.array_join("ips", ">").alias("stack"), "n", "first_sample")
 
 
 @query("""SELECT event_id, user_id, value FROM (SELECT *, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)

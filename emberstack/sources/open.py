@@ -242,8 +242,14 @@ def etl_recording(events: DataFrame, session: DataFrame, functions: DataFrame |
     return Recording(samples, named, timed(profiled), saved(timed(owned)), ticks_per_second=NANOSECONDS, source_names=kinds, session=ran, system=about)
 
 
-def counts(events: DataFrame) -> DataFrame:
-    """``(kind, n)``: what a file holds."""
+def counts(events: DataFrame, only: list[str] | None = None, without: list[str] | None = None, pid: int | None = None) -> DataFrame:
+    """``(kind, n)``: what a file holds, of some kinds or one process if asked so."""
+    if only is not None:
+        events = events.where(F.col("kind").isin(*only))
+    if without:
+        events = events.where(~F.coalesce(F.col("kind").isin(*without), F.lit(False)))
+    if pid is not None:
+        events = events.where(F.col("pid") == pid)
     return events.groupBy("kind").agg(F.count("*").alias("n"))
 
 
