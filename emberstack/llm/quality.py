@@ -55,14 +55,27 @@ def term_vectors(texts: pa.Array) -> np.ndarray:
     return np.sqrt(out / np.maximum(total, 1))
 
 
+def leading_directions(rows: np.ndarray, dimensions: int, rounds: int = 30) -> np.ndarray:
+    """The leading right singular vectors of ``rows`` as columns, by orthogonal iteration over a few more of them than are wanted: no
+    matrix of terms by terms is made."""
+    n = min(dimensions + 16, *rows.shape)
+    if not n:
+        return np.zeros((rows.shape[1], 0), np.float32)
+    basis, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((rows.shape[1], n)))
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr((rows.T @ (rows @ basis.astype(np.float32))).astype(np.float64))
+    seen = (rows @ basis.astype(np.float32)).astype(np.float64)
+    _, turn = np.linalg.eigh(seen.T @ seen)
+    return (basis @ turn[:, ::-1])[:, :dimensions].astype(np.float32)
+
+
 class Model:
     """Latent directions, unit vectors of the labelled sample with their labels, and the share of label 1."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, dimensions: int = 48, neighbours: int = 25):
         self.neighbours, self.labels = neighbours, labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        _, directions = np.linalg.eigh((rows.T @ rows).astype(np.float64)) if len(rows) else (None, np.zeros((TERMS, 0)))
-        self.directions = directions[:, ::-1][:, :dimensions].astype(np.float32)
+        self.directions = leading_directions(rows, dimensions)
         self.vectors = self.latent(rows)
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
@@ -107,8 +120,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, dimensions: int
     got = rows.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, terms binary")
     got = got.groupBy("doc_id", "quality").agg(F.min("terms").alias("terms")).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy()) if len(got) else np.zeros(0, int)
-    matrix = np.stack([np.frombuffer(x, np.float16) for x in got.column("terms").to_pylist()])[order].astype(np.float32) if len(got) else np.zeros((0, TERMS), np.float32)
-    return Model(matrix, got.column("quality").to_numpy()[order] if len(got) else np.zeros(0), dimensions, neighbours)
+    matrix = np.zeros((len(got), TERMS), np.float32)
+    for at, row in enumerate(order.tolist()):
+        matrix[at] = np.frombuffer(got.column("terms")[row].as_buffer(), np.float16)
+    kept = got.column("quality").to_numpy()[order] if len(got) else np.zeros(0)
+    del got
+    return Model(matrix, kept, dimensions, neighbours)
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
