@@ -104,7 +104,7 @@ class Words:
         return mix((p[first + count] - p[first]) * _power(_WORD_BASE, len(p))[1][first] + count.astype(np.uint64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of text and at most ``rows`` rows; a longer document is a slice
     of its own."""
     for batch in batches:

@@ -35,7 +35,7 @@ class Encoder:
     are encoded joined, by the same vocabulary as ranks, and split by byte lengths. Other texts are encoded whole.
     """
 
-    def __init__(self, tokenizers_file: str, ranks_file: str, pattern: str, remember: int = 600_000):
+    def __init__(self, tokenizers_file: str, ranks_file: str, pattern: str, remember: int = 300_000):
         import base64
 
         import tiktoken
