@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, dimensions: int
 
     At most ``most`` labelled documents are used, the ones of least hash; null labels and ids are left out, and of a label
     that is repeated the least counts. Of the rows of a repeated doc_id one is learned from, of the least terms; rows are
-    aggregated before they are sent, so at most ``most`` of them reach the driver.
+    reduced before they are sent, so at most ``most`` of them reach the driver.
     """
     chosen = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "c_id")
@@ -116,9 +116,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, dimensions: int
             v = term_vectors(batch.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x in v], pa.binary())], ["doc_id", "quality", "terms"])
 
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each id, of at most ``most`` ids: of the least terms."""
+        held: dict = {}
+        for batch in batches:
+            for i, q, terms in zip(*(c.to_pylist() for c in batch.columns)):
+                if i not in held or terms < held[i][1]:
+                    held[i] = (q, terms)
+        if held:
+            kinds = [f.type for f in batch.schema]
+            yield pa.RecordBatch.from_arrays([pa.array(held, kinds[0]), pa.array([q for q, _ in held.values()], kinds[1]), pa.array([t for _, t in held.values()], kinds[2])], ["doc_id", "quality", "terms"])
+
     kinds = [rows.schema[c].dataType.simpleString() for c in ("doc_id", "quality")]
-    got = rows.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kinds[0]}, quality {kinds[1]}, terms binary")
-    got = got.groupBy("doc_id", "quality").agg(F.min("terms").alias("terms")).toArrow()
+    schema = f"doc_id {kinds[0]}, quality {kinds[1]}, terms binary"
+    got = rows.select("doc_id", "quality", "text").mapInArrow(lambda batches: least(run(batches)), schema)
+    # Of each task, then of all: no sort of wide rows, which would fill an executor's heap.
+    got = got.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").mapInArrow(least, schema).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy()) if len(got) else np.zeros(0, int)
     matrix = np.zeros((len(got), TERMS), np.float32)
     for at, row in enumerate(order.tolist()):
