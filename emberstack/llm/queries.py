@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberstack.llm import fair_mix, host_reputation, language_id, ngram_join, packing, prefix_forest, private_data, quality, spot_signatures, substring_dedup
+from emberstack.llm import fair_mix, host_reputation, language_id, ngram_join, packing, periodic_runs, prefix_forest, private_data, quality, spot_signatures, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,29 @@ def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose number's checksum is divisible by ten first repeat a stretch of theirs to their end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    docs = docs.withColumns({"n": F.size("words"), "g": F.floor(F.col("h") / 10)})
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    found = periodic_runs.collapse(docs.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text")))
+
+    def steeper(best: Column, r: Column) -> Column:
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    found = found.withColumn("best", F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), steeper))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_spot_signatures": op2_spot_signatures,
@@ -92,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_prefix_forest": op10_prefix_forest,
+    "op12_periodic_runs": op12_periodic_runs,
     "spot_signature_groups": spot_signature_groups,
 }
 
@@ -190,3 +214,27 @@ reach(id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, c FROM reach JOIN
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(c) FROM reach WHERE id = w.doc_id) AS component_id
 FROM w LEFT JOIN sizes ON w.doc_id = sizes.doc_id
 """
+
+SQL["op12_periodic_runs"] = r"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h
+  FROM documents),
+placed AS (SELECT rid, doc_id, ws, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN CAST(h // 10 AS BIGINT) END AS g FROM numbered),
+stretched AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM placed),
+made AS (
+  SELECT rid, doc_id, n, CASE WHEN g IS NULL THEN ws ELSE list_concat(list_slice(ws, 1, a), list_slice(flatten(list_transform(range((n - a) // p + 1), lambda k: list_slice(ws, a + 1, a + p))), 1, n - a)) END AS ws
+  FROM stretched),
+word AS MATERIALIZED (SELECT rid, n, unnest(range(n)) AS i, unnest(ws) AS w FROM made),
+pair AS (SELECT x.rid, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.rid, y.i - x.i ORDER BY x.i) AS island FROM word x JOIN word y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (SELECT rid, q, min(i) AS s, count(*) + q AS l FROM pair GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT rid, s, l, min(q) AS q FROM stretch GROUP BY rid, s, l),
+listed AS (SELECT rid, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM run GROUP BY rid),
+best AS (SELECT rid, s, l, q FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) AS k FROM run) WHERE k = 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT word.rid, string_agg(w, ' ' ORDER BY word.i) AS body FROM word LEFT JOIN gone ON word.rid = gone.rid AND word.i = gone.i WHERE gone.i IS NULL GROUP BY word.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM made LEFT JOIN listed ON made.rid = listed.rid LEFT JOIN best ON made.rid = best.rid LEFT JOIN kept ON made.rid = kept.rid
+"""
