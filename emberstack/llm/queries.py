@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberstack.llm import fair_mix, host_reputation, language_id, ngram_join, packing, periodic_runs, prefix_forest, private_data, quality, spot_signatures, substring_dedup
+from emberstack.llm import fair_mix, host_reputation, language_id, ngram_join, packing, periodic_runs, prefix_forest, private_data, quality, quantised_tiles, scratch, spot_signatures, substring_dedup, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,21 @@ def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, rows = vector_codes.train(table(spark, sf_dir, "embeddings"))
+    coded = scratch.saved(vector_codes.encode(rows, books))
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    told = F.lit(None).cast("string")
+    for d in books.entries:
+        told = F.when(F.col("d") == d, books.sha256(d)).otherwise(told)
+    coded = coded.join(sums, F.col("label").eqNullSafe(F.col("of")))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", told.alias("codebooks_sha256"))
+
+
+def op13_quantised_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised_tiles.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose number's checksum is divisible by ten first repeat a stretch of theirs to their end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -115,7 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_prefix_forest": op10_prefix_forest,
+    "op11_vector_codes": op11_vector_codes,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_quantised_tiles": op13_quantised_tiles,
     "spot_signature_groups": spot_signature_groups,
 }
 
@@ -238,3 +255,47 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l
   coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
 FROM made LEFT JOIN listed ON made.rid = listed.rid LEFT JOIN best ON made.rid = best.rid LEFT JOIN kept ON made.rid = kept.rid
 """
+
+#: Each round of op11: the nearest entry of every part, then floored means, an entry without parts unchanged.
+_NEAREST = """a{k} AS MATERIALIZED (
+  SELECT rid, p, min(far * 256 + e) AS best FROM (
+    SELECT rid, part.p, e, CAST(sum((part.x - book.x) * (part.x - book.x)) AS BIGINT) AS far FROM part JOIN b{k} book ON part.p = book.p AND part.pos = book.pos GROUP BY rid, part.p, e)
+  GROUP BY rid, p)"""
+_MEANS = """b{n} AS MATERIALIZED (
+  SELECT b{k}.p, b{k}.e, b{k}.pos, CASE WHEN c IS NULL THEN b{k}.x ELSE (s - (s % c + c) % c) // c END AS x
+  FROM b{k} LEFT JOIN (SELECT part.p, best % 256 AS e, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS c FROM part JOIN a{k} ON part.rid = a{k}.rid AND part.p = a{k}.p GROUP BY part.p, best % 256, pos) m
+    ON b{k}.p = m.p AND b{k}.e = m.e AND b{k}.pos = m.pos)"""
+
+SQL["op11_vector_codes"] = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % 8 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT rid, i // w AS p, i % w AS pos, x FROM (SELECT rid, len(v) // 8 AS w, unnest(range(len(v))) AS i, unnest(v) AS x FROM kept)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, pos, x FROM part WHERE rid <= 16),
+"""
+    + ",\n".join(x for k in range(6) for x in (_NEAREST.format(k=k), _MEANS.format(k=k, n=k + 1)))
+    + ",\n"
+    + _NEAREST.format(k=6)
+    + """,
+coded AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(best % 256)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a6 GROUP BY rid),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, pos)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded ON kept.rid = coded.rid, digest
+"""
+)
+
+SQL["op13_quantised_tiles"] = """
+WITH RECURSIVE named AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+fit AS MATERIALIZED (
+  SELECT rid, vec_id, label, v FROM named WHERE label IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b, b.vec_id FROM fit a JOIN fit b ON a.label = b.label AND a.rid <> b.rid AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(id, c) AS (SELECT rid, vec_id FROM named UNION SELECT a, c FROM reach JOIN link ON b = id),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM named JOIN least ON rid = id LEFT JOIN counted ON rid = a
+"""
