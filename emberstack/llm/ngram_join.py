@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from emberstack.llm.components import connected_components
 from emberstack.llm.hashing import Words, mix, slices
-from emberstack.llm.scratch import saved
+from emberstack.llm.scratch import saved, with_row_names
 
 #: Spare segments: half as many as others, this many at most, and one for each of so many others.
 SPARE, SPARE_EACH = 4, 8
@@ -367,10 +367,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, with all their columns.
+    """One row of each component of ``docs``, with all its columns: of linked rows the one of least doc_id, null ids last.
 
-    One row of a repeated doc_id stays. Rows of null doc_id stay, having no component to be named by.
+    Rows are told apart by their place in the stored table, not by doc_id: rows that repeat an id stay or go by their own texts, and of
+    exact copies one stays whatever its id. Of equal rows the one stored first stays. Rows without words stay.
     """
-    keep = near_duplicates(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = with_row_names(docs)
+    # One row of two numbers for each file of the table.
+    files = saved(rows.select(F.col("__file").alias("__f_file")).distinct().withColumn("__number", F.row_number().over(Window.orderBy("__f_file")).cast("long")))
+    rows = rows.join(files, F.col("__file") == F.col("__f_file")).withColumn("__node", F.shiftleft("__number", 40) + F.col("__row"))
+    found = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("n_node"), "component_id")
+    found = found.join(rows.select("__node", F.col("doc_id").alias("n_id")), F.col("n_node") == F.col("__node"))
+    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("n_id").isNull(), "n_id", "n_node")).alias("least")).select(F.col("least.n_node").alias("__keep"))
+    return rows.join(saved(keep), F.col("__node") == F.col("__keep"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

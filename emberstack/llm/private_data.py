@@ -45,8 +45,9 @@ SPELLED = {
 }
 
 # The second part is every decimal digit but ASCII's.
-ODD = re.compile(rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～]|[^\D0-9]")
-# What the at and dot transducer writes: marks of private use, so that a tape still says how plainly a character was written.
+ODD = re.compile(rf"[{''.join(LOOKALIKES)}{INVISIBLE}！-～\ue000-\ue003]|[^\D0-9]")
+# What the at and dot transducer writes: marks of private use, so that a tape still says how plainly a character was written. In a
+# source they become the replacement character first.
 AT, BARE_AT, DOT, BARE_DOT = "\ue000", "\ue001", "\ue002", "\ue003"
 HIDDEN = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:(?P<at>at)|(?P<dot>dot))\s{0,3}[\])}>]\s{0,3}|\s{1,3}(?:(?P<bare_at>at)|(?P<bare_dot>dot))(?=\s)\s{1,3}", re.IGNORECASE)
 HINT = re.compile(r"[\[({<]\s{0,3}(?:at|dot)\s{0,3}[\])}>]|\sdot\s", re.IGNORECASE)
@@ -55,8 +56,12 @@ HOSTED = re.compile(rf"[A-Za-z0-9-]+(?:[.{DOT}{BARE_DOT}][A-Za-z0-9-]+)+")
 ANY_AT = re.compile(rf"[@{AT}{BARE_AT}]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus\s+|\+\s?)?(?:{_WORD}|[0-9]+)(?:(?:[\s,-]{{1,2}}|\s(?:dot|point)\s)(?:{_WORD}|[0-9]+))+(?!\w)", re.IGNORECASE)
+_NUMBER = re.compile(rf"{_WORD}|[0-9]+", re.IGNORECASE)
 _PART = re.compile(rf"{_WORD}|[0-9]|dot|point|plus|\+", re.IGNORECASE)
 
+# Words that a sentence has after its own "at", so that what follows is no host ("look at the dot com bubble").
+NO_HOST = frozenset("the a an this that these those my our your his her its their all any some every each most least first last what which where".split())
+
 Span = tuple[str, int, int]
 
 
@@ -155,14 +160,23 @@ def _plain(c: str) -> str:
         return LOOKALIKES[c]
     if "！" <= c <= "～":
         return chr(ord(c) - 0xFEE0)
+    if c in (AT, BARE_AT, DOT, BARE_DOT):
+        return "\ufffd"
     return str(unicodedata.digit(c))
 
 
 def plain_characters(tape: Tape) -> Tape:
-    """Look-alikes, full-width forms and digits made plain, invisible characters gone."""
+    """Look-alikes, full-width forms and digits made plain, invisible characters gone. What is one character for one is
+    translated all at once, as no span changes; only runs of characters that go are edits."""
     if tape.text.isascii():
         return tape
-    return tape.rewritten([(m.start(), m.end(), _plain(m[0])) for m in ODD.finditer(tape.text)])
+    plain = {ord(c): _plain(c) for c in set(tape.text) if ODD.match(c)}
+    if not plain:
+        return tape
+    text = tape.text.translate({c: p for c, p in plain.items() if p})
+    gone = "".join(chr(c) for c, p in plain.items() if not p)
+    told = Tape(text, tape.starts, tape.ends)
+    return told.rewritten([(m.start(), m.end(), "") for m in re.finditer(f"[{gone}]+", text)]) if gone else told
 
 
 def marked_disguises(tape: Tape) -> Tape:
@@ -173,7 +187,7 @@ def marked_disguises(tape: Tape) -> Tape:
 
 def disguised_emails(tape: Tape) -> list[Span]:
     """Addresses on a tape of marks. A bracketed at may have any dots; a bare one needs a disguised dot in its domain, a plain
-    one a bracketed dot somewhere or any disguised one in its domain."""
+    one a bracketed dot somewhere or any disguised one in its domain. After a bare at no article or the like is a host."""
     text, out, done = tape.text, [], 0
     for m in ANY_AT.finditer(text):
         at = m.start()
@@ -190,6 +204,8 @@ def disguised_emails(tape: Tape) -> list[Span]:
         if name is None or name.end() != at:
             continue
         shown = text[name.start() : host.end()]
+        if m[0] == BARE_AT and re.match("[A-Za-z0-9-]+", host[0])[0].lower() in NO_HOST:
+            continue
         if m[0] == AT or any(c in (DOT, BARE_DOT) for c in host[0]) or m[0] == "@" and DOT in shown:
             out.append(("email", name.start(), host.end()))
             done = host.end()
@@ -198,7 +214,8 @@ def disguised_emails(tape: Tape) -> list[Span]:
 
 def spelled_numbers(tape: Tape) -> list[Span]:
     """Identifiers in runs of digits of which two or more are spelled. A run is rewritten twice: what parts digits as one space,
-    for cards and phones, or as nothing, for ips. A run of 10 to 15 digits is a phone without a plus too."""
+    for cards and phones, or as nothing, for ips. A run of 10 to 15 digits is a phone without a plus too, unless most of its
+    numbers are parted by commas, as those of a list are."""
     out: list[Span] = []
     for run in SPELLED_RUN.finditer(tape.text):
         parts = [(m.start() + run.start(), m.end() + run.start(), m[0].lower()) for m in _PART.finditer(run[0])]
@@ -213,7 +230,8 @@ def spelled_numbers(tape: Tape) -> list[Span]:
         else:
             spaced = _written(tape, said, " ")
             own = spaced.found([s for s in base_spans(spaced.text) if s[0] in ("card", "phone")])
-            if not own and 10 <= len(digits) <= 15:
+            listed = 2 * run[0].count(",") >= len(_NUMBER.findall(run[0])) - 1
+            if not own and 10 <= len(digits) <= 15 and not listed:
                 own = [("phone", *tape.span(run.start(), run.end()))]
         out += own
     return out
@@ -238,7 +256,7 @@ def _written(tape: Tape, said: list[tuple[int, int, str]], between: str) -> Tape
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Disguised identifiers that lie within no plain one of their kind, nor within another of these; they may overlap it."""
     tape = plain_characters(Tape(text))
-    found = tape.found(base_spans(tape.text)) if tape.starts is not None else []
+    found = tape.found(base_spans(tape.text)) if tape.text != text else []
     if HINT.search(tape.text):
         found += disguised_emails(marked_disguises(tape))
     found += spelled_numbers(tape)

@@ -70,13 +70,38 @@ def test_equals_brute_force(spark, seed, k, percent):
     assert len({r[2] for r in got}) < len(got)
 
 
-def test_deduplicate_keeps_columns_and_one_of_each_group(spark):
-    rows = _rows(4)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+def _components(rows, k, percent):
+    """Component numbers of rows, each a document of its own whatever its id."""
+    sets = [_set(t, k) for _, t in rows]
+    of = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                of = [of[b] if v == of[a] else v for v in of]
+    return of
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_deduplicate_keeps_columns_and_one_row_of_each_group(spark, seed):
+    rows = _rows(seed)
+    rows += [(50, "alpha beta gamma delta epsilon zeta"), (50, "one two three four five six seven"), (50, "alpha beta gamma delta epsilon zeta")]
+    rows += [(None, "only without a name it says so"), (None, "only without a name it says so"), (None, rows[0][1]), (51, "one two three four five six seven"), (None, None), (52, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, source string, number int")
     out = nj.deduplicate(docs, 5, 80)
     assert out.columns == docs.columns
-    ids = [r.doc_id for r in out.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted({i for i, _, c in _brute(rows, 5, 80) if i is not None and i == c})
+    groups = {}
+    for (i, t), c in zip(rows, _components(rows, 5, 80)):
+        groups.setdefault(c, []).append((i is None, i or 0, t))
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect()), key=str)
+    assert len(got) == len(groups)
+    least = sorted((min(x[:2] for x in own) for own in groups.values()))
+    assert sorted(x[:2] for x in got) == least
+    texts = [{t for _, _, t in own} for own in groups.values() if _set(own[0][2], 5)]
+    named = [next(n for n, own in enumerate(texts) if x[2] in own) for x in got if _set(x[2], 5)]
+    assert sorted(named) == list(range(len(texts)))  # one row of each group
+    again = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in nj.deduplicate(docs, 5, 80).collect()), key=str)
+    assert again == got
 
 
 def test_empty(spark):

@@ -89,3 +89,30 @@ def test_very_long_texts(piece):
         start = time.process_time()
         private_data.all_spans(t)
         assert time.process_time() - start < 8  # a second or two here; what was quadratic took hours
+
+
+@pytest.mark.parametrize("text", [
+    "we look at the dot com bubble", "good at all dot net things", "count: 1, 2, three, four, 5, 6, 7, 8, 9, 10",
+    "one, two, three, four, five, six, seven, eight, nine, zero", "see a\ue000b.c end", "a\ue001b\ue003c",
+])
+def test_clean_texts_stay_clean(text):
+    assert private_data.all_spans(text) == ([], []) and private_data.redacted(text) == text
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("see [at] a\ue000b.c or jo [at] b.co end", "jo [at] b.co"), ("write john at example dot com now", "john at example dot com"),
+    ("ring five five five, one two three, four five six seven", "five five five, one two three, four five six seven"),
+])
+def test_disguises_beside_them_are_found(text, found):
+    assert found in [text[a:b] for _, a, b in private_data.all_spans(text)[1]]
+
+
+@pytest.mark.parametrize("piece", ["٣", "\u200b", "а", "！", "٣\u200b", "\ue000"])
+def test_twice_the_length_takes_about_twice_the_time(piece):
+    def took(n):
+        start = time.process_time()
+        private_data.all_spans(piece * (n // len(piece)))
+        return time.process_time() - start
+
+    short, long = min(took(300_000) for _ in range(3)), min(took(600_000) for _ in range(3))
+    assert long < 3 * short + 0.1
