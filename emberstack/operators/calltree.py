@@ -14,37 +14,34 @@ from emberstack.operators.graph import reachable
 ROOT = 0
 
 
-def nodes(frames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def nodes(frames: DataFrame, by: tuple[str, ...] = (), weights: DataFrame | None = None) -> DataFrame:
     """``(key, parent_key, path, parent, depth, module, symbol, *by, total, self)``: a node for each distinct chain from the root;
     the root's children have parent ''.
 
     With ``by`` (columns that are the same for all frames of a sample, as its source) a row for each node and value of them.
+    With ``weights(stack_id, *by, n)`` frames are of stacks, ``frames(stack_id, ...)``, which count n times.
 
     Stacks that are equal are counted first, so frames of a frequent stack are expanded once; what is shuffled is keyed by the
-    node's 64 bits.
+    node's 64 bits, and aggregated by hash in memory.
     """
     frame = F.struct("depth", "module", "symbol")
-    stacks = frames.groupBy("sample_id", *by).agg(F.transform(F.array_sort(F.collect_list(frame)), lambda x: F.struct(x["module"], x["symbol"])).alias("stack"))
-    stacks = stacks.groupBy("stack", *by).agg(F.count("*").alias("n"))
-
-    def grown(chain, x):
-        last = F.get(chain, F.size(chain) - 1)
-        parent = F.coalesce(last["key"], F.lit(ROOT).cast("long"))
-        name = F.concat_ws("!", x["module"], x["symbol"])
-        node = F.struct(
-            F.xxhash64(parent, x["module"].isNull(), x["module"], x["symbol"]).alias("key"), parent.alias("parent_key"), F.concat_ws(">", last["path"], name).alias("path"),
-            F.coalesce(last["path"], F.lit("")).alias("parent"), x["module"].alias("module"), x["symbol"].alias("symbol"),
-        )
-        return F.concat(chain, F.array(node))
-
-    kinds = frames.select("module", "symbol").schema
-    empty = F.array().cast(f"array<struct<key:bigint,parent_key:bigint,path:string,parent:string,module:{kinds['module'].dataType.simpleString()},symbol:{kinds['symbol'].dataType.simpleString()}>>")
-    chains = stacks.select(*by, "n", F.size("stack").alias("size"), F.posexplode(F.aggregate("stack", empty, grown)).alias("at", "node"))
-    own = F.when(F.col("at") + 1 == F.col("size"), F.col("n")).otherwise(0)
-    chains = chains.select("node.*", (F.col("at") + 1).cast("long").alias("depth"), *by, "n", own.alias("own"))
-    first = [F.first(c).alias(c) for c in ("path", "parent", "module", "symbol")]
-    out = chains.groupBy("key", "parent_key", "depth", *by).agg(*first, F.sum("n").alias("total"), F.sum("own").alias("self"))
-    return out.select("key", "parent_key", "path", "parent", "depth", "module", "symbol", *by, "total", "self")
+    chain = F.transform(F.array_sort(F.collect_list(frame)), lambda x: F.struct(x["module"].isNull().alias("none"), x["module"].alias("module"), x["symbol"].alias("symbol"))).alias("stack")
+    if weights is None:
+        stacks = frames.groupBy("sample_id", *by).agg(chain).groupBy("stack", *by).agg(F.count("*").alias("n"))
+    else:
+        own = weights.groupBy(F.col("stack_id").alias("__stack"), *by).agg(F.sum("n").alias("n"))
+        stacks = frames.groupBy("stack_id").agg(chain).join(own, F.col("stack_id") == F.col("__stack")).groupBy("stack", *by).agg(F.sum("n").alias("n"))
+    shown = F.transform("stack", lambda x: F.concat_ws("!", x["module"], x["symbol"]))
+    each = stacks.select("stack", shown.alias("names"), F.size("stack").alias("size"), *by, "n", F.posexplode("stack").alias("at", "node"))
+    chained = lambda n: F.xxhash64(F.slice("stack", F.lit(1), n))
+    spelled = lambda n: F.array_join(F.slice("names", F.lit(1), n), ">")
+    at, root = F.col("at"), F.lit(ROOT).cast("long")
+    chains = each.select(
+        chained(at + 1).alias("key"), F.when(at == 0, root).otherwise(chained(at)).alias("parent_key"), spelled(at + 1).alias("path"), spelled(at).alias("parent"),
+        (at + 1).cast("long").alias("depth"), "node.module", "node.symbol", *by, "n", F.when(at + 1 == F.col("size"), F.col("n")).otherwise(0).alias("own"),
+    )
+    named = ["key", "parent_key", "path", "parent", "depth", "module", "symbol", *by]
+    return chains.groupBy(*named).agg(F.sum("n").alias("total"), F.sum("own").alias("self")).select(*named, "total", "self")
 
 
 def children(tree: DataFrame, of: str | int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Hit counts of entities over frames and samples, by sample source.
 
 ``frames(sample_id, source_id, depth, module, symbol, file, func_line, instr_line, is_leaf)``, depth 1 outermost. A recursive
-function counts once for each frame. Every aggregate has partial sums before its shuffle.
+function counts once for each frame. Every aggregate has partial sums before its shuffle. Where frames stand for several samples
+each, ``weight`` names the column that says for how many.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from emberstack.functions.scalars import percent
 
-def _hits() -> list:
-    return [F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self")]
+
+def _hits(weight: str | None = None) -> list:
+    if weight is None:
+        return [F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self")]
+    return [F.sum(weight).alias("total"), F.sum(F.when(F.col("is_leaf"), F.col(weight)).otherwise(0)).alias("self")]
 
 
 def with_leaf(frames: DataFrame) -> DataFrame:
@@ -20,21 +24,21 @@ def with_leaf(frames: DataFrame) -> DataFrame:
     return frames.withColumn("is_leaf", F.lead("depth").over(Window.partitionBy("sample_id").orderBy("depth")).isNull())
 
 
-def function_hits(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("source_id", "module", "symbol").agg(*_hits())
+def function_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
+    return frames.groupBy("source_id", "module", "symbol").agg(*_hits(weight))
 
 
-def module_hits(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("source_id", "module").agg(*_hits())
+def module_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
+    return frames.groupBy("source_id", "module").agg(*_hits(weight))
 
 
-def file_hits(frames: DataFrame) -> DataFrame:
+def file_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
     """Frames without a file count for none."""
-    return frames.where("file is not null and file <> ''").groupBy("source_id", "file").agg(*_hits())
+    return frames.where("file is not null and file <> ''").groupBy("source_id", "file").agg(*_hits(weight))
 
 
-def line_hits(frames: DataFrame) -> DataFrame:
-    return frames.where("file is not null and file <> ''").groupBy("source_id", "module", "symbol", "instr_line").agg(*_hits())
+def line_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
+    return frames.where("file is not null and file <> ''").groupBy("source_id", "module", "symbol", "instr_line").agg(*_hits(weight))
 
 
 def function_attribution(frames: DataFrame) -> DataFrame:
@@ -84,9 +88,9 @@ def session_totals(samples: DataFrame) -> DataFrame:
     return samples.agg(F.countDistinct("process_id").alias("processes"), F.countDistinct("thread_id").alias("threads"), F.count("*").alias("samples"), (F.max("ts") - F.min("ts")).alias("runtime"))
 
 
-def hottest(frames: DataFrame, samples: DataFrame, count: int) -> DataFrame:
+def hottest(frames: DataFrame, samples: DataFrame, count: int, weight: str | None = None) -> DataFrame:
     """The ``count`` functions of any process with the most self hits, with shares of all ``samples``."""
-    found = frames.groupBy("process_id", "module", "symbol").agg(*_hits())
+    found = frames.groupBy("process_id", "module", "symbol").agg(*_hits(weight))
     top = found.orderBy(F.desc("self"), F.desc("total"), "module", "symbol", "process_id").limit(count)
     top = top.join(F.broadcast(samples.agg(F.count("*").alias("whole"))))  # one row
     return top.select("process_id", "module", "symbol", "total", "self", *[percent(F.col(c), F.col("whole")).alias(f"{c}_percent") for c in ("self", "total")])

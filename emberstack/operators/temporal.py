@@ -35,38 +35,48 @@ def dense_ids(rows: DataFrame, key: list[str], order: list[str], name: str) -> D
     return first.select(*key, (F.row_number().over(Window.orderBy("__first", *key)) - 1).cast("long").alias(name))
 
 
+def time_slices(times: DataFrame, n: int, name: str) -> Column:
+    """The number of the slice that a time in column ``name`` lies in: quantiles of ``times(t)``, so each of at most ``n`` slices holds
+    about as many rows, and equal times are of one slice. Null is of the first. ``n - 1`` numbers reach the driver."""
+    cut = times.select(F.col("t").cast("double").alias("t")).agg(F.percentile_approx("t", [i / n for i in range(1, n)], 50 * n)).first()[0] if n > 1 else None
+    bounds = sorted({b for b in cut or [] if b == b})
+
+    def place(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"CASE WHEN t_ < {bounds[middle]!r}D THEN {place(low, middle)} ELSE {place(middle + 1, high)} END"
+
+    whole = place(0, len(bounds)).replace("t_", f"CAST(`{name}` AS DOUBLE)").replace("infD", "DOUBLE('Infinity')")
+    return F.expr(f"CASE WHEN `{name}` IS NULL THEN 0 ELSE {whole} END")
+
+
 def asof(probes: DataFrame, entries: DataFrame, key: str, ts: str, start: str, payload: str, tie: list[str], strict: bool, name: str, slices: int | None = None) -> DataFrame:
     """``probes`` with the payload of the latest entry of their key that starts at or before ``ts``; without one null, or the
     first entry if not ``strict``. An entry of null payload is none.
 
-    Time is cut into ``slices`` (as many as shuffle partitions), so a key of very many rows is as many groups: both sides are
-    sorted together by key, slice and time, and what a slice begins with is the last payload of the key's slices before,
-    from a table of a row for each key and slice. Nothing is multiplied.
+    Time is cut into ``slices`` (as many as shuffle partitions) at quantiles of probes and entries together, so a key of very
+    many rows is as many groups, whatever its entries' times. Both sides are sorted together by key, slice and time; a probe
+    whose slice has no entry before it takes the last one of the key's slices before, from a table of a row for each key, which
+    holds at most an entry for each slice. Nothing is multiplied.
     """
     n = slices or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slice_ = time_slices(probes.select(F.col(ts).cast("double").alias("t")).unionByName(entries.select(F.col(start).cast("double").alias("t"))), n, "__t")
     p = probes.withColumns({"__probe": F.lit(1), "__t": F.col(ts)})
     p = p.withColumns({"__payload": F.lit(None).cast(entries.schema[payload].dataType), **{f"__tie_{c}": F.lit(None).cast(entries.schema[c].dataType) for c in tie}})
     e = entries.select(F.col(key), F.lit(0).alias("__probe"), F.col(start).alias("__t"), F.col(payload).alias("__payload"), *[F.col(c).alias(f"__tie_{c}") for c in tie])
-    span = entries.agg(F.min(start).alias("__low"), F.max(start).alias("__high"))  # one row
-    # A slice is a rising function of time alone, whatever lies before the first entry or after the last.
-    width = F.greatest(F.col("__high").cast("double") - F.col("__low").cast("double"), F.lit(1.0)) / n
-    place = F.least(F.greatest(F.floor((F.col("__t").cast("double") - F.col("__low").cast("double")) / width), F.lit(-1)), F.lit(n))
-    both = p.unionByName(e, allowMissingColumns=True).join(F.broadcast(span)).withColumn("__slice", F.coalesce(place, F.lit(-1)))
-    last = ["__t", *[f"__tie_{c}" for c in tie]]
-    known = e.where("__payload is not null").join(F.broadcast(span)).withColumn("__slice", F.coalesce(place, F.lit(-1)))
-    ends = known.groupBy(F.col(key).alias("__key"), F.col("__slice").alias("__of")).agg(F.max_by("__payload", F.struct(*last)).alias("__last"), F.min_by("__payload", F.struct(*last)).alias("__first"))
-    first = ends.groupBy(F.col("__key").alias("__f_key")).agg(F.min_by("__first", "__of").alias("__first"))
-    # For every slice of a key that holds a row: what its earlier slices end with.
-    held = both.select(F.col(key).alias("__key"), F.col("__slice").alias("__of")).distinct().join(ends.drop("__first"), ["__key", "__of"], "left")
-    before = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    carried = held.select(F.col("__key").alias("__c_key"), F.col("__of").alias("__c_of"), F.last("__last", ignorenulls=True).over(before).alias("__carried")).where("__carried is not null")
     order = Window.partitionBy(key, "__slice").orderBy("__t", "__probe", *[f"__tie_{c}" for c in tie])
     here = F.last("__payload", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("__here", here).where("__probe = 1").join(carried, (F.col(key) == F.col("__c_key")) & (F.col("__slice") == F.col("__c_of")), "left")
-    value = F.coalesce("__here", "__carried")
+    both = p.unionByName(e, allowMissingColumns=True).withColumn("__slice", slice_)
+    found = both.withColumn("__here", here).where("__probe = 1")
+    by = F.struct("__t", *[f"__tie_{c}" for c in tie])
+    ends = e.where("__payload is not null").groupBy(F.col(key).alias("__key"), slice_.alias("of")).agg(F.max_by("__payload", by).alias("last"), F.min_by("__payload", by).alias("first"))
+    ends = ends.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("of", "last", "first"))).alias("__ends"))
+    found = found.join(ends, F.col(key) == F.col("__key"), "left")
+    before = F.filter("__ends", lambda x: x["of"] < F.col("__slice"))
+    value = F.coalesce("__here", F.get(before, F.size(before) - 1)["last"])
     if not strict:
-        found = found.join(first, F.col(key) == F.col("__f_key"), "left")
-        value = F.coalesce("__here", "__carried", "__first")
+        value = F.coalesce(value, F.get("__ends", F.lit(0))["first"])
     return found.select(*[F.col(c) for c in probes.columns if c != name], value.alias(name))
 
 

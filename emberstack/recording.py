@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberstack.functions import scalars
-from emberstack.operators import calltree, filters, hits, paging, switches
+from emberstack.operators import calltree, dictionary, filters, hits, paging, switches
 from emberstack.tables import saved
 
 SORTS = {"name": ["symbol", "module"], "total": ["total", "symbol", "module"], "self": ["self", "symbol", "module"]}
@@ -19,15 +19,17 @@ SORTS = {"name": ["symbol", "module"], "total": ["total", "symbol", "module"], "
 
 @dataclass(frozen=True)
 class Recording:
-    """``samples(sample_id, source_id, ts, process_id, thread_id)``, ``frames`` as in :mod:`emberstack.operators.hits` without the
-    columns of samples (a frame of null depth is of no stack), ``processes(process_id, pid, name, ...)``, ``threads(thread_id, process_id, ...)``.
+    """``samples(sample_id, source_id, ts, process_id, thread_id, stack_id)``, ``frames(stack_id, depth, module, symbol, file, func_line,
+    instr_line, is_leaf)``, once for each distinct stack (see :mod:`emberstack.operators.dictionary`; a frame of null depth is
+    of no stack), ``processes(process_id, pid, name, ...)``, ``threads(thread_id, process_id, ...)``. Samples without a stack_id are
+    stacks of their own: ``frames(sample_id, ...)`` then.
 
     Times of a filter count from the session's start, which is ``origin`` in the samples' clock; negative ones are 0. Where a
     source knows them: ``source_names(source_id, name, has_stacks)``, and one row each of ``session(command_line, date, runtime_ns)`` and
     ``system(hostname, platform, architecture, cpu_name, n_processors)``."""
 
     samples: DataFrame
-    stack_frames: DataFrame
+    frames: DataFrame
     processes: DataFrame
     threads: DataFrame
     filter: filters.SampleFilter = field(default_factory=filters.SampleFilter)
@@ -37,6 +39,17 @@ class Recording:
     session: DataFrame | None = None
     system: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        if "stack_id" not in self.samples.columns:
+            object.__setattr__(self, "samples", self.samples.withColumn("stack_id", F.col("sample_id")))
+            object.__setattr__(self, "frames", self.frames.withColumnRenamed("sample_id", "stack_id"))
+
+    @property
+    def stack_frames(self) -> DataFrame:
+        """Frames by sample, unfiltered: a row for each frame of each sample. No question here needs them so."""
+        own = self.samples.select("sample_id", F.col("stack_id").alias("__stack"))
+        return self.frames.join(own, F.col("stack_id") == F.col("__stack")).select("sample_id", *[c for c in self.frames.columns if c != "stack_id"])
+
     def filtered(self, f: filters.SampleFilter) -> Recording:
         return replace(self, filter=f)
 
@@ -46,9 +59,17 @@ class Recording:
         rows = rows if source is None else rows.where(F.col("source_id") == source)
         return rows if process is None else rows.where(F.col("process_id") == process)
 
-    def _frames(self, source: int | None = None, process: int | None = None) -> DataFrame:
-        own = self._samples(source, process).withColumnRenamed("sample_id", "__sample")
-        return self.stack_frames.join(own, F.col("sample_id") == F.col("__sample")).drop("__sample")
+    def _weights(self, source: int | None = None, process: int | None = None) -> DataFrame:
+        return dictionary.weights(self._samples(source, process))
+
+    def _weighted(self, source: int | None = None, process: int | None = None) -> DataFrame:
+        return dictionary.weighted(self.frames, self._weights(source, process))
+
+    def _without_frames(self, source: int, process: int) -> DataFrame:
+        """``(self)``: how many samples have no stack."""
+        known = self.frames.select(F.col("stack_id").alias("__stack")).distinct()
+        rows = self._weights(source, process).join(known, F.col("stack_id") == F.col("__stack"), "left_anti")
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("self"))
 
     def sample_sources(self) -> DataFrame:
         """Without the filter: it says what was recorded."""
@@ -81,12 +102,12 @@ class Recording:
 
     def hottest_functions(self, count: int, source: int) -> DataFrame:
         """By self hits over all processes, with shares of the source's samples."""
-        return hits.hottest(self._frames(source), self._samples(source), count)
+        return hits.hottest(self._weighted(source), self._samples(source), count, "n")
 
     def functions_page(self, process: int, source: int, sort_by: str, size: int, index: int, descending: bool = False) -> DataFrame:
         if sort_by not in SORTS:
             raise ValueError(f"sort by one of {', '.join(SORTS)}")
-        return paging.page(hits.function_hits(self._frames(source, process)).drop("source_id"), SORTS[sort_by], size, index, descending)
+        return paging.page(hits.function_hits(self._weighted(source, process), "n").drop("source_id"), SORTS[sort_by], size, index, descending)
 
     def process_sample_info(self, process: int) -> DataFrame:
         """Counts of a process by source, and by thread; those by thread are there for an excluded process too."""
@@ -95,16 +116,14 @@ class Recording:
         return rows.where("thread_id is not null") if process in self.filter.excluded_processes else rows
 
     def call_tree(self, source: int, process: int) -> DataFrame:
-        return calltree.nodes(self._frames(source, process).where("depth is not null"))
+        return calltree.nodes(self.frames.where("depth is not null"), weights=self._weights(source, process))
 
     def hot_path(self, source: int, process: int) -> DataFrame:
-        empty = self._samples(source, process).join(self.stack_frames.select(F.col("sample_id").alias("__sample")).distinct(), F.col("sample_id") == F.col("__sample"), "left_anti")
-        return calltree.hot_path(saved(self.call_tree(source, process)), empty.agg(F.count("*").alias("self")))
+        return calltree.hot_path(saved(self.call_tree(source, process)), self._without_frames(source, process))
 
     def hot_tree(self, source: int, process: int) -> DataFrame:
         """What a viewer shows at first: the children of every node on the hot path, with shares of all samples of the source."""
-        empty = self._samples(source, process).join(self.stack_frames.select(F.col("sample_id").alias("__sample")).distinct(), F.col("sample_id") == F.col("__sample"), "left_anti")
-        shown = calltree.hot_tree(saved(self.call_tree(source, process)), empty.agg(F.count("*").alias("self")))
+        shown = calltree.hot_tree(saved(self.call_tree(source, process)), self._without_frames(source, process))
         whole = self._samples(source).agg(F.count("*").alias("whole"))  # one row
         return shown.join(F.broadcast(whole)).select(*shown.columns, *[scalars.percent(F.col(c), F.col("whole")).alias(f"{c}_percent") for c in ("self", "total")])
 
@@ -116,12 +135,20 @@ class Recording:
         """``(side, module, symbol, edge_total, source_id, total, self)``: the callers and callees of a function that most hits of
         ``source`` pass through, and "[others]"; ``edge_total`` is what passes between, ``total`` and ``self`` are the function's own
         hits by source, summed over the others. Of the root, which is no function, the own hits are those of the edge."""
-        frames = self._frames(process=process)
-        return paging.neighbours(hits.function_edges(frames.where("depth is not null")), hits.function_hits(frames), module, symbol, source, most)
+        weights = self._weights(process=process)
+        return paging.neighbours(dictionary.edges(self.frames, weights), hits.function_hits(dictionary.weighted(self.frames, weights), "n"), module, symbol, source, most)
 
     def _neighbours(self, module: str, symbol: str, source: int, process: int, most: int, near: str, own: str) -> DataFrame:
-        edges = hits.caller_edges(self._frames(source, process).where("depth is not null")).where(F.col(own) == f"{module}!{symbol}")
-        return paging.top_with_others(edges, [own], near, "total", most)
+        """Functions are told apart by module and symbol; they are joined for people to read only."""
+        found = dictionary.edges(self.frames, self._weights(source, process))
+        found = found.where((F.col(f"{own}.module") == module) & (F.col(f"{own}.symbol") == symbol))
+        rank, most = Window.orderBy(F.desc("total"), near), max(1, most)  # the neighbours of one function
+        ranked = found.withColumns({"__rn": F.row_number().over(rank), "__n": F.count("*").over(Window.partitionBy())})
+        kept = (F.col("__n") <= most) | (F.col("__rn") < most)
+        ranked = ranked.select(F.when(kept, F.col(near)).alias("other"), kept.alias("kept"), "total")
+        summed = ranked.groupBy("other", "kept").agg(F.sum("total").alias("total"))
+        shown = F.when(~F.col("kept"), "[others]").when(F.col("other").isNull(), "[root]").otherwise(F.concat_ws("!", "other.module", "other.symbol"))
+        return summed.select(F.lit(f"{module}!{symbol}").alias(own), shown.alias(near), "total")
 
     def callers(self, module: str, symbol: str, source: int, process: int, most: int) -> DataFrame:
         return self._neighbours(module, symbol, source, process, most, "caller", "callee")
@@ -131,11 +158,15 @@ class Recording:
 
     def line_info(self, module: str, symbol: str, process: int) -> DataFrame:
         """Line hits by source, with the function's file and first line; no row for a function without a file."""
-        own = self._frames(process=process).where((F.col("module") == module) & (F.col("symbol") == symbol))
+        own = self._weighted(process=process).where((F.col("module") == module) & (F.col("symbol") == symbol))
         named = hits.function_attribution(own).select(F.col("file").alias("function_file"), F.col("func_line").alias("function_line"))  # one row or none
-        return hits.line_hits(own).join(F.broadcast(named))
+        return hits.line_hits(own, "n").join(F.broadcast(named))
+
+    def _sampled_frames(self) -> DataFrame:
+        own = self._samples().withColumnRenamed("stack_id", "__stack")
+        return self.frames.join(own, F.col("stack_id") == F.col("__stack")).drop("__stack", "stack_id")
 
     def system_views(self, prefix: str = "") -> None:
         """Registers the filtered tables as views for SQL."""
-        for name, df in (("samples", self._samples()), ("frames", self._frames()), ("processes", self.processes), ("threads", self.threads)):
+        for name, df in (("samples", self._samples().drop("stack_id")), ("frames", self._sampled_frames()), ("processes", self.processes), ("threads", self.threads)):
             df.createOrReplaceTempView(f"{prefix}{name}")

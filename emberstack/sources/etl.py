@@ -1,7 +1,8 @@
 """ETL recordings, plain or in a diagsession package, as tables of events.
 
-A file is read by Spark's ``binaryFile`` source (2 GB at most) and cut into its buffers by one task; buffers are then dealt to
-all tasks, which decompress them and read their events. What an event holds is read later, by kind, from its payload: see
+One task follows the headers of a file's buffers, a few bytes of each; the buffers are then dealt to all tasks, which read,
+decompress and decode them, so a file may be of any size. Packages, and files in stores that only Spark reads, are read whole by
+its ``binaryFile`` source (2 GB at most) first. What an event holds is read later, by kind, from its payload: see
 :func:`records`. Order within a file is that of ``seq``: time, then processor, buffer and place in it.
 """
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberstack.sources.ranges import View, listed, opened, reachable
+
 # Fixed values of the format: sizes, groups, header types by the way they are laid out, flags, providers.
 BUFFER_HEADER = 72
 GROUPS = {"header": 0, "process": 3, "thread": 5, "config": 11, "perfinfo": 15, "image": 20, "stackwalk": 24}
@@ -74,6 +77,7 @@ ARROW = {
     "string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
 }
+HEADERS = "path string, number int, processor int, sequence long, kept int, compressed boolean, form int, pointer_size int, at long, size int"
 BUFFERS = "path string, number int, processor int, sequence long, kept int, compressed boolean, form int, pointer_size int, body binary"
 EVENTS = "path string, ts long, processor int, buffer long, place int, kind string, provider string, type int, version int, pid long, tid long, pmc array<long>, pointer_size int, payload binary"
 SESSION = "path string, start_ticks long, frequency long, start_time long, end_time long, pointer_size int, n_processors int, n_buffers int, buffer_size int"
@@ -242,24 +246,49 @@ def session_of(raw: bytes) -> dict:
     }
 
 
-def buffers_of(raw: bytes) -> Iterator[tuple]:
-    """``(number, processor, sequence, kept, compressed, form, pointer_size, body)`` of every buffer of a file."""
-    session = session_of(raw)
-    at = 0
-    for number in range(session["n_buffers"]):
-        if at + BUFFER_HEADER > len(raw):
+def first_buffer(file: View) -> bytes:
+    """The header buffer of a file, as far as the file goes."""
+    return file[0 : max(BUFFER_HEADER, min(struct.unpack("<I", file[0:4])[0], 1 << 26))] if len(file) >= 4 else b""
+
+
+def headers_of(file: View, session: dict, at: int = 0, number: int = 0, growing: bool = False) -> Iterator[tuple]:
+    """``(number, processor, sequence, kept, compressed, form, pointer_size, at, size)`` of the buffers from one on. Of a ``growing``
+    file those that are there in full, however many its header says."""
+    while growing or number < session["n_buffers"]:
+        if at + BUFFER_HEADER > len(file):
+            if growing:
+                return
             raise ValueError(f"no header of buffer {number}")
-        size, kept = struct.unpack_from("<2I", raw, at)
-        (sequence,), (processor,), (flags,) = struct.unpack_from("<q", raw, at + 24), struct.unpack_from("<H", raw, at + 40), struct.unpack_from("<H", raw, at + 52)
+        head = file[at : at + BUFFER_HEADER]
+        size, kept = struct.unpack_from("<2I", head)
+        (sequence,), (processor,), (flags,) = struct.unpack_from("<q", head, 24), struct.unpack_from("<H", head, 40), struct.unpack_from("<H", head, 52)
         compressed = bool(flags & COMPRESSED_FLAG)
-        if not BUFFER_HEADER <= size <= session["buffer_size"] or at + size > len(raw):
+        if growing and BUFFER_HEADER <= size <= session["buffer_size"] and at + size > len(file):
+            return
+        if not BUFFER_HEADER <= size <= session["buffer_size"] or at + size > len(file):
             raise ValueError(f"buffer {number} of {size} bytes")
-        if sequence > session["n_buffers"] or processor > session["n_processors"]:
+        if sequence > session["n_buffers"] and not growing or processor > session["n_processors"]:
             raise ValueError(f"buffer {number} of sequence {sequence} and processor {processor}")
         if kept > (session["buffer_size"] if compressed else size):
             raise ValueError(f"buffer {number} keeps {kept} of {size} bytes")
-        yield number, processor, sequence, kept, compressed, session["form"], session["pointer_size"], raw[at + BUFFER_HEADER : at + size]
-        at += size
+        yield number, processor, sequence, kept, compressed, session["form"], session["pointer_size"], at, size
+        at, number = at + size, number + 1
+
+
+def buffers_of(raw: bytes) -> Iterator[tuple]:
+    """``(number, processor, sequence, kept, compressed, form, pointer_size, body)`` of every buffer of a file."""
+    for *head, at, size in headers_of(View(raw), session_of(raw)):
+        yield *head, raw[at + BUFFER_HEADER : at + size]
+
+
+def rows_of(path: str, processor: int, sequence: int, kept: int, compressed: bool, form: int, pointer_size: int, body: bytes, kinds: frozenset | None = None) -> list[tuple]:
+    """The events of a buffer as rows of EVENTS, those of ``kinds`` alone where they are given."""
+    size = kept - BUFFER_HEADER
+    payloads = decompressed(body, size, form) if compressed else body[:size]
+    return [
+        (path, ts, processor, sequence, place, kind, provider, type_, version, pid, tid, pmc, pointer_size, payload if kind else None)
+        for place, (kind, provider, type_, version, ts, pid, tid, pmc, payload) in enumerate(events_of(payloads)) if kinds is None or kind in kinds
+    ]
 
 
 def events_of(payload: bytes) -> Iterator[tuple]:
@@ -296,9 +325,20 @@ def events_of(payload: bytes) -> Iterator[tuple]:
         at += size + -size % 8
 
 
-def contents(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, content)`` of the recordings, those in packages unpacked."""
+def _by_ranges(spark: SparkSession, path: str) -> tuple[DataFrame | None, bool]:
+    """``(path)`` of the files that tasks read by ranges, or None; and whether there are others."""
+    files = listed(spark, path).select("path")
+    if not reachable(files):
+        return None, True
+    packed = F.lower("path").endswith(".diagsession")
+    return files.where(~packed), files.where(packed).head() is not None
+
+
+def contents(spark: SparkSession, path: str, packages: bool = False) -> DataFrame:
+    """``(path, content)`` of the recordings, or of ``packages`` alone, those in packages unpacked."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if packages:
+        files = files.where(F.lower("path").endswith(".diagsession"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,17 +358,24 @@ def session(spark: SparkSession, path: str) -> DataFrame:
     """One row for a file: ticks and frequency of its clock, start and end in 100 ns since 1601, sizes."""
     names = [c.split()[0] for c in SESSION.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                found = {"path": name, **session_of(raw)}
-                yield _rows(SESSION, [tuple(found[n] for n in names)])
+    def of(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    found = {"path": r["path"], **session_of(r["content"] if whole else first_buffer(View(opened(r["path"]))))}
+                    yield _rows(SESSION, [tuple(found[n] for n in names)])
+
+        return run
 
-    return contents(spark, path).mapInArrow(run, SESSION)
+    ranged, others = _by_ranges(spark, path)
+    found = [] if ranged is None else [ranged.mapInArrow(of(False), SESSION)]
+    if others or not found:
+        found.append(contents(spark, path, packages=ranged is not None).mapInArrow(of(True), SESSION))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
-def buffers(spark: SparkSession, path: str) -> DataFrame:
-    """The buffers of the recordings, undecoded."""
+def buffers(spark: SparkSession, path: str, packages: bool = False) -> DataFrame:
+    """The buffers of the recordings, undecoded, of files read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,25 +389,51 @@ def buffers(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield _rows(BUFFERS, held)
 
-    return contents(spark, path).mapInArrow(run, BUFFERS)
+    return contents(spark, path, packages).mapInArrow(run, BUFFERS)
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """The headers of the buffers of ``files(path)``: where each is and how large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with opened(name) as file:
+                    view, held = View(file), []
+                    for row in headers_of(view, session_of(first_buffer(view))):
+                        held.append((name, *row))
+                        if len(held) == 10_000:
+                            yield _rows(HEADERS, held)
+                            held = []
+                    if held:
+                        yield _rows(HEADERS, held)
+
+    return files.mapInArrow(run, HEADERS)
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """Every event with its undecoded payload (none for a kind that is not known); ``kind`` is that of :data:`RECORDS`, else null."""
+def events(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Every event with its undecoded payload (none for a kind that is not known), or those of ``kinds``; ``kind`` is that of
+    :data:`RECORDS`, else null."""
+    wanted = None if kinds is None else frozenset(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                size = b["kept"] - BUFFER_HEADER
-                body = decompressed(b["body"], size, b["form"]) if b["compressed"] else b["body"][:size]
-                rows = []
-                for place, (kind, provider, type_, version, ts, pid, tid, pmc, payload) in enumerate(events_of(body)):
-                    rows.append((b["path"], ts, b["processor"], b["sequence"], place, kind, provider, type_, version, pid, tid, pmc, b["pointer_size"], payload if kind else None))
+                if "at" in b:
+                    with opened(b["path"]) as file:
+                        body = file.read_at(b["size"] - BUFFER_HEADER, b["at"] + BUFFER_HEADER)
+                else:
+                    body = b["body"]
+                rows = rows_of(b["path"], b["processor"], b["sequence"], b["kept"], b["compressed"], b["form"], b["pointer_size"], body, wanted)
                 if rows:
                     yield _rows(EVENTS, rows)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return buffers(spark, path).repartition(tasks, "path", "number").mapInArrow(run, EVENTS)
+    ranged, others = _by_ranges(spark, path)
+    found = [] if ranged is None else [headers(ranged).repartition(tasks, "path", "number").mapInArrow(run, EVENTS)]
+    if others or not found:
+        found.append(buffers(spark, path, packages=ranged is not None).repartition(tasks, "path", "number").mapInArrow(run, EVENTS))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def records(events: DataFrame, kind: str) -> DataFrame:

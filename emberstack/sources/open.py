@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberstack.functions import scalars
-from emberstack.operators import filters, lifetimes, stacks, switches, symbols, temporal
+from emberstack.operators import dictionary, filters, lifetimes, stacks, switches, symbols, temporal
 from emberstack.recording import Recording
 from emberstack.sources import etl, perf_data
 from emberstack.tables import saved
@@ -55,24 +55,36 @@ def open_recording(spark: SparkSession, path: str, store: str, functions: DataFr
     return etl_recording(kept["events"], kept["session"], functions, lines, options)
 
 
-def _named_frames(frames: DataFrame, modules: DataFrame, functions: DataFrame | None, lines: DataFrame | None, options: SymbolOptions) -> DataFrame:
-    """``frames(sample_id, depth, pid, ip, ts, is_leaf)`` with module, symbol, file and lines, written once.
+def _with_epoch(rows: DataFrame, modules: DataFrame, pid: str, ts: str, name: str) -> DataFrame:
+    """``rows`` with the time ``name`` of the last module load of their process at or before theirs: between two loads an address
+    means the same, so equal stacks are equal at any time."""
+    loads = modules.select(F.col("pid").alias(pid), "load_ts", F.col("load_ts").alias("__epoch")).distinct()
+    return temporal.asof(rows, loads, pid, ts, "load_ts", "__epoch", [], True, name)
+
+
+def _named_frames(stacks_of: DataFrame, modules: DataFrame, functions: DataFrame | None, lines: DataFrame | None, options: SymbolOptions) -> DataFrame:
+    """The frames of a dictionary ``stacks_of(stack_id, stack, lone)``, whose stacks list ``(pid, ip, epoch)`` outermost first, with module,
+    symbol, file and lines, written once; what is looked up is each distinct address of a process and epoch.
 
     ``modules(pid, module_id, base, size, load_ts, page_offset, filename)``. An address of no module has the module "[unknown]";
-    one of no function, or of a module that the options leave out, has a generic name.
+    one of no function, or of a module that the options leave out, has a generic name. A lone address has a null depth.
     """
-    spark = frames.sparkSession
-    held = temporal.module_at(frames.select("pid", "ip", F.col("ts").alias("t")).distinct(), modules, ["pid"])
+    spark = stacks_of.sparkSession
+    frames = stacks_of.select("stack_id", "lone", F.size("stack").alias("n"), F.posexplode("stack").alias("at", "f"))
+    depth = F.when(~F.col("lone"), (F.col("at") + 1).cast("long"))
+    frames = frames.select("stack_id", depth.alias("depth"), "f.pid", "f.ip", "f.epoch", (F.col("at") + 1 == F.col("n")).alias("is_leaf"))
+    held = temporal.module_at(frames.select("pid", "ip", F.col("epoch").alias("t")).distinct(), modules, ["pid"])
     mapped = modules.select(F.col("module_id").alias("m_id"), "base", "page_offset", "filename")
-    held = held.join(mapped, F.col("module_id") == F.col("m_id"), "left").select(F.col("pid").alias("h_pid"), F.col("ip").alias("h_ip"), F.col("t").alias("h_ts"), F.col("filename").alias("file_module"), (F.col("ip") - F.col("base") + F.col("page_offset")).alias("rel"))
-    frames = frames.join(held, (F.col("pid") == F.col("h_pid")) & (F.col("ip") == F.col("h_ip")) & (F.col("ts") == F.col("h_ts")), "left")
+    held = held.join(mapped, F.col("module_id") == F.col("m_id"), "left").select("pid", "ip", F.col("t").alias("epoch"), F.col("filename").alias("file_module"), (F.col("ip") - F.col("base") + F.col("page_offset")).alias("rel"))
     functions = spark.createDataFrame([], FUNCTIONS) if functions is None else functions
     lines = spark.createDataFrame([], LINES) if lines is None else lines
     passes = filters.module_passes(F.col("file_module"), list(options.exclude), None if options.include is None else list(options.include))
     looked_up = F.when(passes, filters.map_path(F.col("file_module"), list(options.path_rules)))
-    named = symbols.in_range(symbols.in_range(frames.withColumn("module", looked_up), functions, ["symbol", "file", "func_line"]), lines, ["instr_line"])
+    named = symbols.in_range(symbols.in_range(held.withColumn("module", looked_up), functions, ["symbol", "file", "func_line"]), lines, ["instr_line"])
     named = named.withColumn("symbol", F.coalesce("symbol", scalars.generic_symbol(F.col("file_module"), F.col("ip"))))
-    return saved(named.select("sample_id", "depth", F.coalesce("file_module", F.lit(UNKNOWN_MODULE)).alias("module"), "symbol", "file", "func_line", "instr_line", "is_leaf"))
+    named = named.select(F.col("pid").alias("a_pid"), F.col("ip").alias("a_ip"), F.col("epoch").alias("a_epoch"), F.coalesce("file_module", F.lit(UNKNOWN_MODULE)).alias("module"), "symbol", "file", "func_line", "instr_line")
+    frames = frames.join(named, (F.col("pid") == F.col("a_pid")) & (F.col("ip") == F.col("a_ip")) & F.col("epoch").eqNullSafe(F.col("a_epoch")))
+    return saved(frames.select("stack_id", "depth", "module", "symbol", "file", "func_line", "instr_line", "is_leaf"))
 
 
 def _entries(starts: DataFrame, key: str, payload: list[str]) -> DataFrame:
@@ -135,10 +147,12 @@ def perf_recording(events: DataFrame, attributes: DataFrame, functions: DataFram
     rows = _with_place(perf_data.samples(events).drop("pid"), attributes).join(named_sources.select("source_id", F.col("place").alias("s_place")), F.col("place") == F.col("s_place"))
     rows = rows.select(F.col("seq").alias("sample_id"), "source_id", "ts", "tid", "ip", "ips")
     rows = saved(_in_life(rows, all_threads))
-    stack = rows.where("ips is not null").select("sample_id", "ts", "pid", F.size("ips").alias("n"), F.posexplode(F.reverse("ips")).alias("at", "ip"))
-    stack = stack.select("sample_id", "ts", "pid", (F.col("at") + 1).cast("long").alias("depth"), "ip", (F.col("at") + 1 == F.col("n")).alias("is_leaf"))
-    lone = rows.where("ips is null and ip is not null").select("sample_id", "ts", "pid", F.lit(None).cast("long").alias("depth"), "ip", F.lit(True).alias("is_leaf"))
-    named = _named_frames(stack.unionByName(lone), perf_data.modules(events), functions, lines, options)
+    modules = perf_data.modules(events)
+    frame = lambda x: F.struct(F.col("pid").alias("pid"), x.alias("ip"), F.col("epoch").alias("epoch"))
+    whole = F.when(F.col("ips").isNotNull(), F.transform(F.reverse("ips"), frame)).when(F.col("ip").isNotNull(), F.array(frame(F.col("ip"))))
+    held = _with_epoch(rows, modules, "pid", "ts", "epoch").withColumns({"stack": F.when(F.size(whole) > 0, whole), "lone": F.col("ips").isNull()})
+    held, distinct = dictionary.interned(held.select("sample_id", "source_id", "ts", "process_id", "thread_id", "stack", "lone"), ["stack", "lone"])
+    held, named = saved(held), _named_frames(distinct, modules, functions, lines, options)
 
     spans = perf_data.samples(events).select("tid", "ts")
     entries = all_threads.join(all_processes.select(F.col("process_id").alias("p_id"), F.col("start_ts").alias("process_start")), F.col("process_id") == F.col("p_id"))
@@ -152,7 +166,7 @@ def perf_recording(events: DataFrame, attributes: DataFrame, functions: DataFram
     session = spark.createDataFrame([(said.get("command_line", UNKNOWN), None, last - first)], SESSION)
     chains = rows.groupBy(F.col("source_id").alias("c_source")).agg(F.max(F.col("ips").isNotNull()).alias("has_stacks"))
     named_sources = named_sources.join(chains, F.col("source_id") == F.col("c_source"), "left").select("source_id", "name", F.coalesce("has_stacks", F.lit(False)).alias("has_stacks"))
-    return Recording(rows.drop("ip", "ips", "pid", "tid"), named, own, all_threads.drop("pid"), ticks_per_second=NANOSECONDS, origin=first, source_names=saved(named_sources), session=session, system=system)
+    return Recording(held, named, own, all_threads.drop("pid"), ticks_per_second=NANOSECONDS, origin=first, source_names=saved(named_sources), session=session, system=system)
 
 
 def _device_paths(events: DataFrame) -> tuple[dict[str, str], str]:
@@ -205,18 +219,24 @@ def etl_recording(events: DataFrame, session: DataFrame, functions: DataFrame |
     keys = record("stack_key").select("seq", "ts", "event_ts", "tid", "key", (F.col("type") == 37).alias("is_kernel"))
     shared = stacks.keyed(rows, keys, record("stack_body").where("type in (35, 36) and size(ips) > 0").select("seq", "key", "ips"))
     held = saved(stacks.attached(rows, own, shared))
-    frame = lambda ips, pid, ts: F.transform(F.reverse(F.coalesce(ips, F.array().cast("array<bigint>"))), lambda x: F.struct(x.alias("ip"), pid.alias("pid"), ts.alias("ts")))
-    whole = F.concat(frame(F.col("user_ips"), F.col("pid"), F.col("user_ts")), frame(F.col("kernel_ips"), F.lit(0).cast("long"), F.col("kernel_ts")))
-    stack = held.where("user_ips is not null or kernel_ips is not null").select("sample_id", F.size(whole).alias("n"), F.posexplode(whole).alias("at", "f"))
-    stack = stack.select("sample_id", (F.col("at") + 1).cast("long").alias("depth"), "f.pid", "f.ip", "f.ts", (F.col("at") + 1 == F.col("n")).alias("is_leaf"))
-    of = F.when(scalars.is_kernel_address(F.col("ip"), head["pointer_size"]), F.lit(0).cast("long")).otherwise(F.col("pid"))
-    lone = held.where("user_ips is null and kernel_ips is null").select("sample_id", F.lit(None).cast("long").alias("depth"), of.alias("pid"), "ip", "ts", F.lit(True).alias("is_leaf"))
     devices, root = _device_paths(events)
     images = record("image").where("type in (10, 3)")
     infos = record("debug_info").select("seq", "pid", "ts", "base", "debug_file", F.concat("signature", F.lit("-"), F.col("age").cast("string")).alias("signature"))
     modules = stacks.with_debug_info(images.select("seq", "pid", "ts", "base", "size", "filename", "checksum"), infos)
     modules = modules.select("pid", F.struct("seq").alias("module_id"), "base", "size", F.col("ts").alias("load_ts"), F.lit(0).cast("long").alias("page_offset"), symbols.local_path(F.col("filename"), devices, root).alias("filename"), "checksum", "debug_file", "signature")
-    named = _named_frames(stack.unionByName(lone), saved(modules), functions, lines, options)
+    modules = saved(modules)
+    none, kernel = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    of = F.when(scalars.is_kernel_address(F.col("ip"), head["pointer_size"]), kernel).otherwise(F.col("pid"))
+    lone = F.col("user_ips").isNull() & F.col("kernel_ips").isNull()
+    # A lone address has a place of its own, as one of the kernel is of process 0.
+    timed_ips = held.withColumns({"lone": lone, "k_pid": kernel, "l_pid": F.when(lone, of), "user_ts": F.coalesce("user_ts", "ts"), "kernel_ts": F.coalesce("kernel_ts", "ts")})
+    for pid, ts, name in (("pid", "user_ts", "u_epoch"), ("k_pid", "kernel_ts", "k_epoch"), ("l_pid", "ts", "l_epoch")):
+        timed_ips = _with_epoch(timed_ips, modules, pid, ts, name)
+    frame = lambda ips, pid, epoch: F.transform(F.reverse(F.coalesce(ips, none)), lambda x: F.struct(F.col(pid).alias("pid"), x.alias("ip"), F.col(epoch).alias("epoch")))
+    whole = F.concat(frame(F.col("user_ips"), "pid", "u_epoch"), frame(F.col("kernel_ips"), "k_pid", "k_epoch"))
+    whole = F.when(lone, frame(F.array("ip"), "l_pid", "l_epoch")).otherwise(whole)
+    stacked, distinct = dictionary.interned(timed_ips.select("sample_id", F.when(F.size(whole) > 0, whole).alias("stack"), "lone"), ["stack", "lone"])
+    named = _named_frames(distinct, modules, functions, lines, options)
 
     marked = record("target_started").select("pid", "ts").unionByName(record("profile_target").select("pid", "ts"))
     with_samples = rows.select(F.col("process_id").alias("s_process")).distinct()
@@ -238,7 +258,8 @@ def etl_recording(events: DataFrame, session: DataFrame, functions: DataFrame |
     met = held.groupBy(F.col("source_id").alias("m_source")).agg(F.max(F.col("user_ips").isNotNull() | F.col("kernel_ips").isNotNull()).alias("has_stacks"))
     kinds = saved(kinds.join(met, F.col("source_id") == F.col("m_source"), "left").select("source_id", "name", F.coalesce("has_stacks", F.lit(False)).alias("has_stacks")))
     samples = rows.join(profiled.select(F.col("process_id").alias("p_id")), F.col("process_id") == F.col("p_id"), "left_semi")
-    samples = saved(samples.select("sample_id", "source_id", ns("ts").alias("ts"), "process_id", "thread_id"))
+    samples = samples.join(stacked.select(F.col("sample_id").alias("__id"), "stack_id"), F.col("sample_id") == F.col("__id"), "left")
+    samples = saved(samples.select("sample_id", "source_id", ns("ts").alias("ts"), "process_id", "thread_id", "stack_id"))
     return Recording(samples, named, timed(profiled), saved(timed(owned)), ticks_per_second=NANOSECONDS, source_names=kinds, session=ran, system=about)
 
 

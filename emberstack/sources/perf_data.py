@@ -1,7 +1,12 @@
 """perf.data recordings as tables of events and attributes.
 
-Files are read by Spark's ``binaryFile`` source, so any store that Spark reads will do and a recording is one task; files over
-2 GB are beyond that source. Only the record layouts are read in Python; everything after is DataFrame work.
+A file of any size is cut into byte ranges that all tasks read. Where the records of a range begin is known only from the records
+before it, so it is guessed first: each range finds a place from which records follow one another to its end, and tells where
+the chain leaves it and how many it has counted. Then the chain is closed from the file's first record on: a range whose guess is not
+where the one before it left is walked again from there. Only then are records read, each range from its true start, with
+their places in the file. Only the record layouts are read in Python; everything after is DataFrame work.
+
+Stores that only Spark reads are read by its ``binaryFile`` source, a file of 2 GB at most by one task.
 """
 
 from __future__ import annotations
@@ -9,10 +14,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberstack.sources.ranges import View, listed, opened, reachable
+
 # Fixed values of the format: record types, bits of sample_type and of features, and flags.
 COMM, EXIT, FORK, SAMPLE, MMAP2, AUXTRACE = 3, 4, 7, 9, 10, 71
 KINDS = {COMM: "comm", EXIT: "exit", FORK: "fork", SAMPLE: "sample", MMAP2: "mmap2"}
@@ -20,6 +27,9 @@ IP, TID, TIME, ADDR, READ, CALLCHAIN, ID, CPU, PERIOD, STREAM, RAW, IDENTIFIER =
 EVENT_DESC, SAMPLE_ID_ALL, BUILD_ID = 12, 1 << 18, 1 << 14
 TEXTS = {3: "hostname", 4: "os_release", 5: "version", 6: "arch", 8: "cpu_desc", 9: "cpu_id"}
 BATCH = 50_000
+RANGE = 1 << 25  # bytes of a file that a task reads at once
+LARGEST = 1 << 16  # no record is larger, but for what follows an auxtrace record
+SURE = 64  # so many records in a chain make a guess
 
 EVENTS = """path string, seq long, kind string, ts long, pid long, tid long, ppid long, cpu long, event_id long, ip long, period long, ips array<long>,
   addr long, len long, page_offset long, build_id string, name string"""
@@ -35,8 +45,10 @@ def _text(raw: bytes) -> str:
 class Recording:
     """The header, attributes and features of one file."""
 
-    def __init__(self, data: bytes):
-        self.data = data
+    def __init__(self, data: bytes | View, growing: bool = False):
+        """Of a ``growing`` file whose header says nothing of its size yet, all that is there are records."""
+        self.data, self.growing = data if isinstance(data, View) else View(data), growing
+        data = self.data
         if data[:8] not in (b"PERFILE2", b"2ELIFREP"):
             raise ValueError("not a perf.data file")
         self.order = "<" if data[:8] == b"PERFILE2" else ">"
@@ -50,7 +62,7 @@ class Recording:
         self.by_id = {i: a for a in self.attributes for i in a["ids"]}
 
     def read(self, form: str, at: int) -> tuple:
-        return struct.unpack_from(self.order + form, self.data, at)
+        return self.data.unpack(self.order + form, at)
 
     def _attribute(self, at: int, place: int, name: str | None, ids: tuple) -> dict:
         config, _, kind, form, flags = self.read("5Q", at + 8)
@@ -93,17 +105,59 @@ class Recording:
                 at += 4 + length
             yield "command_line", " ".join(words)
 
-    def events(self) -> Iterator[dict]:
-        """Records of the known kinds in the order of the file; a record of impossible size ends the scan."""
-        at, end, seq = self.begin, min(self.begin + self.size, len(self.data)), 0
-        while at + 8 <= end:
-            kind, misc, size = self.read("IHH", at)
-            if size < 8 or at + size > end:
+    @property
+    def end(self) -> int:
+        return len(self.data) if self.growing and not self.size else min(self.begin + self.size, len(self.data))
+
+    def following(self, at: int) -> int | None:
+        """Where the record after the one at ``at`` begins; None for a record of impossible size, which ends the scan."""
+        if at + 8 > self.end:
+            return None
+        kind, _, size = self.read("IHH", at)
+        if size < 8 or at + size > self.end:
+            return None
+        return at + size + (self.read("Q", at + 8)[0] if kind == AUXTRACE and size >= 16 else 0)
+
+    def walked(self, at: int, stop: int) -> tuple[int, int, bool]:
+        """From a record on: the first place at or beyond ``stop`` where one begins, how many there are before it, and whether the scan ends
+        there."""
+        n = 0
+        while at < stop:
+            after = self.following(at)
+            if after is None:
+                return at, n, True
+            at, n = after, n + 1
+        return at, n, False
+
+    def guessed(self, begin: int, stop: int) -> int | None:
+        """A place from ``begin`` on, within the largest record's length, from which a chain of plausible records leads on."""
+        for start in range(begin + -(begin - self.begin) % 8, min(stop, begin + LARGEST, self.end), 8):
+            at = start
+            for _ in range(SURE):
+                if at >= stop or at == self.end:
+                    break
+                kind, _, size = self.read("IHH", at) if at + 8 <= self.end else (0, 0, 0)
+                after = self.following(at) if size and size % 8 == 0 and (0 < kind < 32 or 64 <= kind < 96) else None
+                if after is None:
+                    at = None
+                    break
+                at = after
+            if at is not None:
+                return start
+        return None
+
+    def events(self, at: int | None = None, stop: int | None = None, seq: int = 0, kinds: frozenset | None = None) -> Iterator[dict]:
+        """Records of the known ``kinds`` (all by default) in the order of the file, from a record on, of number ``seq``, to ``stop``."""
+        at, stop = self.begin if at is None else at, self.end if stop is None else stop
+        while at < stop:
+            after = self.following(at)
+            if after is None:
                 return
-            if kind in KINDS:
+            kind, misc, size = self.read("IHH", at)
+            if kind in KINDS and (kinds is None or KINDS[kind] in kinds):
                 yield {"seq": seq, "kind": KINDS[kind], **(self._sample(at + 8) if kind == SAMPLE else self._record(kind, misc, at + 8, at + size))}
             seq += 1
-            at += size + (self.read("Q", at + 8)[0] if kind == AUXTRACE else 0)
+            at = after
 
     def _of(self, at: int) -> dict:
         """The attribute of a sample, by the id at its fixed place."""
@@ -152,30 +206,117 @@ class Recording:
         return row | {"name": _text(self.data[at + 64 : end])}
 
 
-def _parsed(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(",")]
+def _batches(path: str, rows: Iterator[dict], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of a bounded length, with the columns of ``schema``."""
+    named = [c.split() for c in schema.split(",")]
+    held: dict[str, list] = {n: [] for n, _ in named}
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[n], ARROW[kind]) for n, kind in named], [n for n, _ in named])
 
-    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for table in files:
-            for file, content in zip(table["path"], table["content"]):
-                batch = []
-                for row in rows(Recording(content)):
-                    batch.append([file, *(row.get(n) for n in names[1:])])
-                    if len(batch) == BATCH:
-                        yield pd.DataFrame(batch, columns=names, dtype=object)
-                        batch = []
-                yield pd.DataFrame(batch, columns=names, dtype=object)
+    for row in rows:
+        for n in held:
+            held[n].append(path if n == "path" else row.get(n))
+        if len(held["path"]) == BATCH:
+            yield batch()
+            held = {n: [] for n in held}
+    yield batch()
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
+ARROW = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each comm, exit, fork, mmap2 and sample record; ``seq`` is its place in the file. u64 values are two's complement."""
-    return _parsed(spark, path, EVENTS, lambda r: r.events())
+
+def _parsed(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
+    """What ``rows`` reads of the header of each file."""
+    files = listed(spark, path)
+    whole = not reachable(files)
+    if whole:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for r in table.to_pylist():
+                yield from _batches(r["path"], rows(Recording(r["content"] if whole else View(opened(r["path"])))), schema)
+
+    return files.mapInArrow(run, schema)
+
+
+def segments(spark: SparkSession, path: str, size: int = RANGE) -> list[tuple[str, int, int, int]]:
+    """``(path, start, stop, seq)``: the files cut where records begin, about every ``size`` bytes; ``seq`` is the number of the first
+    record in its file. What reaches the driver is a row for each range."""
+    files = listed(spark, path)
+    each = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}")))).alias("place"))
+    each = each.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for r in table.to_pylist():
+                with opened(r["path"]) as file:
+                    recording = Recording(View(file))
+                    begin, stop = max(recording.begin, r["place"] * size), min(recording.end, (r["place"] + 1) * size)
+                    row = {"place": r["place"], "begin": begin, "stop": stop}
+                    if begin < stop:
+                        start = begin
+                        if begin > recording.begin:
+                            recording.data.hold(begin, min(begin + 4 * LARGEST, stop) + 64)
+                            start = recording.guessed(begin, stop)
+                        if start is not None:
+                            recording.data.hold(start, stop + 64)
+                            at, n, over = recording.walked(start, stop)
+                            row |= {"start": start, "exit": at, "n": n, "over": int(over)}
+                    yield from _batches(r["path"], iter([row]), GUESSES)
+
+    found: dict[str, list] = {}
+    for r in each.mapInArrow(run, GUESSES).orderBy("path", "place").collect():
+        if r["begin"] < r["stop"]:
+            found.setdefault(r["path"], []).append(r)
+    out = []
+    for name, guesses in found.items():
+        at, seq, recording = guesses[0]["begin"], 0, None
+        for r in guesses:
+            if at >= r["stop"]:  # data that follows a record fills the range
+                continue
+            after, n, over = r["exit"], r["n"], bool(r["over"])
+            if r["start"] != at:
+                recording = recording or Recording(View(opened(name)))
+                recording.data.hold(at, r["stop"] + 64)
+                after, n, over = recording.walked(at, r["stop"])
+            if n:
+                out.append((name, at, r["stop"], seq))
+            at, seq = after, seq + n
+            if over:
+                break
+    return out
+
+
+GUESSES = "path string, place long, begin long, stop long, start long, exit long, n long, over long"
+
+
+def events(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None, size: int = RANGE) -> DataFrame:
+    """A row for each comm, exit, fork, mmap2 and sample record, or those of ``kinds``; ``seq`` is its place in the file. u64 values are two's
+    complement. Records of other kinds aren't decoded, and only ``columns`` leave Python."""
+    schema = ",".join(c for c in EVENTS.split(",") if columns is None or c.split()[0] in ("path", *columns))
+    wanted = None if kinds is None else frozenset(kinds)
+    if not reachable(listed(spark, path)):
+        return _parsed(spark, path, schema, lambda r: r.events(kinds=wanted))
+    cut = segments(spark, path, size)
+    if not cut:  # nothing but headers; what is no recording fails here
+        return _parsed(spark, path, schema, lambda r: r.events(kinds=wanted))
+    tasks = spark.createDataFrame(cut, "path string, start long, stop long, seq long").repartition(len(cut))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for r in table.to_pylist():
+                with opened(r["path"]) as file:
+                    recording = Recording(View(file))
+                    recording.data.hold(r["start"], r["stop"] + LARGEST)
+                    yield from _batches(r["path"], recording.events(r["start"], r["stop"], r["seq"], wanted), schema)
+
+    return tasks.mapInArrow(run, schema)
 
 
 def attributes(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, ATTRIBUTES, lambda r: r.attributes)
+    return _parsed(spark, path, ATTRIBUTES, lambda r: iter(r.attributes))
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:

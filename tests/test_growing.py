@@ -1,0 +1,91 @@
+"""Streams over files that are appended to between micro-batches and across restarts, against the finished files."""
+
+from __future__ import annotations
+
+import struct
+
+import pytest
+
+from emberstack.sources import etl, growing
+from emberstack.sources import perf_data as perf
+from test_etl import _file as etl_file
+from test_ranges import _data, _head, _rows
+
+
+def _started(spark, tmp_path, kind, piece):
+    events = growing.stream(spark, str(tmp_path / "in"), kind, piece)
+    return events.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+
+
+def _append(path, raw: bytes) -> None:
+    with open(path, "ab") as f:
+        f.write(raw)
+
+
+@pytest.mark.parametrize("piece", [500, 1 << 20])
+def test_a_perf_file_that_grows(spark, tmp_path, piece):
+    (tmp_path / "in").mkdir()
+    data, at = _data(5), [0, 90, 3000, 3001, 20000, 41000]
+    whole, file, other = _head(0) + data, tmp_path / "in/a.data", tmp_path / "in/b.data"
+    cuts = [len(_head(0)) * (k > 0) + x for k, x in enumerate(at)] + [len(whole)]
+    query = _started(spark, tmp_path, "perf", piece)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        _append(file, whole[a:b])
+        if k == 3:  # another file comes, and the query is started anew
+            _append(other, _head(len(data)) + data)
+            query.processAllAvailable()
+            query.stop()
+            query = _started(spark, tmp_path, "perf", piece)
+        query.processAllAvailable()
+    query.stop()
+    (tmp_path / "done").mkdir()
+    (tmp_path / "done/a.data").write_bytes(_head(len(data)) + data)
+    want = [r[1:] for r in _rows(perf.events(spark, str(tmp_path / "done")))]
+    got = _rows(spark.read.parquet(str(tmp_path / "out")))
+    assert [r[1:] for r in got if r[0].endswith("a.data")] == want
+    assert [r[1:] for r in got if r[0].endswith("b.data")] == want
+
+
+def test_a_batch_is_the_same_when_it_is_repeated(tmp_path):
+    data = _data(6)
+    (tmp_path / "a.data").write_bytes(_head(0) + data[:9000])
+    reader = growing.Reader(str(tmp_path), "perf", 700)
+    first = reader.latestOffset()
+    _append(tmp_path / "a.data", data[9000:])
+    last = reader.latestOffset()
+    assert first != last and growing.Reader(str(tmp_path), "perf", 700).latestOffset() == last
+    read = lambda a, b: [r for p in growing.Reader(str(tmp_path), "perf", 700).partitions(a, b) for batch in reader.read(p) for r in batch.to_pylist()]
+    once = read({}, first) + read(first, last)
+    assert once == read({}, last) == read({}, first) + read(first, last) and len({r["seq"] for r in once}) == len(once) > 300
+    assert len(reader.partitions(first, last)) > 5 and reader.partitions(last, last) == []
+
+
+def test_a_record_that_is_not_whole_waits_for_its_rest(tmp_path):
+    record = perf.AUXTRACE, struct.pack("<Q", 100)
+    raw = struct.pack("<IHH", record[0], 0, 16) + record[1]
+    (tmp_path / "a.data").write_bytes(_head(0) + raw + b"x" * 60)
+    reader = growing.Reader(str(tmp_path), "perf", 1 << 20)
+    name = str(tmp_path / "a.data")
+    begin = len(_head(0))
+    assert reader.latestOffset() == {name: [begin, 0]}
+    _append(name, b"x" * 40)
+    assert reader.latestOffset() == {name: [begin + 116, 1]}
+
+
+def test_an_etl_file_that_grows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    raw = etl_file(8, True)
+    query = _started(spark, tmp_path, "etl", 1)
+    step = len(raw) // 7
+    for a in range(0, len(raw), step):
+        _append(tmp_path / "in/a.etl", raw[a : a + step])
+        query.processAllAvailable()
+    query.stop()
+    rows = lambda df: sorted((tuple(r) for r in df.drop("path").collect()), key=lambda r: r[:4])
+    want = rows(etl.events(spark, str(tmp_path / "in")))
+    assert len(want) == 42 and rows(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
+def test_kinds(spark, tmp_path):
+    with pytest.raises(ValueError, match="kind must be one of"):
+        growing.stream(spark, str(tmp_path), "elf")
