@@ -366,17 +366,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return named.where("doc_id is not null").select("doc_id", "n_shingles", "component_id").unionByName(unnamed)
 
 
+ODD = 1 << 62  # rows that a doc_id can't name have numbers from here on
+
+
+def _odd_rows(rows: DataFrame) -> DataFrame:
+    """``(o_file, o_row, o_id, o_node)``, saved: the rows whose doc_id is null, not theirs alone or no number below ODD, each with a number
+    of its own. Only ids are read."""
+    own = rows.select(F.col("__file").alias("o_file"), F.col("__row").alias("o_row"), F.col("doc_id").alias("o_id"))
+    repeated = own.where("o_id is not null").groupBy(F.col("o_id").alias("r_id")).agg(F.count("*").alias("n")).where("n > 1").select("r_id")
+    odd = own.where(F.col("o_id").isNull() | (F.col("o_id") >= ODD))
+    odd = odd.unionByName(own.where(F.col("o_id") < ODD).join(repeated, F.col("o_id") == F.col("r_id"), "left_semi"))
+    return saved(odd.withColumn("o_node", F.lit(ODD) + F.monotonically_increasing_id()))
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: of linked rows the one of least doc_id, null ids last.
 
-    Rows are told apart by their place in the stored table, not by doc_id: rows that repeat an id stay or go by their own texts, and of
-    exact copies one stays whatever its id. Of equal rows the one stored first stays. Rows without words stay.
+    A row is named by its doc_id if no other row has it, else by a number of its own: rows that repeat an id stay or go by their
+    own texts, and of exact copies one stays whatever its id. Of equal rows the one first numbered stays. Rows without words stay.
     """
     rows = with_row_names(docs)
-    # One row of two numbers for each file of the table.
-    files = saved(rows.select(F.col("__file").alias("__f_file")).distinct().withColumn("__number", F.row_number().over(Window.orderBy("__f_file")).cast("long")))
-    rows = rows.join(files, F.col("__file") == F.col("__f_file")).withColumn("__node", F.shiftleft("__number", 40) + F.col("__row"))
+    odd = _odd_rows(rows)
+    if not odd.head(1):  # every row is named by its id, so no row needs its place
+        keep = near_duplicates(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
+        return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    names = odd.select(F.col("o_file").alias("__o_file"), F.col("o_row").alias("__o_row"), F.col("o_node").alias("__o_node"))
+    rows = rows.join(names, (F.col("__file") == F.col("__o_file")) & (F.col("__row") == F.col("__o_row")), "left")
+    rows = saved(rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__o_node", "doc_id").alias("__node")))
     found = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("n_node"), "component_id")
-    found = found.join(rows.select("__node", F.col("doc_id").alias("n_id")), F.col("n_node") == F.col("__node"))
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("n_id").isNull(), "n_id", "n_node")).alias("least")).select(F.col("least.n_node").alias("__keep"))
-    return rows.join(saved(keep), F.col("__node") == F.col("__keep"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.join(odd.select("o_id", "o_node"), F.col("n_node") == F.col("o_node"), "left")
+    name = F.when(F.col("o_node").isNull(), F.col("n_node")).otherwise(F.col("o_id")).alias("id")
+    keep = found.groupBy("component_id").agg(F.min(F.struct((F.col("o_node").isNotNull() & F.col("o_id").isNull()).alias("none"), name, "n_node")).alias("least"))
+    keep = keep.select(F.col("least.n_node").alias("__keep"))
+    return rows.join(keep, F.col("__node") == F.col("__keep"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
