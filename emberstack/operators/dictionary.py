@@ -1,5 +1,7 @@
 """A dictionary of stacks: equal stacks are stored once, and what is asked of samples is asked of weighted stacks.
 
+:class:`SlicedHits` keeps function hits by slices of time beside it, so that a filter reads no frame of what lies whole within it.
+
 Samples name their stack; ``frames(stack_id, depth, module, symbol, ...)`` holds the frames of each stack once. A filter counts
 the narrow samples into weights ``(stack_id, source_id, process_id, n, first)``, and only the stacks that are left meet their
 frames, so no question reads a frame for each sample.
@@ -7,9 +9,11 @@ frames, so no question reads a frame for each sample.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberstack.operators import filters, hits
+from emberstack.operators.temporal import numbered
 from emberstack.tables import saved
 
 
@@ -52,3 +56,69 @@ def edges(frames: DataFrame, weights: DataFrame) -> DataFrame:
     own = weights.groupBy(F.col("stack_id").alias("__stack"), "source_id").agg(F.sum("n").alias("n"))
     met = each.join(own, F.col("stack_id") == F.col("__stack"))
     return met.groupBy("source_id", "caller", "callee").agg(F.sum(F.col("k") * F.col("n")).alias("total"))
+
+
+class SlicedHits:
+    """Function hits of ``samples`` over a dictionary of ``frames``, summed by slice of time, process, thread and source.
+
+    Slices are ``width`` ticks of ``ts`` wide; the sums are written once, by slice. A time filter adds the sums of the slices that lie
+    whole within it; only of the two slices that it cuts are the samples read, and the frames of their stacks. Processes
+    and threads are columns of the sums, so leaving some out costs no frames at all.
+    """
+
+    def __init__(self, samples: DataFrame, frames: DataFrame, width: int):
+        self.samples, self.frames, self.width = samples, frames, width
+        keys = ["slice", "process_id", "thread_id", "source_id"]
+        counted = samples.withColumn("slice", self._slice(F.col("ts"))).groupBy("stack_id", *keys).agg(F.count("*").alias("n")).withColumnRenamed("stack_id", "__stack")
+        met = frames.join(counted, F.col("stack_id") == F.col("__stack"))
+        sums = met.groupBy(*keys, "module", "symbol").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("is_leaf"), F.col("n")).otherwise(0)).alias("self"))
+        self.sums = saved(sums.repartitionByRange("slice").sortWithinPartitions("slice"))
+
+    def _slice(self, ts: Column) -> Column:
+        return F.floor(ts / F.lit(self.width))
+
+    def function_hits(self, f: filters.SampleFilter) -> DataFrame:
+        """``(source_id, module, symbol, total, self)`` of the samples that pass ``f``, as :func:`emberstack.operators.hits.function_hits` gives them."""
+        sums, edges = self.sums, []
+        if f.min_time is not None:
+            cut = f.min_time // self.width
+            whole = cut * self.width == f.min_time
+            sums = sums.where(F.col("slice") >= cut + (not whole))
+            edges += [] if whole else [cut]
+        if f.max_time is not None:
+            cut = f.max_time // self.width
+            whole = (cut + 1) * self.width - 1 == f.max_time
+            sums = sums.where(F.col("slice") <= cut - (not whole))
+            edges += [] if whole else [cut]
+        sums = filters.filtered(sums, filters.SampleFilter(excluded_processes=f.excluded_processes, excluded_threads=f.excluded_threads))
+        found = sums.groupBy("source_id", "module", "symbol").agg(F.sum("total").alias("total"), F.sum("self").alias("self"))
+        if not edges:
+            return found
+        at_edge = F.lit(False)
+        for cut in dict.fromkeys(edges):
+            at_edge = at_edge | F.col("ts").between(cut * self.width, (cut + 1) * self.width - 1)
+        own = weighted(self.frames, weights(filters.filtered(self.samples.where(at_edge), f)))
+        both = found.unionByName(hits.function_hits(own, "n").select("source_id", "module", "symbol", "total", "self"))
+        return both.groupBy("source_id", "module", "symbol").agg(F.sum("total").alias("total"), F.sum("self").alias("self"))
+
+
+class SortedPages:
+    """Rows kept in several orders, so that a page is read by its places: a range of numbers in a table sorted by them, not a sort.
+
+    ``orders`` are lists of columns by name; a descending page is read from the other end.
+    """
+
+    def __init__(self, rows: DataFrame, orders: dict[str, list[str]]):
+        self.columns, self.tables, self.rows = rows.columns, {}, 0
+        rows = saved(rows)
+        for name, order in orders.items():
+            placed = numbered(rows, [*order, *[c for c in rows.columns if c not in order]], "__place")
+            self.tables[name] = saved(placed.sortWithinPartitions("__place"))
+        self.rows = rows.count()
+
+    def page(self, order: str, size: int, index: int, descending: bool = False) -> DataFrame:
+        """The rows of page ``index``, from 0, of ``size`` rows, in order."""
+        first, last = index * size, min(self.rows, (index + 1) * size) - 1
+        low, high = (self.rows - 1 - last, self.rows - 1 - first) if descending else (first, last)
+        place = F.col("__place")
+        return self.tables[order].where(place.between(low, high)).orderBy(place.desc() if descending else place).select(*self.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberstack.functions.scalars import unsigned, wrapping_difference, wrapping_sum
 from emberstack.operators.graph import reachable
+from emberstack.tables import saved
 
 
 def history(events: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
@@ -28,11 +29,26 @@ def merged_order(events: DataFrame, key: str, order: list[str], name: str) -> Da
     return events.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number from 0 in the order of ``order``, as no single task sorts them: ranges of the order are sorted each by
+    itself and written once, and a number is a row's place in its range after the sizes of the ranges before, which are a table
+    of a row for each range. Equal rows are numbered in any order."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # The high bits are the number of the partition, the low 33 a row's place in it.
+    held = saved(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    found = held.join(F.broadcast(before), part == F.col("__part"))  # a row for each partition
+    return found.select(*rows.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def dense_ids(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
     """``(*key, name)``: a number from 0 for each distinct key, in the order in which keys first appear. Keys are aggregated before
-    they are numbered; their table is of names (modules, functions, files), which one task orders."""
+    they are numbered, and numbered by all tasks."""
     first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("__first"))
-    return first.select(*key, (F.row_number().over(Window.orderBy("__first", *key)) - 1).cast("long").alias(name))
+    return numbered(first, ["__first", *key], name).select(*key, name)
 
 
 def time_slices(times: DataFrame, n: int, name: str) -> Column:

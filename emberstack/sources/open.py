@@ -99,15 +99,14 @@ def processes(events: DataFrame) -> DataFrame:
     """``(process_id, pid, name, start_ts, end_ts)`` from comm and fork records of main threads."""
     main = events.where("kind in ('comm', 'fork') and pid = tid").select("pid", "ts", "seq", F.col("name"))
     found = _entries(main, "pid", ["name"])
-    number = F.row_number().over(Window.orderBy("pid", "start_ts")).cast("long")  # a recording has few processes
-    return found.select(lifetimes.key_of(number, 2**32).alias("process_id"), "pid", "name", "start_ts", "end_ts")
+    found = temporal.numbered(found, ["pid", "start_ts"], "number")
+    return found.select((F.lit(2**32) + F.col("number")).alias("process_id"), "pid", "name", "start_ts", "end_ts").orderBy("process_id")
 
 
 def threads(events: DataFrame, processes: DataFrame) -> DataFrame:
     """``(thread_id, process_id, tid, name, start_ts, end_ts)``; the process is the one of the pid alive when the thread started."""
     found = _entries(events.where("kind in ('comm', 'fork')").select("tid", "ts", "seq", "pid", "name"), "tid", ["pid", "name"])
-    number = F.row_number().over(Window.orderBy("tid", "start_ts")).cast("long")  # a recording has few threads
-    found = found.withColumn("thread_id", lifetimes.key_of(number, 2**33))
+    found = temporal.numbered(found, ["tid", "start_ts"], "number").withColumn("thread_id", F.lit(2**33) + F.col("number"))
     owned = temporal.asof(found, processes.select("pid", "start_ts", "process_id"), "pid", "start_ts", "start_ts", "process_id", [], False, "process_id")
     return owned.select("thread_id", "process_id", "tid", "pid", "name", "start_ts", "end_ts")
 
@@ -197,10 +196,10 @@ def etl_recording(events: DataFrame, session: DataFrame, functions: DataFrame |
         return lifetimes.intervals(rows, key, payload)
 
     found = saved(lives("process", "pid", ["name", "command_line", "ppid"]))
-    number = F.row_number().over(Window.orderBy("pid", "start_ts")).cast("long")  # a recording has few processes
-    all_processes = saved(found.withColumn("process_id", lifetimes.key_of(number, 2**32)))
-    number = F.row_number().over(Window.orderBy("tid", "start_ts")).cast("long")  # and few threads
-    found = saved(lives("thread", "tid", ["pid", "name"])).withColumn("thread_id", lifetimes.key_of(number, 2**33))
+    found = temporal.numbered(found, ["pid", "start_ts"], "number")
+    all_processes = saved(found.withColumn("process_id", F.lit(2**32) + F.col("number")).drop("number"))
+    found = temporal.numbered(lives("thread", "tid", ["pid", "name"]), ["tid", "start_ts"], "number")
+    found = saved(found.withColumn("thread_id", F.lit(2**33) + F.col("number")).drop("number"))
     all_threads = saved(temporal.asof(found, all_processes.select("pid", "start_ts", "process_id"), "pid", "start_ts", "start_ts", "process_id", [], False, "process_id"))
 
     place = F.shiftleft(F.col("seq.processor").cast("long"), 44) + F.shiftleft("seq.buffer", 20) + F.col("seq.place")

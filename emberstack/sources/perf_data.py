@@ -202,7 +202,7 @@ class Recording:
             return row | {"name": _text(self.data[at + 8 : end])}
         row["addr"], row["len"], row["page_offset"] = self.read("3q", at + 8)
         if misc & BUILD_ID:
-            row["build_id"] = self.data[at + 36 : at + 36 + min(20, self.data[at + 32])].hex()
+            row["build_id"] = self.data[at + 36 : at + 36 + min(20, self.data[at + 32 : at + 33][0])].hex()
         return row | {"name": _text(self.data[at + 64 : end])}
 
 

@@ -63,6 +63,7 @@ class View:
 
     def unpack(self, form: str, at: int) -> tuple:
         """As ``struct.unpack_from`` of the whole file."""
-        if self.begin <= at and at + 64 <= self.begin + len(self.held):
+        size = struct.calcsize(form)
+        if self.begin <= at and at + size <= self.begin + len(self.held):
             return struct.unpack_from(form, self.held, at - self.begin)
-        return struct.unpack(form, self[at : at + struct.calcsize(form)])
+        return struct.unpack(form, self[at : at + size])

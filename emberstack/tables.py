@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -36,6 +37,13 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def saved_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`saved`, with the number of rows, counted while they are written."""
+    seen = Observation()
+    table = saved(df.observe(seen, F.count("*").alias("n")))
+    return table, seen.get["n"]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

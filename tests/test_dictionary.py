@@ -99,3 +99,42 @@ def test_equal_addresses_in_different_epochs_are_different_stacks(spark):
     r = opener.perf_recording(saved(rows), attributes)
     assert {(x.module, x.total) for x in hits.module_hits(r._weighted(), "n").collect()} == {("/a.so", 2), ("/b.so", 3)}
     assert r.frames.count() == 2
+
+
+@pytest.fixture(scope="module")
+def sliced(both):
+    return dictionary.SlicedHits(both[1].samples, both[1].frames, 100)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_filters_of_sliced_hits(both, sliced, seed):
+    rng = random.Random(seed)
+    for _ in range(3):
+        low, high = sorted(rng.randrange(-50, 1100) for _ in range(2))
+        f = filters.SampleFilter(rng.choice([None, low, low // 100 * 100]), rng.choice([None, high, high // 100 * 100 + 99]), tuple(rng.sample([1, 2], rng.randrange(2))), tuple(rng.sample([5, 6, 7, 8], rng.randrange(3))))
+        rows = filters.filtered(both[1].samples, f)
+        want = hits.function_hits(dictionary.weighted(both[1].frames, dictionary.weights(rows)), "n")
+        text = lambda df: sorted(map(str, df.select("source_id", "module", "symbol", "total", "self").collect()))
+        assert text(sliced.function_hits(f)) == text(want)
+
+
+def test_whole_slices_read_no_frames(both, sliced):
+    plan = lambda f: sliced.function_hits(f)._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan(filters.SampleFilter(100, 899, (2,)))
+    assert "stack_id" not in inner and "depth" not in inner and "Join" not in inner
+    cut = plan(filters.SampleFilter(150, 899))
+    assert "Join" in cut and "ts" in cut
+
+
+def test_pages_by_place(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("mno"), f"f{i}", rng.randrange(9), rng.randrange(5)) for i in range(95)]
+    df = spark.createDataFrame(rows, "module string, symbol string, total long, self long")
+    from emberstack.recording import SORTS
+
+    pages = dictionary.SortedPages(df, SORTS)
+    for name, order in SORTS.items():
+        keyed = sorted(rows, key=lambda r: tuple(dict(zip(df.columns, r))[c] for c in order))
+        for index in (0, 3, 9, 10):
+            assert [tuple(r) for r in pages.page(name, 10, index).collect()] == keyed[10 * index : 10 * index + 10]
+            assert [tuple(r) for r in pages.page(name, 10, index, True).collect()] == keyed[::-1][10 * index : 10 * index + 10]

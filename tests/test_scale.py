@@ -117,3 +117,17 @@ def test_ranges_against_brute_force(spark, seed):
 def test_samples_of_no_process_are_not_excluded(spark):
     samples = spark.createDataFrame([(1, 5, None, None), (2, 6, 1, 2)], "sample_id long, ts long, process_id long, thread_id long")
     assert [r.sample_id for r in filters.filtered(samples, filters.SampleFilter(excluded_processes=(1,), excluded_threads=(2,))).collect()] == [1]
+
+
+def test_a_million_numbers_by_all_tasks(spark):
+    rows = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.lit("x").alias("v"))
+    got = temporal.numbered(rows, ["k"], "n").cache()
+    order = got.withColumn("want", F.expr("k"))
+    assert got.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (0, 999_999, 1_000_000)
+    step = order.withColumn("part", F.expr("n div 1000")).groupBy("part").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c"))
+    parts = step.orderBy("part").collect()
+    assert all(r.c == 1000 for r in parts) and all(x.b < y.a for x, y in zip(parts, parts[1:]))
+    assert got.groupBy(F.spark_partition_id()).count().count() >= 4
+    twice = spark.createDataFrame([("b", 3), ("a", 5), ("b", 1), ("c", 1), ("c", 1)], "key string, t long")
+    assert {(r.key, r.n) for r in temporal.dense_ids(twice, ["key"], ["t"], "n").collect()} == {("b", 0), ("c", 1), ("a", 2)}
+    assert temporal.numbered(twice.limit(0), ["t"], "n").count() == 0
