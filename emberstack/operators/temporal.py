@@ -6,21 +6,53 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType, TimestampType
 
 from emberstack.functions.scalars import unsigned, wrapping_difference, wrapping_sum
 from emberstack.operators.graph import reachable
 from emberstack.tables import saved
 
 
+def neighbour(rows: DataFrame, key: str, order: list[str], value: Column, name: str, ahead: bool = False, slices: int | None = None) -> DataFrame:
+    """``rows`` with ``name``: the last ``value`` that isn't null of the rows before each in its key's ``order``, or the first of those
+    after it if ``ahead``.
+
+    Time, the first of ``order`` (of a struct its first field), is cut into slices, so a key of very many rows is as many groups;
+    what a slice's rows don't find in it comes from a table of a row for each key, with at most a value for each slice. A time that
+    is no number is not cut.
+    """
+    kind = rows.schema[order[0]].dataType
+    time = F.col(order[0])[kind.fieldNames()[0]] if isinstance(kind, StructType) else F.col(order[0])
+    first = kind.fields[0].dataType if isinstance(kind, StructType) else kind
+    n = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = isinstance(first, (NumericType, TimestampType))
+    held = rows.withColumns({"__value": value, "__t": time if cut else F.lit(0)})
+    held = held.withColumn("__slice", time_slices(rows.select(time.cast("double").alias("t")), n, "__t") if cut else F.lit(0))
+    way = F.desc if ahead else F.asc
+    here = F.last("__value", ignorenulls=True).over(Window.partitionBy(key, "__slice").orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1))
+    found = held.withColumn("__here", here)
+    if not cut:
+        return found.withColumn(name, F.col("__here")).drop("__value", "__t", "__slice", "__here")
+    edge = (F.min_by if ahead else F.max_by)("__value", F.struct(*order))
+    ends = held.where("__value is not null").groupBy(F.col(key).alias("__key"), F.col("__slice").alias("of")).agg(edge.alias("value"))
+    ends = ends.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("of", "value"))).alias("__ends"))
+    found = found.join(ends, F.col(key).eqNullSafe(F.col("__key")), "left")
+    others = F.filter("__ends", lambda x: (x["of"] > F.col("__slice")) if ahead else (x["of"] < F.col("__slice")))
+    far = F.get(others, F.lit(0) if ahead else F.size(others) - 1)["value"]
+    return found.select(*[F.col(c) for c in rows.columns], F.coalesce("__here", far).alias(name))
+
+
 def history(events: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
     """Keeps the events whose payload differs from the one before of the same key."""
-    before = F.lag(payload).over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__before") != F.col(payload))).drop("__before")
+    before = F.col("__before.was")
+    found = neighbour(events, key, order, F.struct(F.col(payload).alias("was")), "__before")
+    return found.where(before.isNull() | (before != F.col(payload))).drop("__before")
 
 
 def close_intervals(entries: DataFrame, key: str, start: str, end: str, tie: Sequence[str] = ()) -> DataFrame:
     """An entry without an end gets the next entry's start; those that start together are in the order of ``tie``."""
-    return entries.withColumn(end, F.coalesce(F.col(end), F.lead(start).over(Window.partitionBy(key).orderBy(start, *tie))))
+    found = neighbour(entries, key, [start, *tie], F.struct(F.col(start).alias("next")), "__next", ahead=True)
+    return found.withColumn(end, F.coalesce(F.col(end), F.col("__next.next"))).drop("__next")
 
 
 def merged_order(events: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -125,7 +157,8 @@ def leveled(ranges: DataFrame, begin: str, size: Column) -> DataFrame:
 def probed(addresses: DataFrame, ranges: DataFrame, address: str) -> DataFrame:
     """``addresses`` once for each level that ``ranges(level)`` has, at most 14, with the ``bucket`` of that level they lie in."""
     levels = ranges.agg(F.collect_set("level").alias("__levels"))  # one row
-    each = addresses.join(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels")
+    some = F.when(F.size("__levels") > 0, F.col("__levels")).otherwise(F.array(F.lit(8)))
+    each = addresses.join(F.broadcast(levels)).withColumn("__level", F.explode(some)).drop("__levels")
     return each.withColumn("__bucket", F.call_function("shiftrightunsigned", F.col(address), F.col("__level")))
 
 
@@ -141,21 +174,16 @@ def module_at(addresses: DataFrame, modules: DataFrame, key: list[str], shift: i
         held = (F.col(c) == F.col(f"m_{c}")) & held
     # Of the difference to the base, as unsigned number: wraps as the address does.
     held = held & (unsigned(wrapping_difference(F.col("ip"), F.col("base"))) < unsigned(F.col("size")))
-    found = probed(addresses.select(*key, "ip", "t").distinct(), spans, "ip").join(spans, held)
-    found = found.groupBy(*[F.col(c).alias(f"f_{c}") for c in key], F.col("ip").alias("f_ip"), F.col("t").alias("f_t")).agg(F.max_by("module_id", F.struct("load_ts", "module_id")).alias("module_id"))
-    on = (F.col("ip") == F.col("f_ip")) & (F.col("t") == F.col("f_t"))
-    for c in key:
-        on = on & F.col(c).eqNullSafe(F.col(f"f_{c}"))
-    return addresses.select(*key, "ip", "t").distinct().join(found, on, "left").select(*key, "ip", "t", "module_id")
+    # An address that no mapping holds is met by none at any level, and stays with null.
+    met = probed(addresses.select(*key, "ip", "t").distinct(), spans, "ip").join(spans, held, "left")
+    return met.groupBy(*key, "ip", "t").agg(F.max_by("module_id", F.struct("load_ts", "module_id")).alias("module_id"))
 
 
 def following(keys: DataFrame, bodies: DataFrame, key: str, seq: str, body: str) -> DataFrame:
     """For each of ``keys(key, seq, ...)`` the first body of its key with a greater sequence number, else null."""
     b = bodies.select(F.col(key), F.col(seq), F.col(body).alias("__body"))
     both = keys.withColumn("__is", F.lit(1)).unionByName(b.withColumn("__is", F.lit(0)), allowMissingColumns=True)
-    # Read backwards, the frame only grows, so a key of many rows takes one pass.
-    order = Window.partitionBy(key).orderBy(F.desc(seq), F.desc("__is")).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn(body, F.last("__body", ignorenulls=True).over(order)).where("__is = 1").select(*keys.columns, body)
+    return neighbour(both, key, [seq, "__is"], F.col("__body"), body, ahead=True).where("__is = 1").select(*keys.columns, body)
 
 
 def descendants(processes: DataFrame, roots: DataFrame) -> DataFrame:

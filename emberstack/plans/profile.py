@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberstack.functions.scalars import unix_micros
-from emberstack.operators import hits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,18 +24,22 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sample_id, ts, thread_id, process_id, source_id)``; sources are ranked over the distinct priorities, not over rows."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     sources = orders.select("o_orderpriority").distinct().select(F.col("o_orderpriority").alias("p"), (F.row_number().over(Window.orderBy("o_orderpriority")) - 1).cast("long").alias("source_id"))
-    out = orders.join(F.broadcast(sources), F.col("o_orderpriority") == F.col("p"))  # a row for each priority
+    out = orders.join(sources, F.col("o_orderpriority") == F.col("p"))  # a row for each priority, which Spark broadcasts by its size
     out = out.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return out.select(F.col("o_orderkey").alias("sample_id"), micros(orders, "o_orderdate").alias("ts"), F.col("o_custkey").alias("thread_id"), F.col("c_nationkey").cast("long").alias("process_id"), "source_id")
 
 
 def frames(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """Frames of the samples ``of`` (all by default) with their source, time, thread and process."""
+    """Frames of the samples ``of`` (all by default) with their source, time, thread and process. Every line has a part, so the
+    last line of an order is its leaf."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    if of is not None:  # only their lines are sorted
+        line = line.join(of.select(F.col("sample_id").alias("of")), F.col("l_orderkey") == F.col("of"), "left_semi")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    numbered = line.withColumn("depth", F.row_number().over(order).cast("long"))
-    placed = numbered.join(part.select("p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    numbered = line.withColumns({"depth": F.row_number().over(order).cast("long"), "n": F.count("*").over(Window.partitionBy("l_orderkey"))})
+    numbered = numbered.select("l_orderkey", "l_partkey", "l_linenumber", "depth", (F.col("depth") == F.col("n")).alias("is_leaf"))
+    own = numbered.join(of if of is not None else samples(spark, sf_dir), F.col("l_orderkey") == F.col("sample_id"))
+    placed = own.join(part.select("p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     file = F.when(F.col("p_size") % 5 != 0, F.concat("p_type", F.lit("/"), "p_brand", F.lit(".cpp")))
-    out = placed.select(F.col("l_orderkey").alias("f_sample"), "depth", F.col("p_type").alias("module"), F.col("p_brand").alias("symbol"), file.alias("file"), F.col("p_size").cast("long").alias("func_line"), F.col("l_linenumber").cast("long").alias("instr_line"))
-    out = out.join(of if of is not None else samples(spark, sf_dir), F.col("f_sample") == F.col("sample_id")).drop("f_sample")
-    return hits.with_leaf(out)
+    named = {"module": F.col("p_type"), "symbol": F.col("p_brand"), "file": file, "func_line": F.col("p_size").cast("long"), "instr_line": F.col("l_linenumber").cast("long")}
+    return placed.select("depth", *[c.alias(n) for n, c in named.items()], "sample_id", "ts", "thread_id", "process_id", "source_id", "is_leaf")

@@ -50,6 +50,9 @@ def open_recording(spark: SparkSession, path: str, store: str, functions: DataFr
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{store}/{name}")
     kept = {name: spark.read.parquet(f"{store}/{name}") for name in tables}
+    files = kept["attributes" if kind == "data" else "session"].select("path").distinct().count()
+    if files > 1:
+        raise ValueError(f"{files} recordings at {path}: open each by itself")
     if kind == "data":
         return perf_recording(kept["events"], kept["attributes"], functions, lines, kept["metadata"], options)
     return etl_recording(kept["events"], kept["session"], functions, lines, options)

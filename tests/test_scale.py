@@ -131,3 +131,26 @@ def test_a_million_numbers_by_all_tasks(spark):
     twice = spark.createDataFrame([("b", 3), ("a", 5), ("b", 1), ("c", 1), ("c", 1)], "key string, t long")
     assert {(r.key, r.n) for r in temporal.dense_ids(twice, ["key"], ["t"], "n").collect()} == {("b", 0), ("c", 1), ("a", 2)}
     assert temporal.numbered(twice.limit(0), ["t"], "n").count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 6, 40])
+@pytest.mark.parametrize("ahead", [False, True])
+def test_neighbours_across_slices(spark, slices, ahead):
+    rng = random.Random(slices)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([rng.randrange(300), None]), i, rng.choice([None, f"v{i}"])) for i in range(400)]
+    got = temporal.neighbour(spark.createDataFrame(rows, "k long, t long, i long, v string"), "k", ["t", "i"], F.col("v"), "near", ahead, slices).collect()
+    for r in got:
+        own = sorted((t is not None, t or 0, i, v) for k, t, i, v in rows if k == r.k and v is not None)
+        mine = (r.t is not None, r.t or 0, r.i)
+        near = [v for *at, v in own if tuple(at) > mine][:1] if ahead else [v for *at, v in own if tuple(at) < mine][-1:]
+        assert r.near == (near[0] if near else None), r
+    assert len(got) == 400
+
+
+def test_histories_of_one_key_are_many_groups(spark):
+    rows = spark.range(20000).select(F.lit(1).alias("k"), F.col("id").alias("t"), (F.col("id") / 5000).cast("long").alias("p"))
+    found = temporal.history(rows, "k", ["t"], "p")
+    assert [r.t for r in found.orderBy("t").collect()] == [0, 5000, 10000, 15000] and found.columns == ["k", "t", "p"]
+    ends = temporal.close_intervals(found.withColumn("e", F.lit(None).cast("long")), "k", "t", "e").orderBy("t").collect()
+    assert [r.e for r in ends] == [5000, 10000, 15000, None]
+    assert "__slice" in found._jdf.queryExecution().toString()

@@ -118,6 +118,11 @@ def test_a_file_is_a_recording(spark, tmp_path):
         (1, "/lib/a.so", "a.so!0x0000000000001770", None, False), (2, "/lib/a.so", "work", "a.cpp", True)]
     with pytest.raises(ValueError, match="unsupported file extension"):
         opener.open_recording(spark, "x.unknown", str(tmp_path / "other"))
+    (tmp_path / "many.data").mkdir()
+    for name in ("a.data", "b.data"):
+        (tmp_path / "many.data" / name).write_bytes(_file("<"))
+    with pytest.raises(ValueError, match="2 recordings"):
+        opener.open_recording(spark, str(tmp_path / "many.data"), str(tmp_path / "other"))
     events = spark.read.parquet(str(tmp_path / "store/events"))
     assert {(x.kind, x.n) for x in opener.counts(events).collect()} == {("comm", 1), ("mmap2", 1), ("fork", 1), ("sample", 2)}
     assert {(x.event_id, x.n, x.first_ts, x.last_ts) for x in opener.counts_by_event(events).collect()} == {(11, 1, 20, 20), (22, 1, 21, 21)}
