@@ -27,7 +27,7 @@ def neighbour(rows: DataFrame, key: str, order: list[str], value: Column, name:
     n = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = isinstance(first, (NumericType, TimestampType))
     held = rows.withColumns({"__value": value, "__t": time if cut else F.lit(0)})
-    held = held.withColumn("__slice", time_slices(rows.select(time.cast("double").alias("t")), n, "__t") if cut else F.lit(0))
+    held = with_slice(held, time_bounds(rows.select(time.cast("double").alias("t")), n), n, "__t", "__slice") if cut else held.withColumn("__slice", F.lit(0))
     way = F.desc if ahead else F.asc
     here = F.last("__value", ignorenulls=True).over(Window.partitionBy(key, "__slice").orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1))
     found = held.withColumn("__here", here)
@@ -83,20 +83,25 @@ def dense_ids(rows: DataFrame, key: list[str], order: list[str], name: str) -> D
     return numbered(first, ["__first", *key], name).select(*key, name)
 
 
-def time_slices(times: DataFrame, n: int, name: str) -> Column:
-    """The number of the slice that a time in column ``name`` lies in: quantiles of ``times(t)``, so each of at most ``n`` slices holds
-    about as many rows, and equal times are of one slice. Null is of the first. ``n - 1`` numbers reach the driver."""
-    cut = times.select(F.col("t").cast("double").alias("t")).agg(F.percentile_approx("t", [i / n for i in range(1, n)], 50 * n)).first()[0] if n > 1 else None
-    bounds = sorted({b for b in cut or [] if b == b})
+def time_bounds(times: DataFrame, n: int) -> DataFrame:
+    """One row of ``__bounds``: quantiles of ``times(t)`` that cut them into ``n`` slices of about as many rows each."""
+    return times.select(F.col("t").cast("double").alias("t")).agg(F.percentile_approx("t", [i / n for i in range(1, n)], 50 * n).alias("__bounds"))
+
+
+def with_slice(rows: DataFrame, bounds: DataFrame, n: int, time: str, name: str) -> DataFrame:
+    """``rows`` with the number of the slice that their ``time`` lies in, of the ``n`` between ``bounds``; equal times are of one slice, null
+    is of the first. The bounds are one row of ``n - 1`` numbers; a time is looked up by halving them."""
 
     def place(low: int, high: int) -> str:
         if low == high:
             return str(low)
         middle = (low + high) // 2
-        return f"CASE WHEN t_ < {bounds[middle]!r}D THEN {place(low, middle)} ELSE {place(middle + 1, high)} END"
+        return f"CASE WHEN CAST(`{time}` AS DOUBLE) < __bounds[{middle}] THEN {place(low, middle)} ELSE {place(middle + 1, high)} END"
 
-    whole = place(0, len(bounds)).replace("t_", f"CAST(`{name}` AS DOUBLE)").replace("infD", "DOUBLE('Infinity')")
-    return F.expr(f"CASE WHEN `{name}` IS NULL THEN 0 ELSE {whole} END")
+    if n < 2:
+        return rows.withColumn(name, F.lit(0))
+    found = F.expr(f"CASE WHEN `{time}` IS NULL THEN 0 ELSE {place(0, n - 1)} END")
+    return rows.join(F.broadcast(bounds)).withColumn(name, found).drop("__bounds")
 
 
 def asof(probes: DataFrame, entries: DataFrame, key: str, ts: str, start: str, payload: str, tie: list[str], strict: bool, name: str, slices: int | None = None) -> DataFrame:
@@ -109,16 +114,15 @@ def asof(probes: DataFrame, entries: DataFrame, key: str, ts: str, start: str, p
     holds at most an entry for each slice. Nothing is multiplied.
     """
     n = slices or int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slice_ = time_slices(probes.select(F.col(ts).cast("double").alias("t")).unionByName(entries.select(F.col(start).cast("double").alias("t"))), n, "__t")
-    p = probes.withColumns({"__probe": F.lit(1), "__t": F.col(ts)})
-    p = p.withColumns({"__payload": F.lit(None).cast(entries.schema[payload].dataType), **{f"__tie_{c}": F.lit(None).cast(entries.schema[c].dataType) for c in tie}})
-    e = entries.select(F.col(key), F.lit(0).alias("__probe"), F.col(start).alias("__t"), F.col(payload).alias("__payload"), *[F.col(c).alias(f"__tie_{c}") for c in tie])
+    e = saved(entries.select(F.col(key), F.lit(0).alias("__probe"), F.col(start).alias("__t"), F.col(payload).alias("__payload"), *[F.col(c).alias(f"__tie_{c}") for c in tie]))  # read three times
+    bounds = time_bounds(probes.select(F.col(ts).cast("double").alias("t")).unionByName(e.select(F.col("__t").cast("double").alias("t"))), n)
+    p = probes.withColumns({"__probe": F.lit(1), "__t": F.col(ts), "__payload": F.lit(None).cast(entries.schema[payload].dataType), **{f"__tie_{c}": F.lit(None).cast(entries.schema[c].dataType) for c in tie}})
     order = Window.partitionBy(key, "__slice").orderBy("__t", "__probe", *[f"__tie_{c}" for c in tie])
     here = F.last("__payload", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = p.unionByName(e, allowMissingColumns=True).withColumn("__slice", slice_)
+    both = with_slice(p.unionByName(e, allowMissingColumns=True), bounds, n, "__t", "__slice")
     found = both.withColumn("__here", here).where("__probe = 1")
     by = F.struct("__t", *[f"__tie_{c}" for c in tie])
-    ends = e.where("__payload is not null").groupBy(F.col(key).alias("__key"), slice_.alias("of")).agg(F.max_by("__payload", by).alias("last"), F.min_by("__payload", by).alias("first"))
+    ends = with_slice(e.where("__payload is not null"), bounds, n, "__t", "of").groupBy(F.col(key).alias("__key"), "of").agg(F.max_by("__payload", by).alias("last"), F.min_by("__payload", by).alias("first"))
     ends = ends.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("of", "last", "first"))).alias("__ends"))
     found = found.join(ends, F.col(key) == F.col("__key"), "left")
     before = F.filter("__ends", lambda x: x["of"] < F.col("__slice"))

@@ -88,7 +88,7 @@ def test_slices_are_even_when_all_entries_are_before_all_probes(spark, spread):
     entries = spark.createDataFrame([(1, -5, "a"), (1, -4, "b"), (1, -9, "c"), (2, 10, "d")], "k long, s long, v string")
     probes = spark.range(20000).select(F.lit(1).alias("k"), F.expr(spread).alias("t"))
     times = probes.select(F.col("t").cast("double")).unionByName(entries.select(F.col("s").cast("double").alias("t")))
-    groups = [r["count"] for r in probes.groupBy(temporal.time_slices(times, 40, "t").alias("n")).count().collect()]
+    groups = [r["count"] for r in temporal.with_slice(probes, temporal.time_bounds(times, 40), 40, "t", "n").groupBy("n").count().collect()]
     assert spread == "0" or max(groups) < 2 * 20000 / 40
     for strict in (True, False):
         assert temporal.asof(probes, entries, "k", "t", "s", "v", [], strict, "found", 40).where("found = 'b'").count() == 20000
