@@ -1,8 +1,8 @@
 """URL filters by empirical-Bayes host reputation, in DataFrame operations only.
 
-Labelled page outcomes are counted for each host. The counts climb from host to registered domain to suffix to all
-hosts. At each level a beta-binomial prior is fitted by moments to the children's rates, and a child's posterior mean
-is its counts shrunk into the posterior mean of its parent. A host is blocked if the lower bound of its posterior bad
+Labelled page outcomes are counted for each site, a host without user and port. The counts climb from site to registered
+domain to suffix to all sites. At each level a beta-binomial prior is fitted by moments to the children's rates, and a child's posterior mean
+is its counts shrunk into the posterior mean of its parent. A site is blocked if the lower bound of its posterior bad
 rate is at least a threshold. Rules of (host, path) come first.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from emberstack.llm.scratch import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Labels under which countries register names, as in co.uk.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -38,15 +40,32 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def registered_domain(host: Column, two_label_suffixes: Sequence[str] = ()) -> Column:
-    """The suffix and one label before it; ``two_label_suffixes`` such as ``co.uk`` count as one suffix."""
-    last2, last3 = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(last2.isin(*two_label_suffixes), last3).otherwise(last2) if two_label_suffixes else last2
+def site_of(host: Column) -> Column:
+    """The name that has the reputation: ``host`` without a user, a port and dots at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", ""), r"\.+\z", "")
 
 
-def suffix_of(host: Column, two_label_suffixes: Sequence[str] = ()) -> Column:
-    last1, last2 = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*two_label_suffixes), last2).otherwise(last1) if two_label_suffixes else last1
+def is_address(site: Column) -> Column:
+    """Whether a site is an address of numbers, or one in brackets, and so has no labels."""
+    return site.rlike(r"^[0-9]+(\.[0-9]+){3}\z") | site.startswith("[")
+
+
+def _has_two_label_suffix(site: Column, two_label_suffixes: Sequence[str]) -> Column:
+    ruled = site.rlike(rf"(^|\.)({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}\z")
+    return ruled | F.substring_index(site, ".", -2).isin(*two_label_suffixes) if two_label_suffixes else ruled
+
+
+def registered_domain(site: Column, two_label_suffixes: Sequence[str] = ()) -> Column:
+    """The suffix and one label before it; an address whole."""
+    last2, last3 = F.substring_index(site, ".", -2), F.substring_index(site, ".", -3)
+    return F.when(is_address(site), site).when(_has_two_label_suffix(site, two_label_suffixes), last3).otherwise(last2)
+
+
+def suffix_of(site: Column, two_label_suffixes: Sequence[str] = ()) -> Column:
+    """The last label, or the last two where a label of SECOND_LABELS precedes a country's, or where they are one of
+    ``two_label_suffixes``; of every address ``[address]``."""
+    last1, last2 = F.substring_index(site, ".", -1), F.substring_index(site, ".", -2)
+    return F.when(is_address(site), F.lit("[address]")).when(_has_two_label_suffix(site, two_label_suffixes), last2).otherwise(last1)
 
 
 def _shrunk(children: DataFrame, parents: DataFrame, child: str, parent: str) -> DataFrame:
@@ -72,7 +91,7 @@ def _shrunk(children: DataFrame, parents: DataFrame, child: str, parent: str) ->
 
 
 def reputations(counts: DataFrame, two_label_suffixes: Sequence[str] = (), z: float = 1.645) -> DataFrame:
-    """``counts(host, n, bad)``, one row for a host, to ``(host, n, bad, alpha, beta, mean, lower)``.
+    """``counts(host, n, bad)``, one row for a site, to ``(host, n, bad, alpha, beta, mean, lower)``.
 
     ``lower`` is the one-sided lower bound of the posterior bad rate, from the normal approximation of the log odds:
     mean log(a/b), variance 1/a + 1/b. Each level is written once, as a row for a host, domain or suffix, and read by the next.
@@ -93,18 +112,18 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     """``(page_id, host, path, rule, verdict, bad_rate, lower)``, one row for each row of ``pages(page_id, url)``.
 
     ``outcomes(page_id, bad)`` holds labelled pages, ``bad`` 0 or 1; nulls in it count for nothing, repeated ones each
-    count. A host without outcomes has its domain's prior. Null urls, or ones without ``://``, have an empty host and
-    path: the empty host is a host like others. Verdict: the rule's, else ``block`` if ``lower >= threshold``, else
-    ``allow``. Hosts are counted before they are joined; Spark broadcasts the host table only if it is small, and
+    count. A site without outcomes has its domain's prior. Null urls, or ones without ``://``, have an empty host and
+    path: the empty host is a site like others. No page gives no row, no outcome the prior of 0.5; urls may be of any length. Verdict: the rule's, else ``block`` if ``lower >= threshold``, else
+    ``allow``. Sites are counted before they are joined; Spark broadcasts the site table only if it is small, and
     splits skewed hosts otherwise. Other columns are ignored.
     """
     host, path = F.col("host"), F.col("path")
-    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("site", site_of(host))
     labelled = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("o_n"), F.sum("bad").alias("o_bad")).withColumnRenamed("page_id", "o_id")
-    seen = judged.select("page_id", "host").join(labelled, F.col("page_id") == F.col("o_id"), "left")
-    counts = seen.groupBy("host").agg(F.sum(F.coalesce("o_n", F.lit(0))).alias("n"), F.sum(F.coalesce("o_bad", F.lit(0))).alias("bad"))
-    known = reputations(saved(counts), two_label_suffixes).select(F.col("host").alias("k_host"), F.col("mean").alias("bad_rate"), "lower")
-    out = judged.join(known, host == F.col("k_host"), "left").withColumn("rule", rule_of(host, path, rules))
+    seen = judged.select("page_id", "site").join(labelled, F.col("page_id") == F.col("o_id"), "left")
+    counts = seen.groupBy(F.col("site").alias("host")).agg(F.sum(F.coalesce("o_n", F.lit(0))).alias("n"), F.sum(F.coalesce("o_bad", F.lit(0))).alias("bad"))
+    known = reputations(saved(counts), two_label_suffixes).select(F.col("host").alias("k_site"), F.col("mean").alias("bad_rate"), "lower")
+    out = judged.join(known, F.col("site") == F.col("k_site"), "left").withColumn("rule", rule_of(host, path, rules))
     ruled = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for v, r in rules]) if rules else F.lit(None).cast("string")
     verdict = F.coalesce(ruled, F.when(F.col("lower") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_rate", "lower")

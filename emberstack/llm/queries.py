@@ -145,10 +145,16 @@ WITH judged AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 outcomes AS (SELECT doc_id, count(*) AS n, sum(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+sites AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*\z', ''), '\.+\z', '') AS site FROM judged),
 counts AS (
-  SELECT host, CAST(sum(coalesce(n, 0)) AS DOUBLE) AS n, CAST(sum(coalesce(bad, 0)) AS DOUBLE) AS bad
-  FROM judged LEFT JOIN outcomes ON doc_id = page_id GROUP BY host),
-named AS (SELECT host, n, bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM counts),
+  SELECT site AS host, CAST(sum(coalesce(n, 0)) AS DOUBLE) AS n, CAST(sum(coalesce(bad, 0)) AS DOUBLE) AS bad
+  FROM sites LEFT JOIN outcomes ON doc_id = page_id GROUP BY site),
+kinds AS (
+  SELECT host, n, bad, string_split(host, '.') AS labels, regexp_matches(host, '^[0-9]+(\.[0-9]+){3}\z') OR starts_with(host, '[') AS is_address,
+    CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org)\.[a-z]{2}\z') THEN 2 ELSE 1 END AS k FROM counts),
+named AS (
+  SELECT host, n, bad, CASE WHEN is_address THEN host ELSE array_to_string(list_slice(labels, -k - 1, -1), '.') END AS domain,
+    CASE WHEN is_address THEN '[address]' ELSE array_to_string(list_slice(labels, -k, -1), '.') END AS suffix FROM kinds),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 root AS (SELECT (sum(bad) + 0.5e0) / (sum(n) + 1e0) AS m FROM suffixes),
@@ -166,12 +172,12 @@ c3 AS (SELECT domain, least(greatest(coalesce(CASE WHEN b > 0 THEN v / b - 1 END
 p3 AS (SELECT host, k * m + bad AS a, k * (1 - m) + n - bad AS b FROM s3 JOIN c3 ON s3.domain = c3.domain),
 known AS (SELECT host, 1 / (1 + exp(-(ln(a / b) - 1.645e0 * sqrt(1 / a + 1 / b)))) AS low FROM p3),
 ruled AS (
-  SELECT page_id, judged.host, path, low,
-    CASE WHEN (judged.host = 'example.net' OR ends_with(judged.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
-         WHEN (judged.host = 'example.com' OR ends_with(judged.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
-         WHEN (judged.host = 'org' OR ends_with(judged.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-         WHEN (judged.host = 'net' OR ends_with(judged.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM judged LEFT JOIN known ON judged.host = known.host)
+  SELECT page_id, sites.host, path, low,
+    CASE WHEN (sites.host = 'example.net' OR ends_with(sites.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (sites.host = 'example.com' OR ends_with(sites.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (sites.host = 'org' OR ends_with(sites.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (sites.host = 'net' OR ends_with(sites.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM sites LEFT JOIN known ON site = known.host)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN low >= 0.25e0 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled

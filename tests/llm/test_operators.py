@@ -6,10 +6,12 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from emberstack.llm import fair_mix, host_reputation, language_id, prefix_forest, private_data, quality, spot_signatures, substring_dedup
+from emberstack.llm import fair_mix, host_reputation, language_id, prefix_forest, private_data, quality, queries, spot_signatures, substring_dedup
 
 DOCS = "doc_id long, text string, source string, lang string"
 
@@ -73,6 +75,36 @@ def test_host_reputation(spark):
     assert host_reputation.judge(pages.limit(0), outcomes).count() == 0
 
 
+def test_sites_domains_and_suffixes(spark):
+    known = {  # host: site, registered domain, suffix
+        "a.com:8080": ("a.com", "a.com", "com"), "u:p@w.a.com": ("w.a.com", "a.com", "com"), "a.com.": ("a.com", "a.com", "com"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3", "[address]"),
+        "[::1]:80": ("[::1]", "[::1]", "[address]"), "x.a.co.uk": ("x.a.co.uk", "a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"), "a.or.jp": ("a.or.jp", "a.or.jp", "or.jp"),
+        "b.com": ("b.com", "b.com", "com"), "localhost": ("localhost", "localhost", "localhost"), "": ("", "", ""), "...": ("", "", ""), "1.2.3": ("1.2.3", "2.3", "3"), "m.b.city.tokyo": ("m.b.city.tokyo", "city.tokyo", "tokyo"),
+        "a\nb.com": ("a\nb.com", "a\nb.com", "com"), "u@v@a.com:": ("a.com", "a.com", "com")}
+    rows = spark.createDataFrame([(h,) for h in known], "host string").withColumn("site", host_reputation.site_of(F.col("host")))
+    found = rows.select("host", "site", host_reputation.registered_domain(F.col("site")), host_reputation.suffix_of(F.col("site"))).collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == known
+    own = rows.where("site = 'm.b.city.tokyo'").select(host_reputation.registered_domain(F.col("site"), ["city.tokyo"]), host_reputation.suffix_of(F.col("site"), ["city.tokyo"])).first()
+    assert tuple(own) == ("b.city.tokyo", "city.tokyo")
+
+
+def test_ports_and_users_share_a_reputation_and_sql_says_the_same(spark, tmp_path):
+    sites = ["bad.info:81", "u@bad.info", "bad.info.", "10.0.0.1:9", "10.0.0.2", "w.good.co.uk", "good.co.uk", "bad.co.uk", "[::1]", "", "localhost:1"]
+    urls = [f"http://{sites[i % len(sites)]}/{'x' * (i % 3)}" for i in range(330)] + ["http://bad.info/" + "y" * 300_000, None, "none"]
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    labels = pd.DataFrame({"doc_id": range(330), "quality": [0 if "bad" in u or i % 7 == 0 else 1 for i, u in enumerate(urls[:330])]})
+    pages.to_parquet(tmp_path / "pages.parquet")
+    labels.to_parquet(tmp_path / "labels.parquet")
+    db = duckdb.connect()
+    for name in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.SQL['op5_host_reputation']})").fetchall()
+    got = queries.QUERIES["op5_host_reputation"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    verdicts = {r.host: r.verdict for r in got}
+    assert {verdicts[h] for h in ("bad.info:81", "u@bad.info", "bad.info.", "bad.info", "bad.co.uk")} == {"block"} and verdicts["good.co.uk"] == "allow"
+
+
 def test_private_data(spark):
     text = "a.b@x.co, 1.2.3.4 and 999.1.1.1 or 4111 1111 1111 1111 not 4111111111111112 but +1 (487) 555-7209 nor +12"
     base, every = private_data.all_spans(text)
