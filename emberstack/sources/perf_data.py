@@ -22,9 +22,12 @@ from emberstack.sources.ranges import View, listed, opened, reachable
 
 # Fixed values of the format: record types, bits of sample_type and of features, and flags.
 COMM, EXIT, FORK, SAMPLE, MMAP2, AUXTRACE = 3, 4, 7, 9, 10, 71
+FINISHED_ROUND, ID_INDEX, THREAD_MAP, CPU_MAP, FINISHED_INIT = 68, 69, 73, 74, 82
+TOOL_KINDS = {FINISHED_ROUND: "finished_round", ID_INDEX: "id_index", THREAD_MAP: "thread_map", CPU_MAP: "cpu_map", FINISHED_INIT: "finished_init"}
 KINDS = {COMM: "comm", EXIT: "exit", FORK: "fork", SAMPLE: "sample", MMAP2: "mmap2"}
 IP, TID, TIME, ADDR, READ, CALLCHAIN, ID, CPU, PERIOD, STREAM, RAW, IDENTIFIER = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 65536
 EVENT_DESC, SAMPLE_ID_ALL, BUILD_ID = 12, 1 << 18, 1 << 14
+BUILD_IDS, BUILD_ID_SIZE, READ_BY_ID = 2, 1 << 15, 4
 TEXTS = {3: "hostname", 4: "os_release", 5: "version", 6: "arch", 8: "cpu_desc", 9: "cpu_id"}
 BATCH = 50_000
 RANGE = 1 << 25  # bytes of a file that a task reads at once
@@ -34,10 +37,21 @@ SURE = 64  # so many records in a chain make a guess
 EVENTS = """path string, seq long, kind string, ts long, pid long, tid long, ppid long, cpu long, event_id long, ip long, period long, ips array<long>,
   addr long, len long, page_offset long, build_id string, name string"""
 COLUMNS = [c.split()[0] for c in EVENTS.split(",")]
+TOOLS = "path string, seq long, kind string, place long, id long, idx long, cpu long, tid long, name string"
+FILE_IDS = "path string, pid long, build_id string, filename string"
 ATTRIBUTES = "path string, place long, name string, config long, sample_type long, ids array<long>"
 METADATA = "path string, key string, value string"
 
 
+def _id_places(kind: int) -> tuple[int, int] | None:
+    """Where the id is: bytes from the beginning of a sample, and from the end of any other record; None if there is none."""
+    if kind & IDENTIFIER:
+        return 0, 8
+    if not kind & ID:
+        return None
+    return 8 * sum(bool(kind & b) for b in (IP, TID, TIME, ADDR)), 8 * (1 + sum(bool(kind & b) for b in (CPU, STREAM)))
+
+
 def _text(raw: bytes) -> str:
     return raw.split(b"\0", 1)[0].decode("utf-8", "replace")
 
@@ -59,6 +73,7 @@ class Recording:
         bits = [n for n in range(256) if words[n // 64] >> n % 64 & 1]
         self.features = {n: self.read("2Q", self.begin + self.size + 16 * i) for i, n in enumerate(bits)}
         self.attributes = self._described() if EVENT_DESC in self.features else self._listed(attrs, attrs_size)
+        self._check_attributes()
         self.by_id = {i: a for a in self.attributes for i in a["ids"]}
 
     def read(self, form: str, at: int) -> tuple:
@@ -87,6 +102,21 @@ class Recording:
             at += size + 8 + length + 8 * n_ids
         return found
 
+    def _check_attributes(self) -> None:
+        """What lets a record be read before its attribute is known must be the same in all attributes."""
+        if not self.attributes:
+            raise ValueError("no event attributes")
+        main = self.attributes[0]
+        if main["sample_type"] & READ and not main["read_format"] & READ_BY_ID:
+            raise ValueError("read values without ids")
+        for a in self.attributes:
+            if _id_places(a["sample_type"]) != _id_places(main["sample_type"]):
+                raise ValueError("event attributes that differ in the place of the id")
+            if (a["flags"] ^ main["flags"]) & SAMPLE_ID_ALL:
+                raise ValueError("event attributes that differ in sample_id_all")
+            if a["read_format"] != main["read_format"]:
+                raise ValueError("event attributes that differ in read_format")
+
     def texts(self) -> Iterator[tuple[str, str]]:
         for n, key in TEXTS.items():
             if n in self.features:
@@ -159,18 +189,69 @@ class Recording:
             seq += 1
             at = after
 
-    def _of(self, at: int) -> dict:
-        """The attribute of a sample, by the id at its fixed place."""
+    def _of(self, at: int, end: int | None = None) -> dict:
+        """The attribute of a sample, or of another record by its ``end``: by the id at its fixed place; of no id the first."""
         main = self.attributes[0]
-        kind = main["sample_type"]
-        if len(self.attributes) > 1 and kind & (IDENTIFIER | ID):
-            place = 0 if kind & IDENTIFIER else 8 * sum(bool(kind & b) for b in (IP, TID, TIME, ADDR))
-            event = self.read("q", at + place)[0]
+        places = _id_places(main["sample_type"])
+        if len(self.attributes) > 1 and places:
+            event = self.read("q", at + places[0] if end is None else end - places[1])[0]
             if event and event not in self.by_id:
                 raise ValueError(f"unknown event id {event}")
             return self.by_id.get(event, main)
         return main
 
+    def tools(self, at: int | None = None, stop: int | None = None, seq: int = 0) -> Iterator[dict]:
+        """Records that the recording tool itself wrote, a row for each of their entries; one row, of no place, if there is none."""
+        at, stop = self.begin if at is None else at, self.end if stop is None else stop
+        while at < stop and (after := self.following(at)) is not None:
+            kind, _, size = self.read("IHH", at)
+            if kind in TOOL_KINDS:
+                n = -1
+                for n, entry in enumerate(self._entries(kind, at + 8, at + size)):
+                    yield {"seq": seq, "kind": TOOL_KINDS[kind], "place": n, **entry}
+                if n < 0:
+                    yield {"seq": seq, "kind": TOOL_KINDS[kind]}
+            at, seq = after, seq + 1
+
+    def _entries(self, kind: int, at: int, end: int) -> Iterator[dict]:
+        if kind == ID_INDEX:
+            for i in range(min(self.read("Q", at)[0], (end - at - 8) // 32)):
+                yield dict(zip(("id", "idx", "cpu", "tid"), self.read("4q", at + 8 + 32 * i)))
+        elif kind == THREAD_MAP:
+            for i in range(min(self.read("Q", at)[0], (end - at - 8) // 24)):
+                yield {"tid": self.read("q", at + 8 + 24 * i)[0], "name": _text(self.data[at + 16 + 24 * i : at + 32 + 24 * i])}
+        elif kind == CPU_MAP:
+            yield from ({"cpu": cpu} for cpu in self._cpus(at))
+
+    def _cpus(self, at: int) -> Iterator[int]:
+        """Cpus of a map as a list, a mask of words of 4 or 8 bytes, or a range; -1 stands for any."""
+        form = self.read("H", at)[0]
+        if form == 0:
+            n = self.read("H", at + 2)[0]
+            yield from (-1 if c == 0xFFFF else c for c in self.read(f"{n}H", at + 4))
+        elif form == 1:
+            n, width = self.read("2H", at + 2)
+            for i, word in enumerate(self.read(f"{n}{'I' if width == 4 else 'Q'}", at + (6 if width == 4 else 10))):
+                yield from (8 * width * i + bit for bit in range(8 * width) if word >> bit & 1)
+        elif form == 2:
+            anywhere, _, first, last = self.read("2B2H", at + 2)
+            yield from [-1] * bool(anywhere)
+            yield from range(first, last + 1)
+        else:
+            raise ValueError(f"unknown form {form} of a cpu map")
+
+    def build_ids(self) -> Iterator[dict]:
+        """The build ids that the header lists by file."""
+        at, size = self.features.get(BUILD_IDS, (0, 0))
+        stop = at + size
+        while at + 8 <= stop:
+            _, misc, size = self.read("IHH", at)
+            if size < 36 or at + size > stop:
+                return
+            length = min(20, self.data[at + 32 : at + 33][0]) if misc & BUILD_ID_SIZE else 20
+            yield {"pid": self.read("i", at + 8)[0], "build_id": self.data[at + 12 : at + 12 + length].hex(), "filename": _text(self.data[at + 36 : at + size])}
+            at += size
+
     def _sample(self, at: int) -> dict:
         a, row = self._of(at), {}
         kind = a["sample_type"]
@@ -188,8 +269,8 @@ class Recording:
 
     def _record(self, kind: int, misc: int, at: int, end: int) -> dict:
         row: dict = {}
-        if self.attributes and self.attributes[0]["flags"] & SAMPLE_ID_ALL:
-            bits = self.attributes[0]["sample_type"]
+        if self.attributes[0]["flags"] & SAMPLE_ID_ALL:
+            bits = self._of(at, end)["sample_type"]
             for bit, form, names in ((IDENTIFIER, "q", ["event_id"]), (CPU, "2I", ["cpu"]), (STREAM, "q", []), (ID, "q", ["event_id"]), (TIME, "q", ["ts"]), (TID, "2i", [])):
                 if bits & bit:
                     end -= 8
@@ -297,11 +378,16 @@ def events(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None,
     complement. Records of other kinds aren't decoded, and only ``columns`` leave Python."""
     schema = ",".join(c for c in EVENTS.split(",") if columns is None or c.split()[0] in ("path", *columns))
     wanted = None if kinds is None else frozenset(kinds)
+    return _read(spark, path, schema, lambda r, *span: r.events(*span, kinds=wanted), size)
+
+
+def _read(spark: SparkSession, path: str, schema: str, rows, size: int) -> DataFrame:
+    """What ``rows`` reads of the records of each range, or of the whole file where there are no ranges."""
     if not reachable(listed(spark, path)):
-        return _parsed(spark, path, schema, lambda r: r.events(kinds=wanted))
+        return _parsed(spark, path, schema, rows)
     cut = segments(spark, path, size)
     if not cut:  # nothing but headers; what is no recording fails here
-        return _parsed(spark, path, schema, lambda r: r.events(kinds=wanted))
+        return _parsed(spark, path, schema, rows)
     tasks = spark.createDataFrame(cut, "path string, start long, stop long, seq long").repartition(len(cut))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +396,23 @@ def events(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None,
                 with opened(r["path"]) as file:
                     recording = Recording(View(file))
                     recording.data.hold(r["start"], r["stop"] + LARGEST)
-                    yield from _batches(r["path"], recording.events(r["start"], r["stop"], r["seq"], wanted), schema)
+                    yield from _batches(r["path"], rows(recording, r["start"], r["stop"], r["seq"]), schema)
 
     return tasks.mapInArrow(run, schema)
 
 
+def tools(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Records of the recording tool, a row for each entry: marks of finished rounds and of the finished start, ``id_index`` (id, idx,
+    cpu, tid), ``thread_map`` (tid, name) and ``cpu_map`` (cpu, -1 for any) whichever way it is written. ``seq`` is the record's place
+    in the file, as in :func:`events`, ``place`` the entry's in the record, null for a record without entries."""
+    return _read(spark, path, TOOLS, Recording.tools, size)
+
+
+def build_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, pid, build_id, filename)`` as the headers list them, for :func:`emberstack.operators.symbols.build_ids`."""
+    return _parsed(spark, path, FILE_IDS, Recording.build_ids)
+
+
 def attributes(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(spark, path, ATTRIBUTES, lambda r: iter(r.attributes))
 
