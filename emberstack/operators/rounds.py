@@ -49,6 +49,13 @@ def ordered(records: DataFrame, marks: DataFrame) -> DataFrame:
     return out.orderBy("path", "slot", F.col("ts").asc_nulls_first(), "seq")
 
 
+def places(given: DataFrame) -> DataFrame:
+    """What :func:`ordered` gives with ``place``, a record's number from 1 in its file's order; no task holds a file."""
+    rows = temporal.numbered(given.withColumn("__timed", F.col("ts").isNotNull()), ["path", "slot", "__timed", "ts", "seq"], "__n")
+    first = rows.groupBy(F.col("path").alias("__path")).agg(F.min("__n").alias("__first"))
+    return rows.join(first, F.col("path") == F.col("__path")).select(*given.columns, (F.col("__n") - F.col("__first") + 1).alias("place"))
+
+
 def counts(samples: DataFrame, marks: DataFrame) -> DataFrame:
     """``(path, round, event_id, n, first_ts, last_ts)``: samples of each event between two marks. With every record that is no sample
     as marks these are the runs of samples that nothing interrupts."""

@@ -140,6 +140,9 @@ def test_rounds_are_given_out_as_by_a_recorder(spark, seed):
             high = max([r.ts for r in here] + ([] if high is None else [high]))
         if not any(r.late for r in got):
             assert [r.ts for r in got] == sorted(r.ts for r in got)
+    numbers = {(r.path, r.seq): r.place for r in rounds.places(rounds.ordered(records, marked)).collect()}
+    for path in ("a", "b", "c"):
+        assert [numbers[path, r.seq] for r in found if r.path == path] == list(range(1, 1 + sum(r.path == path for r in found)))
     if seed % 2 == 0:
         assert not any(r.late for r in found)
     want = {}
