@@ -100,6 +100,34 @@ class Recording:
         sums = switches.per_process(self.threads.withColumnRenamed("process_id", "process_key"))
         return out.join(sums, F.col("process_id") == F.col("process_key"), "left").drop("process_key")
 
+    def process_sizes(self) -> DataFrame:
+        """``(process_id, n_modules, n_functions, n_files)``: how many different ones the samples of a process met. Stacks are told apart
+        before their frames are read."""
+        own = self._samples().select("process_id", F.col("stack_id").alias("__stack")).distinct()
+        met = self.frames.join(own, F.col("stack_id") == F.col("__stack")).select("process_id", "module", "symbol", F.nullif("file", F.lit("")).alias("file")).distinct()
+        return met.groupBy("process_id").agg(F.count_distinct("module").alias("n_modules"), F.count_distinct(F.struct("module", "symbol")).alias("n_functions"), F.count_distinct("file").alias("n_files"))
+
+    def _with_samples(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with ``samples``, an array of (source_id, source, n) for every source of the recording, zero where there are none."""
+        counted = self._samples().groupBy(key, "source_id").agg(F.count("*").alias("n"))
+        counted = counted.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("source_id", "n"))).alias("__n"))
+        known = self.sample_sources()
+        named = F.col("name") if "name" in known.columns else F.lit(None).cast("string")
+        known = known.agg(F.array_sort(F.collect_list(F.struct("source_id", named.alias("source")))).alias("__sources"))  # one row, of a handful
+        found = rows.join(counted, F.col(key) == F.col("__key"), "left").join(F.broadcast(known))
+        number = lambda x: F.coalesce(F.try_element_at("__n", x["source_id"]), F.lit(0).cast("long"))
+        samples = F.transform("__sources", lambda x: F.struct(x["source_id"].alias("source_id"), x["source"].alias("source"), number(x).alias("n")))
+        return found.select(*rows.columns, samples.alias("samples"))
+
+    def process_report(self) -> DataFrame:
+        """:meth:`process_list` with the samples of each process and thread by source, and the sizes of what they met."""
+        none = F.lit(0).cast("long")
+        threads = self._with_samples(self.threads, "thread_id")
+        rows = self._with_samples(replace(self, threads=threads).process_list(), "process_id")
+        sizes = self.process_sizes().withColumnRenamed("process_id", "__process")
+        rows = rows.join(sizes, F.col("process_id") == F.col("__process"), "left").drop("__process")
+        return rows.withColumns({c: F.coalesce(c, none) for c in ("n_modules", "n_functions", "n_files")})
+
     def hottest_functions(self, count: int, source: int) -> DataFrame:
         """By self hits over all processes, with shares of the source's samples."""
         return hits.hottest(self._weighted(source), self._samples(source), count, "n")
