@@ -17,22 +17,40 @@ from emberstack.operators.temporal import numbered
 from emberstack.tables import saved
 
 
-def interned(samples: DataFrame, stack: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``samples`` with ``stack_id`` in place of the columns ``stack``, and the dictionary ``(stack_id, *stack)``, saved.
+def hashed(*columns: str) -> Column:
+    """An even number of 63 bits; odd ones are left for rows whose hash is also another's."""
+    return F.shiftleft(F.xxhash64(*columns), 1)
+
+
+def interned(samples: DataFrame, stack: list[str], number: str = "stack_id") -> tuple[DataFrame, DataFrame]:
+    """``samples`` with ``stack_id`` (or ``number``) in place of the columns ``stack``, and the dictionary ``(stack_id, *stack)``, saved.
 
     Stacks are the same if all their columns are equal, nulls too; samples whose first column is null have a null stack_id and
-    no entry. Rows meet by a hash first and then by the columns themselves, so no two stacks share a number. A stack of very
-    many samples is one row before it is shuffled, and its samples are of a join that Spark can split.
+    no entry. A stack is numbered by its hash, so its samples know it without meeting the dictionary; only stacks that share a
+    hash with others are told apart by the columns themselves, so no two share a number. A stack of very many samples is one row
+    before it is shuffled.
     """
-    keyed = samples.withColumn("__hash", F.when(F.col(stack[0]).isNotNull(), F.xxhash64(*stack)))
-    distinct = keyed.where("__hash is not null").groupBy("__hash", *stack).agg(F.count("*").alias("__n"))
-    numbered = saved(distinct.select(F.monotonically_increasing_id().alias("stack_id"), "__hash", *stack))
-    other = numbered.select("stack_id", F.col("__hash").alias("__of"), *[F.col(c).alias(f"__of_{c}") for c in stack])
+    keyed = samples.withColumn("__hash", F.when(F.col(stack[0]).isNotNull(), hashed(*stack)))
+    distinct = saved(keyed.where("__hash is not null").groupBy("__hash", *stack).agg(F.count("*").alias("__n")).select("__hash", *stack))
+    alike = saved(distinct.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("__hash").alias("__of")))
+    rest, kept = [c for c in samples.columns if c not in stack], F.col("__hash").alias(number)
+    if alike.isEmpty():
+        return keyed.select(*rest, kept), distinct.select(kept, *stack)
+    again = distinct.join(alike, F.col("__hash") == F.col("__of"), "left_semi")
+    other = saved(again.select((2 * F.monotonically_increasing_id() + 1).alias("__number"), F.col("__hash").alias("__of"), *[F.col(c).alias(f"__of_{c}") for c in stack]))
     same = F.col("__hash") == F.col("__of")
     for c in stack:
         same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
-    found = keyed.join(other, same, "left").select(*[c for c in samples.columns if c not in stack], "stack_id")
-    return found, numbered.drop("__hash")
+    number_of = F.coalesce("__number", "__hash").alias(number)
+    return keyed.join(other, same, "left").select(*rest, number_of), distinct.join(other, same, "left").select(number_of, *stack)
+
+
+def numbered_functions(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``frames`` with ``function``, a number, in place of module and symbol, and ``(function, module, symbol)``: names are not shuffled
+    with frames."""
+    own = frames.withColumn("__name", F.struct("module", "symbol")).drop("module", "symbol")
+    coded, functions = interned(own, ["__name"], "function")
+    return coded, functions.select("function", "__name.*")
 
 
 def weights(samples: DataFrame) -> DataFrame:
@@ -49,13 +67,15 @@ def weighted(frames: DataFrame, weights: DataFrame) -> DataFrame:
 
 def edges(frames: DataFrame, weights: DataFrame) -> DataFrame:
     """``(source_id, caller, callee, total)`` of function structs, the root a null caller: adjacent frames of each stack once, times
-    the stack's weights."""
-    function = F.struct("module", "symbol")
-    lone = frames.where("depth is not null").select("stack_id", F.lag(function).over(Window.partitionBy("stack_id").orderBy("depth")).alias("caller"), function.alias("callee"))
-    each = lone.groupBy("stack_id", "caller", "callee").agg(F.count("*").alias("k"))
+    the stack's weights. They are added up by function numbers straight away, so a task holds different edges, not those of
+    every stack."""
+    coded, functions = numbered_functions(frames.where("depth is not null").select("stack_id", "depth", "module", "symbol"))
+    lone = coded.select("stack_id", F.lag("function").over(Window.partitionBy("stack_id").orderBy("depth")).alias("from"), F.col("function").alias("to"))
     own = weights.groupBy(F.col("stack_id").alias("__stack"), "source_id").agg(F.sum("n").alias("n"))
-    met = each.join(own, F.col("stack_id") == F.col("__stack"))
-    return met.groupBy("source_id", "caller", "callee").agg(F.sum(F.col("k") * F.col("n")).alias("total"))
+    met = lone.join(own, F.col("stack_id") == F.col("__stack")).groupBy("source_id", "from", "to").agg(F.sum("n").alias("total"))
+    names = lambda key, name: functions.select(F.col("function").alias(key), F.struct("module", "symbol").alias(name))
+    met = met.join(names("__to", "callee"), F.col("to") == F.col("__to")).join(names("__from", "caller"), F.col("from") == F.col("__from"), "left")
+    return met.select("source_id", "caller", "callee", "total")
 
 
 class SlicedHits:

@@ -29,17 +29,26 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("o_orderkey").alias("sample_id"), micros(orders, "o_orderdate").alias("ts"), F.col("o_custkey").alias("thread_id"), F.col("c_nationkey").cast("long").alias("process_id"), "source_id")
 
 
-def frames(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """Frames of the samples ``of`` (all by default) with their source, time, thread and process. Every line has a part, so the
-    last line of an order is its leaf."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+def lines(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """``(l_orderkey, l_partkey, l_linenumber, depth, is_leaf)`` of the line items of the samples ``of`` (all by default). Lines of an order
+    that tie in number and part are equal frames, so whatever orders them further changes none, and is not shuffled."""
+    line = table(spark, sf_dir, "lineitem")
     if of is not None:  # only their lines are sorted
         line = line.join(of.select(F.col("sample_id").alias("of")), F.col("l_orderkey") == F.col("of"), "left_semi")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    numbered = line.withColumns({"depth": F.row_number().over(order).cast("long"), "n": F.count("*").over(Window.partitionBy("l_orderkey"))})
-    numbered = numbered.select("l_orderkey", "l_partkey", "l_linenumber", "depth", (F.col("depth") == F.col("n")).alias("is_leaf"))
-    own = numbered.join(of if of is not None else samples(spark, sf_dir), F.col("l_orderkey") == F.col("sample_id"))
-    placed = own.join(part.select("p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return line.select("l_orderkey", "l_partkey", "l_linenumber").withColumns({"depth": F.row_number().over(order).cast("long"), "is_leaf": F.lead(F.lit(1)).over(order).isNull()})
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(p_partkey, module, symbol, file, func_line)``"""
     file = F.when(F.col("p_size") % 5 != 0, F.concat("p_type", F.lit("/"), "p_brand", F.lit(".cpp")))
-    named = {"module": F.col("p_type"), "symbol": F.col("p_brand"), "file": file, "func_line": F.col("p_size").cast("long"), "instr_line": F.col("l_linenumber").cast("long")}
-    return placed.select("depth", *[c.alias(n) for n, c in named.items()], "sample_id", "ts", "thread_id", "process_id", "source_id", "is_leaf")
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("module"), F.col("p_brand").alias("symbol"), file.alias("file"), F.col("p_size").cast("long").alias("func_line"))
+
+
+def frames(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Frames of the samples ``of`` (all by default) with their source, time, thread and process. Every line has a part, so the
+    last line of an order is its leaf."""
+    own = lines(spark, sf_dir, of).join(of if of is not None else samples(spark, sf_dir), F.col("l_orderkey") == F.col("sample_id"))
+    placed = own.join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    instr_line = F.col("l_linenumber").cast("long").alias("instr_line")
+    return placed.select("depth", "module", "symbol", "file", "func_line", instr_line, "sample_id", "ts", "thread_id", "process_id", "source_id", "is_leaf")

@@ -11,15 +11,21 @@ from emberstack.plans.queries import FROM, HITS, SQL, TO, WITH, query
 from emberstack.recording import SORTS
 from emberstack.tables import saved
 
-FRAME = ("depth", "module", "symbol", "file", "func_line", "instr_line", "is_leaf")
+NAMES = ("module", "symbol", "file", "func_line")
+FRAME = ("depth", *NAMES, "instr_line", "is_leaf")
 
 
 def _shared(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Samples with their stack's number, and the frames of each distinct stack."""
-    frames = p.frames(spark, d)
-    stack = frames.groupBy(F.col("sample_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct(*FRAME))).alias("stack"))
-    samples, distinct = dictionary.interned(p.samples(spark, d).join(stack, F.col("sample_id") == F.col("of"), "left").drop("of"), ["stack"])
-    return saved(samples), saved(distinct.select("stack_id", F.explode("stack").alias("f")).select("stack_id", "f.*"))
+    """Samples with their stack's number, and the frames of each distinct stack. Stacks are of the numbers of parts' names, so no name
+    is shuffled with lines; each is put together once."""
+    parts, names = dictionary.interned(p.parts(spark, d).select("p_partkey", F.struct(*NAMES).alias("names")), ["names"], "code")
+    lines = p.lines(spark, d).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    frame = F.struct("depth", "code", F.col("l_linenumber").cast("long").alias("instr_line"), "is_leaf")
+    stack = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(frame)).alias("stack"))
+    samples, distinct = dictionary.interned(saved(p.samples(spark, d).join(stack, F.col("sample_id") == F.col("l_orderkey"), "left").drop("l_orderkey")), ["stack"])
+    frames = distinct.select("stack_id", F.explode("stack").alias("f")).select("stack_id", "f.*")
+    frames = frames.join(names.select(F.col("code").alias("of"), "names.*"), F.col("code") == F.col("of"))
+    return saved(samples), saved(frames.select("stack_id", *FRAME))
 
 
 @query(SQL["function_hits"])
