@@ -65,6 +65,18 @@ def weighted(frames: DataFrame, weights: DataFrame) -> DataFrame:
     return frames.join(own, F.col("stack_id") == F.col("__stack")).drop("__stack")
 
 
+def function_hits(frames: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(source_id, module, symbol, total, self)`` as :func:`emberstack.operators.hits.function_hits` gives them of :func:`weighted` frames."""
+    return _named_hits(*numbered_functions(frames.select("stack_id", "is_leaf", "module", "symbol")), weights)
+
+
+def _named_hits(coded: DataFrame, functions: DataFrame, weights: DataFrame) -> DataFrame:
+    own = weights.groupBy(F.col("stack_id").alias("__stack"), "source_id").agg(F.sum("n").alias("n"))
+    met = coded.join(own, F.col("stack_id") == F.col("__stack"))
+    found = met.groupBy("source_id", F.col("function").alias("__of")).agg(*hits.sums("n"))
+    return found.join(functions, F.col("__of") == F.col("function")).select("source_id", "module", "symbol", "total", "self")
+
+
 def edges(frames: DataFrame, weights: DataFrame) -> DataFrame:
     """``(source_id, caller, callee, total)`` of function structs, the root a null caller: adjacent frames of each stack once, times
     the stack's weights. They are added up by function numbers straight away, so a task holds different edges, not those of
@@ -87,11 +99,12 @@ class SlicedHits:
     """
 
     def __init__(self, samples: DataFrame, frames: DataFrame, width: int):
-        self.samples, self.frames, self.width = samples, frames, width
+        self.samples, self.width = samples, width
         keys = ["slice", "process_id", "thread_id", "source_id"]
+        self.coded, self.functions = numbered_functions(frames.select("stack_id", "is_leaf", "module", "symbol"))
         counted = samples.withColumn("slice", self._slice(F.col("ts"))).groupBy("stack_id", *keys).agg(F.count("*").alias("n")).withColumnRenamed("stack_id", "__stack")
-        met = frames.join(counted, F.col("stack_id") == F.col("__stack"))
-        sums = met.groupBy(*keys, "module", "symbol").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("is_leaf"), F.col("n")).otherwise(0)).alias("self"))
+        met = self.coded.join(counted, F.col("stack_id") == F.col("__stack"))
+        sums = met.groupBy(*keys, F.col("function").alias("__of")).agg(*hits.sums("n")).join(self.functions, F.col("__of") == F.col("function")).drop("__of", "function")
         self.sums = saved(sums.repartitionByRange("slice").sortWithinPartitions("slice"))
 
     def _slice(self, ts: Column) -> Column:
@@ -117,8 +130,8 @@ class SlicedHits:
         at_edge = F.lit(False)
         for cut in dict.fromkeys(edges):
             at_edge = at_edge | F.col("ts").between(cut * self.width, (cut + 1) * self.width - 1)
-        own = weighted(self.frames, weights(filters.filtered(self.samples.where(at_edge), f)))
-        both = found.unionByName(hits.function_hits(own, "n").select("source_id", "module", "symbol", "total", "self"))
+        own = _named_hits(self.coded, self.functions, weights(filters.filtered(self.samples.where(at_edge), f)))
+        both = found.unionByName(own)
         return both.groupBy("source_id", "module", "symbol").agg(F.sum("total").alias("total"), F.sum("self").alias("self"))
 
 

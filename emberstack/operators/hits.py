@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberstack.functions.scalars import percent
 
 
-def _hits(weight: str | None = None) -> list:
+def sums(weight: str | None = None) -> list:
     if weight is None:
         return [F.count("*").alias("total"), F.sum(F.col("is_leaf").cast("long")).alias("self")]
     return [F.sum(weight).alias("total"), F.sum(F.when(F.col("is_leaf"), F.col(weight)).otherwise(0)).alias("self")]
@@ -25,20 +25,20 @@ def with_leaf(frames: DataFrame) -> DataFrame:
 
 
 def function_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
-    return frames.groupBy("source_id", "module", "symbol").agg(*_hits(weight))
+    return frames.groupBy("source_id", "module", "symbol").agg(*sums(weight))
 
 
 def module_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
-    return frames.groupBy("source_id", "module").agg(*_hits(weight))
+    return frames.groupBy("source_id", "module").agg(*sums(weight))
 
 
 def file_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
     """Frames without a file count for none."""
-    return frames.where("file is not null and file <> ''").groupBy("source_id", "file").agg(*_hits(weight))
+    return frames.where("file is not null and file <> ''").groupBy("source_id", "file").agg(*sums(weight))
 
 
 def line_hits(frames: DataFrame, weight: str | None = None) -> DataFrame:
-    return frames.where("file is not null and file <> ''").groupBy("source_id", "module", "symbol", "instr_line").agg(*_hits(weight))
+    return frames.where("file is not null and file <> ''").groupBy("source_id", "module", "symbol", "instr_line").agg(*sums(weight))
 
 
 def function_attribution(frames: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def session_totals(samples: DataFrame) -> DataFrame:
 
 def hottest(frames: DataFrame, samples: DataFrame, count: int, weight: str | None = None) -> DataFrame:
     """The ``count`` functions of any process with the most self hits, with shares of all ``samples``."""
-    found = frames.groupBy("process_id", "module", "symbol").agg(*_hits(weight))
+    found = frames.groupBy("process_id", "module", "symbol").agg(*sums(weight))
     top = found.orderBy(F.desc("self"), F.desc("total"), "module", "symbol", "process_id").limit(count)
     top = top.join(F.broadcast(samples.agg(F.count("*").alias("whole"))))  # one row
     return top.select("process_id", "module", "symbol", "total", "self", *[percent(F.col(c), F.col("whole")).alias(f"{c}_percent") for c in ("self", "total")])

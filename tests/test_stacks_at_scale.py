@@ -68,3 +68,19 @@ def test_lines_are_shuffled_without_names(spark, monkeypatch):
     stored._shared(spark, "/root/testdata/sf0.001")
     assert "string" not in seen[-1].schema["stack"].dataType.simpleString()
     assert "l_suppkey" not in _plan(profile.lines(spark, "/root/testdata/sf0.001")).split("Relation")[0]
+
+
+def _keys(df, *among: str) -> list[str]:
+    """The keys of aggregates that have all of ``among``."""
+    return [g for g in re.findall(r"Aggregate \[([^\]]*)\]", _plan(df)) if all(a in g for a in among)]
+
+
+def test_sliced_hits_are_summed_without_names(small, monkeypatch):
+    samples, frames = small
+    named, shared = _interned(samples, frames)
+    written, save = [], dictionary.saved
+    monkeypatch.setattr(dictionary, "saved", lambda df: written.append(df) or save(df))
+    sliced = dictionary.SlicedHits(named, shared, 40)
+    found = _keys(written[-1], "slice", "thread_id")
+    assert found and not [g for g in found if "symbol" in g]
+    assert _rows(sliced.function_hits(dictionary.filters.SampleFilter(30, 150))) == _rows(hits.function_hits(frames.join(samples.where("ts between 30 and 150"), "sample_id")))
