@@ -21,8 +21,9 @@ def nodes(frames: DataFrame, by: tuple[str, ...] = (), weights: DataFrame | None
     With ``by`` (columns that are the same for all frames of a sample, as its source) a row for each node and value of them.
     With ``weights(stack_id, *by, n)`` frames are of stacks, ``frames(stack_id, ...)``, which count n times.
 
-    Stacks that are equal are counted first, so frames of a frequent stack are expanded once; what is shuffled is keyed by the
-    node's 64 bits, and aggregated by hash in memory.
+    Stacks that are equal are counted first (those with ``weights`` are so already), so frames of a frequent stack are expanded once;
+    what is shuffled is keyed by the node's 64 bits, with its parent's path, from which its own follows, and aggregated by hash
+    in memory.
     """
     frame = F.struct("depth", "module", "symbol")
     chain = F.transform(F.array_sort(F.collect_list(frame)), lambda x: F.struct(x["module"].isNull().alias("none"), x["module"].alias("module"), x["symbol"].alias("symbol"))).alias("stack")
@@ -30,18 +31,20 @@ def nodes(frames: DataFrame, by: tuple[str, ...] = (), weights: DataFrame | None
         stacks = frames.groupBy("sample_id", *by).agg(chain).groupBy("stack", *by).agg(F.count("*").alias("n"))
     else:
         own = weights.groupBy(F.col("stack_id").alias("__stack"), *by).agg(F.sum("n").alias("n"))
-        stacks = frames.groupBy("stack_id").agg(chain).join(own, F.col("stack_id") == F.col("__stack")).groupBy("stack", *by).agg(F.sum("n").alias("n"))
+        stacks = frames.groupBy("stack_id").agg(chain).join(own, F.col("stack_id") == F.col("__stack")).select("stack", *by, "n")
     shown = F.transform("stack", lambda x: F.concat_ws("!", x["module"], x["symbol"]))
     each = stacks.select("stack", shown.alias("names"), F.size("stack").alias("size"), *by, "n", F.posexplode("stack").alias("at", "node"))
     chained = lambda n: F.xxhash64(F.slice("stack", F.lit(1), n))
     spelled = lambda n: F.array_join(F.slice("names", F.lit(1), n), ">")
     at, root = F.col("at"), F.lit(ROOT).cast("long")
     chains = each.select(
-        chained(at + 1).alias("key"), F.when(at == 0, root).otherwise(chained(at)).alias("parent_key"), spelled(at + 1).alias("path"), spelled(at).alias("parent"),
+        chained(at + 1).alias("key"), F.when(at == 0, root).otherwise(chained(at)).alias("parent_key"), spelled(at).alias("parent"),
         (at + 1).cast("long").alias("depth"), "node.module", "node.symbol", *by, "n", F.when(at + 1 == F.col("size"), F.col("n")).otherwise(0).alias("own"),
     )
-    named = ["key", "parent_key", "path", "parent", "depth", "module", "symbol", *by]
-    return chains.groupBy(*named).agg(F.sum("n").alias("total"), F.sum("own").alias("self")).select(*named, "total", "self")
+    found = chains.groupBy("key", "parent", "depth", "module", "symbol", *by).agg(F.min("parent_key").alias("parent_key"), F.sum("n").alias("total"), F.sum("own").alias("self"))
+    name = F.concat_ws("!", "module", "symbol")
+    path = F.when(F.col("depth") == 1, name).otherwise(F.concat("parent", F.lit(">"), name)).alias("path")
+    return found.select("key", "parent_key", path, "parent", "depth", "module", "symbol", *by, "total", "self")
 
 
 def children(tree: DataFrame, of: str | int) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from emberstack.operators import dictionary, hits
+from emberstack.operators import calltree, dictionary, hits
 from emberstack.plans import profile, stored
 
 STACKS = [[("m", "f"), ("n", "g"), ("m", "f"), ("n", "g")], [("m", "f")], [(None, "f"), ("f", None)], [("n", "g"), (None, "f")], [("m", "f"), ("n", "g")]]
@@ -84,3 +84,13 @@ def test_sliced_hits_are_summed_without_names(small, monkeypatch):
     found = _keys(written[-1], "slice", "thread_id")
     assert found and not [g for g in found if "symbol" in g]
     assert _rows(sliced.function_hits(dictionary.filters.SampleFilter(30, 150))) == _rows(hits.function_hits(frames.join(samples.where("ts between 30 and 150"), "sample_id")))
+
+
+def test_tree_nodes_are_shuffled_with_one_path(small):
+    samples, frames = small
+    named, shared = _interned(samples, frames)
+    tree = calltree.nodes(shared, ("source_id",), dictionary.weights(named))
+    assert not [g for g in _keys(tree, "symbol") if "path" in g] and not _keys(tree, "stack#")
+    assert _rows(tree) == _rows(calltree.nodes(frames.join(samples, "sample_id"), ("source_id",)))
+    paths = {(r.path, r.parent) for r in tree.collect()}
+    assert {("m!f", ""), ("m!f>n!g", "m!f"), ("m!f>n!g>m!f", "m!f>n!g"), ("f", ""), ("f>f", "f")} <= paths
