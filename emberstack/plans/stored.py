@@ -31,7 +31,7 @@ def _shared(spark, d) -> tuple[DataFrame, DataFrame]:
 @query(SQL["function_hits"])
 def dictionary_function_hits(spark, d):
     samples, frames = _shared(spark, d)
-    return hits.function_hits(dictionary.weighted(frames, dictionary.weights(samples)), "n")
+    return dictionary.function_hits(frames, dictionary.weights(samples))
 
 
 @query(SQL["call_tree_nodes_all_sources"])

@@ -94,3 +94,12 @@ def test_tree_nodes_are_shuffled_with_one_path(small):
     assert _rows(tree) == _rows(calltree.nodes(frames.join(samples, "sample_id"), ("source_id",)))
     paths = {(r.path, r.parent) for r in tree.collect()}
     assert {("m!f", ""), ("m!f>n!g", "m!f"), ("m!f>n!g>m!f", "m!f>n!g"), ("f", ""), ("f>f", "f")} <= paths
+
+
+def test_function_hits_meet_stacks_without_names(spark, small):
+    samples, frames = small
+    named, shared = _interned(samples, frames)
+    found = dictionary.function_hits(shared, dictionary.weights(named))
+    assert _rows(found) == _rows(hits.function_hits(frames.join(samples, "sample_id")))
+    plan = _plan(stored.dictionary_function_hits(spark, "/root/testdata/sf0.001"))
+    assert not [g for g in re.findall(r"Aggregate \[([^\]]*)\]", plan) if "symbol" in g]
